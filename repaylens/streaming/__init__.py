@@ -1,0 +1 @@
+"""Nothing is streamed: every analysis of this library is a batch query."""
