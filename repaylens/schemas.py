@@ -9,47 +9,43 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(18, 2)
 
 
-def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 # Table and column names, and category labels, must equal those of
 # the data the analyses are defined on.
-CLIENTS = _schema(
+CLIENTS = (
     "client_id string, client_name string, client_type string, industry string, "
     "go_live_date date, monthly_account_volume int, region_focus string, "
     "integration_type string, client_size string"
 )
-CUSTOMERS = _schema(
+CUSTOMERS = (
     "customer_id string, client_id string, account_upload_date date, "
     "portfolio_type string, debt_balance decimal(18,2), balance_band string, "
     "debt_age_days int, debt_age_band string, customer_age_band string, "
     "region string, vulnerability_flag int, preferred_contact_channel string, "
     "account_status string"
 )
-COMMUNICATION_EVENTS = _schema(
+COMMUNICATION_EVENTS = (
     "communication_id string, customer_id string, client_id string, sent_date date, "
     "channel string, message_type string, ab_test_group string, message_tone string, "
     "delivered_flag int, opened_or_clicked_flag int, days_after_upload int"
 )
-JOURNEY_EVENTS = _schema(
+JOURNEY_EVENTS = (
     "event_id string, customer_id string, client_id string, event_date date, "
     "event_name string, channel string, device_type string, session_id string, "
     "days_since_invite int"
 )
-PAYMENTS = _schema(
+PAYMENTS = (
     "payment_id string, customer_id string, client_id string, payment_date date, "
     "payment_amount decimal(18,2), payment_method string, payment_type string, "
     "payment_status string, days_to_payment int"
 )
-REPAYMENT_PLANS = _schema(
+REPAYMENT_PLANS = (
     "plan_id string, customer_id string, client_id string, plan_created_date date, "
     "plan_amount decimal(18,2), instalment_amount decimal(18,2), "
     "plan_length_months int, first_instalment_paid_flag int, "
     "missed_payment_count int, plan_status string, affordability_completed_flag int"
 )
 
-SCHEMAS: dict[str, T.StructType] = {
+SCHEMAS: dict[str, str] = {
     "clients": CLIENTS,
     "customers": CUSTOMERS,
     "communication_events": COMMUNICATION_EVENTS,
