@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from repaylens.functions.columns import percent, ratio
 from repaylens.operators.quantiles import exact_quantiles
@@ -32,11 +31,8 @@ def unit_distribution(
     known = df
     for column in columns:
         known = known.filter(F.col(column).isNotNull())
-    counts = (
-        known.groupBy(*columns, unit)
-        .agg(F.lit(1).alias("seen"))
-        .groupBy(*columns)
-        .agg(F.count(unit).alias(count))
+    counts = known.select(*columns, unit).distinct().groupBy(*columns).agg(
+        F.count(unit).alias(count)
     )
     return counts.withColumn(share, share_of_total(count))
 
@@ -85,7 +81,7 @@ def describe(df: DataFrame, digits: dict[str, int], places: int = 4) -> DataFram
         F.inline(
             F.array(
                 *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("decimal(38,6)").alias("x"))
+                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("decimal(24,4)").alias("x"))
                     for c in names
                 ]
             )

@@ -26,27 +26,28 @@ def exact_quantiles(
 ) -> DataFrame:
     """Linearly interpolated quantiles of decimal columns.
 
-    ``digits`` maps each column to its number of decimal places. One row per group,
-    column and quantile: ``*by, column_name, quantile, value``. Nulls are ignored.
+    ``by`` holds category columns of few values (a handful of rows per group is
+    broadcast); rows with a null category and null values are left out. ``digits``
+    maps each column to its number of decimal places. One row per group, column and
+    quantile: ``*by, column_name, quantile, value``.
     """
     keys = [*by, "column_name"]
     entries = [
         F.struct(
             F.lit(name).alias("column_name"),
-            F.lit(10.0**-places).alias("unit_size"),
-            (F.col(name).cast("decimal(38,6)") * 10**places).cast("bigint").alias("v"),
+            F.lit(10.0**places).alias("scale"),
+            (F.col(name).cast("decimal(24,4)") * 10**places).cast("bigint").alias("v"),
         )
         for name, places in digits.items()
     ]
-    values = (
-        df.select(*by, F.inline(F.array(*entries)))
-        .filter(F.col("v").isNotNull())
-        .withColumn("bucket", F.shiftright("v", bucket_bits))
-    )
+    values = df.select(*by, F.inline(F.array(*entries)))
+    for column in [*by, "v"]:
+        values = values.filter(F.col(column).isNotNull())
+    values = values.withColumn("bucket", F.shiftright("v", bucket_bits))
 
     in_order = Window.partitionBy(*keys).orderBy("bucket")
     coarse = (
-        values.groupBy(*keys, "unit_size", "bucket")
+        values.groupBy(*keys, "scale", "bucket")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumns(
             {
@@ -55,13 +56,13 @@ def exact_quantiles(
             }
         )
     )
-    position = (F.col("total") - 1).cast("double")
+    last = (F.col("total") - 1).cast("double")
     wanted = F.array(
         *[
             F.struct(
                 F.lit(q).alias("quantile"),
-                side(position * F.lit(q)).cast("bigint").alias("rank"),
-                (position * F.lit(q)).alias("position"),
+                (last * F.lit(q)).alias("position"),
+                side(last * F.lit(q)).cast("bigint").alias("rank"),
             )
             for q in quantiles
             for side in (F.floor, F.ceil)
@@ -74,32 +75,23 @@ def exact_quantiles(
             (F.col("target.rank") >= F.col("before"))
             & (F.col("target.rank") < F.col("before") + F.col("n"))
         )
-        .select(*keys, "unit_size", "bucket", "before", "target.*")
+        .select(*keys, "scale", "bucket", "before", "target.*")
     )
-
-    null_safe = [F.coalesce(F.col(k).cast("string"), F.lit("\0")).alias(f"k_{k}") for k in keys]
-    marked = values.select("*", *null_safe)
-    hit = targets.select("bucket", *null_safe).distinct()
-    joint = ["bucket", *[f"k_{k}" for k in keys]]
+    bucket = [*keys, "bucket"]
     fine = (
-        marked.join(F.broadcast(hit), joint, "left_semi")
-        .groupBy(*joint, "v")
+        values.join(F.broadcast(targets.select(*bucket).distinct()), bucket, "left_semi")
+        .groupBy(*bucket, "v")
         .agg(F.count(F.lit(1)).alias("n"))
         .withColumn(
-            "offset", F.sum("n").over(Window.partitionBy(*joint).orderBy("v")) - F.col("n")
+            "offset", F.sum("n").over(Window.partitionBy(*bucket).orderBy("v")) - F.col("n")
         )
     )
-    found = targets.select("*", *null_safe).join(fine, joint, "inner").filter(
-        (F.col("rank") >= F.col("before") + F.col("offset"))
-        & (F.col("rank") < F.col("before") + F.col("offset") + F.col("n"))
+    start = F.col("before") + F.col("offset")
+    found = targets.join(fine, bucket, "inner").filter(
+        (F.col("rank") >= start) & (F.col("rank") < start + F.col("n"))
     )
-    low = F.min(F.col("v")).cast("double")
-    high = F.max(F.col("v")).cast("double")
-    weight = F.max(F.col("position") - F.floor("position").cast("double"))
-    return found.groupBy(*keys, "unit_size", "quantile").agg(
-        (low + (high - low) * weight).alias("units")
-    ).select(
-        *keys,
-        "quantile",
-        F.round(F.col("units") * F.col("unit_size"), 6).alias("value"),
+    low, high = F.min("v").cast("double"), F.max("v").cast("double")
+    part = F.max(F.col("position") - F.floor("position").cast("double"))
+    return found.groupBy(*keys, "quantile").agg(
+        ((low + (high - low) * part) / F.max("scale")).alias("value")
     )
