@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repaylens.functions.columns import flag, ratio
+from repaylens.functions.columns import ratio
 from repaylens.schemas import (
     CONTROL,
     FAILED,
@@ -49,32 +49,26 @@ def attach_stages(
     """
     stages = list(stages)
     first_dates = dict(first_dates or {})
-    name = F.col("event_name")
-    bit = F.lit(0).cast("bigint")
-    for position, stage in reversed(list(enumerate(stages))):
-        bit = F.when(name == stage, F.lit(1 << position).cast("bigint")).otherwise(bit)
-    wanted = sorted({*stages, *first_dates})
+    bits = " ".join(f"WHEN '{stage}' THEN {1 << i}L" for i, stage in enumerate(stages))
     reached = (
-        events.filter(name.isin(wanted))
+        events.filter(F.col("event_name").isin(sorted({*stages, *first_dates})))
         .groupBy(key)
         .agg(
-            F.bit_or(bit).alias("reached_stages"),
+            F.expr(f"bit_or(CASE event_name {bits} ELSE 0L END) AS reached_stages"),
             *[
-                F.min(F.when(name == event, F.col("event_date"))).alias(column)
+                F.expr(f"min(CASE WHEN event_name = '{event}' THEN event_date END) AS {column}")
                 for event, column in first_dates.items()
             ],
         )
     )
-    mask = F.coalesce(F.col("reached_stages"), F.lit(0).cast("bigint"))
-    return (
-        accounts.join(reached, key, "left")
-        .withColumns(
-            {
-                flag_name(stage): F.shiftright(mask, position).bitwiseAND(F.lit(1)).cast("int")
-                for position, stage in enumerate(stages)
-            }
-        )
-        .drop("reached_stages")
+    joined = accounts.join(reached, key, "left")
+    return joined.selectExpr(
+        *accounts.columns,
+        *[
+            f"cast(shiftright(coalesce(reached_stages, 0L), {i}) & 1 AS int) AS {flag_name(stage)}"
+            for i, stage in enumerate(stages)
+        ],
+        *first_dates.values(),
     )
 
 
@@ -119,22 +113,23 @@ def test_message(
 
 def payment_summary(payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
     """Payment totals per account. Only successful payments count as collected."""
-    status = F.col("payment_status")
-    paid = status == SUCCESSFUL
-    amount = F.col("payment_amount")
+    paid = f"payment_status = '{SUCCESSFUL}'"
+    amount = f"CASE WHEN {paid} THEN payment_amount END"
     return payments.groupBy(key).agg(
-        F.sum(F.when(paid, amount).otherwise(F.lit(0).cast("decimal(18,2)"))).alias(
-            "amount_collected"
-        ),
-        ratio(F.sum(F.when(paid, amount)), F.count(F.when(paid, amount))).alias(
+        F.expr(f"sum(CASE WHEN {paid} THEN payment_amount ELSE 0BD END) AS amount_collected"),
+        ratio(F.expr(f"sum({amount})"), F.expr(f"count({amount})")).alias(
             "avg_successful_payment_amount"
         ),
-        F.max(flag(paid)).alias("payment_made_flag"),
-        F.max(flag(paid & (F.col("payment_type") == ONE_OFF))).alias("one_off_payment_flag"),
-        F.min(F.when(paid, F.col("payment_date"))).alias("first_successful_payment_date"),
+        F.expr(f"max(CASE WHEN {paid} THEN 1 ELSE 0 END) AS payment_made_flag"),
+        F.expr(
+            f"max(CASE WHEN {paid} AND payment_type = '{ONE_OFF}' THEN 1 ELSE 0 END)"
+            " AS one_off_payment_flag"
+        ),
+        F.expr(f"min(CASE WHEN {paid} THEN payment_date END) AS first_successful_payment_date"),
         *[
-            F.count(F.when(status == label, F.col("payment_id"))).alias(
-                f"{label.lower()}_payment_count"
+            F.expr(
+                f"count(CASE WHEN payment_status = '{label}' THEN payment_id END)"
+                f" AS {label.lower()}_payment_count"
             )
             for label in (SUCCESSFUL, FAILED, REVERSED)
         ],
@@ -143,22 +138,19 @@ def payment_summary(payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
 
 def plan_summary(plans: DataFrame, key: str = ACCOUNT) -> DataFrame:
     """Plan totals per account. Several plans: the alphabetically last status is kept."""
-    status = F.col("plan_status")
+
+    def any_row(condition: str, name: str) -> Column:
+        return F.expr(f"max(CASE WHEN {condition} THEN 1 ELSE 0 END) AS {name}")
 
     def mean(column: str) -> Column:
         return ratio(F.sum(column), F.count(column)).alias(f"avg_{column}")
 
     return plans.groupBy(key).agg(
         F.lit(1).alias("repayment_plan_created_flag"),
-        F.max(flag(F.col("first_instalment_paid_flag") == 1)).alias("first_instalment_paid_flag"),
-        *[
-            F.max(flag(status == label)).alias(f"{label.lower()}_plan_flag")
-            for label in PLAN_STATUSES
-        ],
-        F.max(flag(F.col("affordability_completed_flag") == 1)).alias(
-            "affordability_completed_plan_flag"
-        ),
-        F.max(status).alias("plan_status"),
+        any_row("first_instalment_paid_flag = 1", "first_instalment_paid_flag"),
+        *[any_row(f"plan_status = '{s}'", f"{s.lower()}_plan_flag") for s in PLAN_STATUSES],
+        any_row("affordability_completed_flag = 1", "affordability_completed_plan_flag"),
+        F.max("plan_status").alias("plan_status"),
         F.min("plan_created_date").alias("first_plan_created_date"),
         mean("plan_amount"),
         mean("instalment_amount"),
@@ -190,20 +182,22 @@ _PLAN_NUMBERS = (
 
 def attach_payments(accounts: DataFrame, payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
     """Add the payment totals; accounts without payments get zeros."""
-    return _zero_filled(accounts.join(payment_summary(payments, key), key, "left"), _PAYMENT_NUMBERS)
-
-
-def attach_plans(accounts: DataFrame, plans: DataFrame, key: str = ACCOUNT) -> DataFrame:
-    """Add the plan totals; accounts without plans get zeros and no status."""
-    return _zero_filled(accounts.join(plan_summary(plans, key), key, "left"), _PLAN_NUMBERS)
+    joined = accounts.join(payment_summary(payments, key), key, "left")
+    return joined.fillna(0, subset=list(_PAYMENT_NUMBERS))
 
 
-def _zero_filled(df: DataFrame, columns: Iterable[str]) -> DataFrame:
-    """Zero for missing values, in each column's own type."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    return df.withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0).cast(types[c])) for c in columns}
-    )
+def attach_plans(
+    accounts: DataFrame,
+    plans: DataFrame,
+    key: str = ACCOUNT,
+    only: Sequence[str] | None = None,
+) -> DataFrame:
+    """Add the plan totals, or ``only`` some; accounts without plans get zeros, no status."""
+    summary = plan_summary(plans, key)
+    if only is not None:
+        summary = summary.select(key, *only)
+    numbers = [c for c in _PLAN_NUMBERS if only is None or c in only]
+    return accounts.join(summary, key, "left").fillna(0, subset=numbers)
 
 
 def with_client(df: DataFrame, clients: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -31,16 +31,15 @@ def rollup(
     """
     flags, sums = list(flags), list(sums)
     per_unit = df.groupBy(*keys, unit).agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.max(c).alias(f"any_{c}") for c in flags],
-        *[F.sum(c).alias(f"sum_{c}") for c in sums],
-        *[F.count(c).alias(f"n_{c}") for c in sums],
+        F.expr("count(*) AS rows"),
+        *[F.expr(f"max({c}) AS any_{c}") for c in flags],
+        *[F.expr(f"sum({c}) AS sum_{c}") for c in sums],
+        *[F.expr(f"count({c}) AS n_{c}") for c in sums],
     )
-    known = F.col(unit).isNotNull()
     return per_unit.groupBy(*keys).agg(
-        F.count(unit).alias("units"),
-        F.sum("rows").alias("rows"),
-        *[F.count_if(known & (F.col(f"any_{c}") == 1)).alias(f"units_{c}") for c in flags],
-        *[F.sum(f"sum_{c}").alias(f"sum_{c}") for c in sums],
-        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in sums],
+        F.expr(f"count({unit}) AS units"),
+        F.expr("sum(rows) AS rows"),
+        *[F.expr(f"count_if({unit} IS NOT NULL AND any_{c} = 1) AS units_{c}") for c in flags],
+        *[F.expr(f"sum(sum_{c}) AS sum_{c}") for c in sums],
+        *[F.expr(f"sum(n_{c}) AS n_{c}") for c in sums],
     )

@@ -10,11 +10,10 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import flag, money
-from repaylens.sources.files import Tables
+from repaylens.sources.files import LazyTables, Tables
 
 TEST_WINDOW = (date(1998, 1, 1), date(1998, 12, 31))
 PLAN_ORDER_AMOUNT = 475000.0
@@ -25,141 +24,114 @@ _JOURNEY_START = "2024-01-01"
 _CLIENT_SLOTS = 26
 
 
-def _client_of(customer: str) -> Column:
-    return F.pmod(F.col(customer), F.lit(_CLIENT_SLOTS))
+def _client_of(customer: str) -> str:
+    return f"pmod({customer}, {_CLIENT_SLOTS}) AS client_id"
 
 
 def clients(nation: DataFrame, region: DataFrame) -> DataFrame:
-    number = F.col("n_nationkey")
     return nation.join(
         region, nation["n_regionkey"] == region["r_regionkey"], "left"
-    ).select(
-        number.cast("bigint").alias("client_id"),
-        F.col("n_name").alias("client_name"),
-        F.col("r_name").alias("client_type"),
-        F.when(F.col("n_regionkey") <= 1, "Financial Services")
-        .when(F.col("n_regionkey") == 2, "Utilities")
-        .otherwise("Collections")
-        .alias("industry"),
-        F.date_add(F.lit(_PORTFOLIO_START).cast("date"), number * 30).alias("go_live_date"),
-        ((number + 1) * 50).cast("int").alias("monthly_account_volume"),
-        F.when(number % 3 == 0, "UK-wide").when(number % 3 == 1, "England").otherwise(
-            "Mixed"
-        ).alias("region_focus"),
-        F.when(number % 4 == 1, "Hybrid").when(number % 4 == 2, "Batch Upload").otherwise(
-            "API"
-        ).alias("integration_type"),
-        F.when(number % 5 == 0, "Small").when(number % 5 <= 2, "Mid-Market").otherwise(
-            "Enterprise"
-        ).alias("client_size"),
+    ).selectExpr(
+        "cast(n_nationkey AS bigint) AS client_id",
+        "n_name AS client_name",
+        "r_name AS client_type",
+        """CASE WHEN n_regionkey <= 1 THEN 'Financial Services'
+                WHEN n_regionkey = 2 THEN 'Utilities'
+                ELSE 'Collections' END AS industry""",
+        f"date_add(date'{_PORTFOLIO_START}', n_nationkey * 30) AS go_live_date",
+        "(n_nationkey + 1) * 50 AS monthly_account_volume",
+        """CASE n_nationkey % 3 WHEN 0 THEN 'UK-wide' WHEN 1 THEN 'England'
+                ELSE 'Mixed' END AS region_focus""",
+        """CASE n_nationkey % 4 WHEN 1 THEN 'Hybrid' WHEN 2 THEN 'Batch Upload'
+                ELSE 'API' END AS integration_type""",
+        """CASE WHEN n_nationkey % 5 = 0 THEN 'Small' WHEN n_nationkey % 5 <= 2 THEN 'Mid-Market'
+                ELSE 'Enterprise' END AS client_size""",
     )
 
 
 def customers(customer: DataFrame, orders: DataFrame) -> DataFrame:
-    placed = F.col("o_orderdate").cast("date")
-    span = orders.groupBy(F.col("o_custkey").alias("customer_id")).agg(
-        F.min(placed).alias("first_order"), F.max(placed).alias("last_order")
+    span = (
+        orders.selectExpr("o_custkey AS customer_id", "cast(o_orderdate AS date) AS placed")
+        .groupBy("customer_id")
+        .agg(F.min("placed").alias("first_order"), F.max("placed").alias("last_order"))
     )
-    balance = F.col("c_acctbal")
-    age = F.date_diff(F.lit(_SNAPSHOT).cast("date"), F.col("last_order"))
     return (
         customer.withColumnRenamed("c_custkey", "customer_id")
         .join(span, "customer_id", "left")
-        .withColumn("debt_age_days", age)
-        .select(
+        .selectExpr("*", f"date_diff(date'{_SNAPSHOT}', last_order) AS debt_age_days")
+        .selectExpr(
             "customer_id",
-            _client_of("customer_id").alias("client_id"),
-            F.col("first_order").alias("account_upload_date"),
-            F.col("c_mktsegment").alias("portfolio_type"),
-            money("c_acctbal").alias("debt_balance"),
-            F.when(balance < 1000, "Low")
-            .when(balance < 4000, "Medium")
-            .when(balance < 7500, "High")
-            .otherwise("Very High")
-            .alias("balance_band"),
+            _client_of("customer_id"),
+            "first_order AS account_upload_date",
+            "c_mktsegment AS portfolio_type",
+            "cast(c_acctbal AS decimal(18,2)) AS debt_balance",
+            """CASE WHEN c_acctbal < 1000 THEN 'Low' WHEN c_acctbal < 4000 THEN 'Medium'
+                    WHEN c_acctbal < 7500 THEN 'High' ELSE 'Very High' END AS balance_band""",
             "debt_age_days",
-            F.when(F.col("debt_age_days") <= 30, "0-30")
-            .when(F.col("debt_age_days") <= 90, "31-90")
-            .when(F.col("debt_age_days") <= 180, "91-180")
-            .when(F.col("debt_age_days") <= 365, "181-365")
-            .when(F.col("debt_age_days") > 365, "365+")
-            .alias("debt_age_band"),
-            F.when(F.col("c_nationkey") % 6 == 0, "18-24")
-            .when(F.col("c_nationkey") % 6 == 1, "25-34")
-            .when(F.col("c_nationkey") % 6 == 2, "35-44")
-            .when(F.col("c_nationkey") % 6 == 3, "45-54")
-            .when(F.col("c_nationkey") % 6 == 4, "55+")
-            .alias("customer_age_band"),
-            F.when(F.col("c_nationkey") < 12, "North")
-            .when(F.col("c_nationkey") < 22, "South")
-            .alias("region"),
-            flag(balance < 0).alias("vulnerability_flag"),
-            F.when(F.col("c_mktsegment") == "BUILDING", "Letter")
-            .when(F.col("c_mktsegment") == "MACHINERY", "Email")
-            .when(F.col("c_mktsegment") != "FURNITURE", "SMS")
-            .alias("preferred_contact_channel"),
-            F.when(balance <= 0, "Closed").otherwise("Open").alias("account_status"),
+            """CASE WHEN debt_age_days <= 30 THEN '0-30' WHEN debt_age_days <= 90 THEN '31-90'
+                    WHEN debt_age_days <= 180 THEN '91-180' WHEN debt_age_days <= 365 THEN '181-365'
+                    WHEN debt_age_days > 365 THEN '365+' END AS debt_age_band""",
+            """CASE c_nationkey % 6 WHEN 0 THEN '18-24' WHEN 1 THEN '25-34' WHEN 2 THEN '35-44'
+                    WHEN 3 THEN '45-54' WHEN 4 THEN '55+' END AS customer_age_band""",
+            """CASE WHEN c_nationkey < 12 THEN 'North' WHEN c_nationkey < 22 THEN 'South'
+                    END AS region""",
+            "CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END AS vulnerability_flag",
+            """CASE WHEN c_mktsegment = 'BUILDING' THEN 'Letter'
+                    WHEN c_mktsegment = 'MACHINERY' THEN 'Email'
+                    WHEN c_mktsegment <> 'FURNITURE' THEN 'SMS'
+                    END AS preferred_contact_channel""",
+            "CASE WHEN c_acctbal <= 0 THEN 'Closed' ELSE 'Open' END AS account_status",
         )
     )
 
 
 def communication_events(orders: DataFrame) -> DataFrame:
-    sent = F.col("o_orderdate").cast("date")
-    priority, status = F.col("o_orderpriority"), F.col("o_orderstatus")
-    return orders.select(
-        F.col("o_orderkey").alias("communication_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _client_of("o_custkey").alias("client_id"),
-        sent.alias("sent_date"),
-        F.when(priority.isin("1-URGENT", "2-HIGH"), "SMS")
-        .when(priority == "3-MEDIUM", "Email")
-        .when(priority == "4-NOT SPECIFIED", "Letter")
-        .otherwise("Agent Referral")
-        .alias("channel"),
-        F.when(priority == "5-LOW", "Agent Follow-up")
-        .when(status == "P", "Initial Invite")
-        .otherwise("Reminder 1")
-        .alias("message_type"),
-        F.when(status == "F", "Control").when(status == "O", "Variant").otherwise(
-            "Not Applicable"
-        ).alias("ab_test_group"),
-        F.when(status == "F", "Direct").when(status == "O", "Supportive").otherwise(
-            "Informational"
-        ).alias("message_tone"),
-        flag(F.col("o_totalprice") >= 25000).alias("delivered_flag"),
-        flag(F.col("o_totalprice") >= 250000).alias("opened_or_clicked_flag"),
-        F.date_diff(sent, F.lit(_PORTFOLIO_START).cast("date")).alias("days_after_upload"),
+    return orders.selectExpr(
+        "o_orderkey AS communication_id",
+        "o_custkey AS customer_id",
+        _client_of("o_custkey"),
+        "cast(o_orderdate AS date) AS sent_date",
+        """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'SMS'
+                WHEN o_orderpriority = '3-MEDIUM' THEN 'Email'
+                WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'Letter'
+                ELSE 'Agent Referral' END AS channel""",
+        """CASE WHEN o_orderpriority = '5-LOW' THEN 'Agent Follow-up'
+                WHEN o_orderstatus = 'P' THEN 'Initial Invite'
+                ELSE 'Reminder 1' END AS message_type""",
+        """CASE o_orderstatus WHEN 'F' THEN 'Control' WHEN 'O' THEN 'Variant'
+                ELSE 'Not Applicable' END AS ab_test_group""",
+        """CASE o_orderstatus WHEN 'F' THEN 'Direct' WHEN 'O' THEN 'Supportive'
+                ELSE 'Informational' END AS message_tone""",
+        "CASE WHEN o_totalprice >= 25000 THEN 1 ELSE 0 END AS delivered_flag",
+        "CASE WHEN o_totalprice >= 250000 THEN 1 ELSE 0 END AS opened_or_clicked_flag",
+        f"date_diff(cast(o_orderdate AS date), date'{_PORTFOLIO_START}') AS days_after_upload",
     )
 
 
 def journey_events(events: DataFrame) -> DataFrame:
-    """Each user of the log stands for up to seven accounts, one per weekday slot.
+    """Each user of the log stands for seven accounts, by day of the month.
 
     Half of the accounts have no event, and a few events belong to no account.
     """
-    day = F.col("ts").cast("date")
-    customer = F.col("user_id") * 10 + F.dayofmonth(day) % 7 * 2
-    kind, value = F.col("event_type"), F.col("value")
-
-    def by_value(limit: float, below: str, above: str) -> Column:
-        return F.when(value < limit, below).otherwise(above)
-
-    device = F.regexp_extract("props", r"(\d+)", 1).cast("int") % 4
-    return events.select(
+    return events.selectExpr(
+        "*", "cast(ts AS date) AS day", "user_id * 10 + day(ts) % 7 * 2 AS customer_id"
+    ).selectExpr(
         "event_id",
-        customer.alias("customer_id"),
-        F.pmod(customer, F.lit(_CLIENT_SLOTS)).alias("client_id"),
-        day.alias("event_date"),
-        F.when(kind == "signup", by_value(35, "invite_sent", "invite_delivered"))
-        .when(kind == "view", by_value(35, "link_opened", "identity_verified"))
-        .when(kind == "click", by_value(35, "balance_viewed", "payment_option_selected"))
-        .when(kind == "purchase", by_value(70, "payment_made", "repayment_plan_created"))
-        .when(kind == "error", by_value(35, "affordability_started", "affordability_completed"))
-        .alias("event_name"),
-        F.when(kind == "error", "Email").otherwise("SMS").alias("channel"),
-        F.when(device == 0, "Mobile").when(F.col("value") > 150, "Desktop").alias("device_type"),
-        F.concat_ws("-", F.col("user_id").cast("string"), day.cast("string")).alias("session_id"),
-        F.date_diff(day, F.lit(_JOURNEY_START).cast("date")).alias("days_since_invite"),
+        "customer_id",
+        _client_of("customer_id"),
+        "day AS event_date",
+        """CASE event_type
+                WHEN 'signup' THEN if(value < 35, 'invite_sent', 'invite_delivered')
+                WHEN 'view' THEN if(value < 35, 'link_opened', 'identity_verified')
+                WHEN 'click' THEN if(value < 35, 'balance_viewed', 'payment_option_selected')
+                WHEN 'purchase' THEN if(value < 70, 'payment_made', 'repayment_plan_created')
+                WHEN 'error' THEN if(value < 35, 'affordability_started', 'affordability_completed')
+                END AS event_name""",
+        "if(event_type = 'error', 'Email', 'SMS') AS channel",
+        r"""CASE WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 4 = 0 THEN 'Mobile'
+                WHEN value > 150 THEN 'Desktop' END AS device_type""",
+        "concat_ws('-', user_id, day) AS session_id",
+        f"date_diff(day, date'{_JOURNEY_START}') AS days_since_invite",
     )
 
 
@@ -168,79 +140,92 @@ def payments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
 
     A line cleared when it was not returned, had no discount and was a bulk line.
     """
-    paid = F.col("l_shipdate").cast("date")
-    returned = F.col("l_returnflag")
-    cleared = (returned == "N") & (F.col("l_discount") < 0.005) & (F.col("l_quantity") > 25)
     return lineitem.join(
         orders.select("o_orderkey", "o_custkey", "o_orderdate"),
         lineitem["l_orderkey"] == orders["o_orderkey"],
         "left",
-    ).select(
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("payment_id"),
-        F.col("o_custkey").alias("customer_id"),
-        _client_of("o_custkey").alias("client_id"),
-        paid.alias("payment_date"),
-        money("l_extendedprice").alias("payment_amount"),
-        F.when(F.col("l_linenumber") <= 2, "Card")
-        .when(F.col("l_linenumber") <= 4, "Direct Debit")
-        .when(F.col("l_linenumber") <= 6, "Open Banking")
-        .alias("payment_method"),
-        F.when(F.col("l_linestatus") == "O", "One-off").otherwise("Plan Instalment").alias(
-            "payment_type"
-        ),
-        F.when(cleared, "Successful").when(returned == "R", "Reversed").otherwise("Failed").alias(
-            "payment_status"
-        ),
-        F.date_diff(paid, F.col("o_orderdate").cast("date")).alias("days_to_payment"),
+    ).selectExpr(
+        "l_orderkey * 8 + l_linenumber AS payment_id",
+        "o_custkey AS customer_id",
+        _client_of("o_custkey"),
+        "cast(l_shipdate AS date) AS payment_date",
+        "cast(l_extendedprice AS decimal(18,2)) AS payment_amount",
+        """CASE WHEN l_linenumber <= 2 THEN 'Card' WHEN l_linenumber <= 4 THEN 'Direct Debit'
+                WHEN l_linenumber <= 6 THEN 'Open Banking' END AS payment_method""",
+        "if(l_linestatus = 'O', 'One-off', 'Plan Instalment') AS payment_type",
+        """CASE WHEN l_returnflag = 'N' AND l_discount < 0.005D AND l_quantity > 25 THEN 'Successful'
+                WHEN l_returnflag = 'R' THEN 'Reversed' ELSE 'Failed' END AS payment_status""",
+        "date_diff(cast(l_shipdate AS date), cast(o_orderdate AS date)) AS days_to_payment",
     )
 
 
 def repayment_plans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
     """One plan per large order; its line items give the instalment attributes."""
     lines = lineitem.groupBy(F.col("l_orderkey").alias("plan_id")).agg(
-        F.count(F.lit(1)).cast("int").alias("line_count"),
-        F.max(flag((F.col("l_linenumber") == 1) & (F.col("l_returnflag") == "N"))).alias("first"),
-        F.count_if(F.col("l_returnflag") == "R").cast("int").alias("returned"),
+        F.expr("cast(count(*) AS int) AS line_count"),
+        F.expr("max(if(l_linenumber = 1 AND l_returnflag = 'N', 1, 0)) AS first_paid"),
+        F.expr("cast(count_if(l_returnflag = 'R') AS int) AS returned"),
     )
-    amount, status = F.col("o_totalprice"), F.col("o_orderstatus")
     return (
-        orders.filter(amount >= PLAN_ORDER_AMOUNT)
+        orders.filter(F.col("o_totalprice") >= PLAN_ORDER_AMOUNT)
         .withColumnRenamed("o_orderkey", "plan_id")
         .join(lines, "plan_id", "left")
-        .select(
+        .selectExpr(
             "plan_id",
-            F.col("o_custkey").alias("customer_id"),
-            _client_of("o_custkey").alias("client_id"),
-            F.col("o_orderdate").cast("date").alias("plan_created_date"),
-            money("o_totalprice").alias("plan_amount"),
-            money(F.round(amount / F.col("line_count"), 2)).alias("instalment_amount"),
-            F.col("line_count").alias("plan_length_months"),
-            F.col("first").alias("first_instalment_paid_flag"),
-            F.col("returned").alias("missed_payment_count"),
-            F.when(status == "F", "Completed")
-            .when(status == "O", "Active")
-            .when(F.col("o_orderpriority") == "5-LOW", "Cancelled")
-            .otherwise("Broken")
-            .alias("plan_status"),
-            flag(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias(
-                "affordability_completed_flag"
-            ),
+            "o_custkey AS customer_id",
+            _client_of("o_custkey"),
+            "cast(o_orderdate AS date) AS plan_created_date",
+            "cast(o_totalprice AS decimal(18,2)) AS plan_amount",
+            "cast(round(o_totalprice / line_count, 2) AS decimal(18,2)) AS instalment_amount",
+            "line_count AS plan_length_months",
+            "first_paid AS first_instalment_paid_flag",
+            "returned AS missed_payment_count",
+            """CASE WHEN o_orderstatus = 'F' THEN 'Completed' WHEN o_orderstatus = 'O' THEN 'Active'
+                    WHEN o_orderpriority = '5-LOW' THEN 'Cancelled' ELSE 'Broken'
+                    END AS plan_status""",
+            """CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 1 ELSE 0
+                    END AS affordability_completed_flag""",
         )
     )
 
 
+# Columns of the input files that are read.
+INPUT_SCHEMAS = {
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "customer": (
+        "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+    ),
+    "orders": (
+        "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+        "o_orderdate timestamp_ntz, o_orderpriority string"
+    ),
+    "lineitem": (
+        "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+        "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+        "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz"
+    ),
+    "events": (
+        "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+        "props string"
+    ),
+}
+
+
 def load_tables(spark: SparkSession, folder: str) -> Tables:
     """The six source tables over the Parquet files of a folder (nothing is read yet)."""
 
     def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
-
-    orders, lineitem = table("orders"), table("lineitem")
-    return {
-        "clients": clients(table("nation"), table("region")),
-        "customers": customers(table("customer"), orders),
-        "communication_events": communication_events(orders),
-        "journey_events": journey_events(table("events")),
-        "payments": payments(lineitem, orders),
-        "repayment_plans": repayment_plans(orders, lineitem),
-    }
+        path = f"{folder.rstrip('/')}/{name}.parquet"
+        return spark.read.schema(INPUT_SCHEMAS[name]).parquet(path)
+
+    return LazyTables(
+        {
+            "clients": lambda: clients(table("nation"), table("region")),
+            "customers": lambda: customers(table("customer"), table("orders")),
+            "communication_events": lambda: communication_events(table("orders")),
+            "journey_events": lambda: journey_events(table("events")),
+            "payments": lambda: payments(table("lineitem"), table("orders")),
+            "repayment_plans": lambda: repayment_plans(table("orders"), table("lineitem")),
+        }
+    )
