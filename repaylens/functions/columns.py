@@ -26,32 +26,52 @@ def either_label(condition: Column, yes: str, no: str) -> Column:
     return F.when(condition, F.lit(yes)).otherwise(F.lit(no))
 
 
-def ratio(numerator: Column, denominator: Column) -> Column:
-    """Double quotient; null where the denominator is zero."""
-    return F.try_divide(numerator.cast("double"), denominator.cast("double"))
+def ratio(numerator: Column | str, denominator: Column | str) -> Column:
+    """Double quotient; null where the denominator is zero.
 
+    Here and below, text is an SQL expression over the columns at hand.
+    """
+    if isinstance(numerator, str) and isinstance(denominator, str):
+        return F.expr(_ratio_sql(numerator, denominator))
+    return F.try_divide(_col(numerator).cast("double"), _col(denominator).cast("double"))
 
-def percent(numerator: Column, denominator: Column) -> Column:
+
+def percent(numerator: Column | str, denominator: Column | str) -> Column:
     """``numerator`` per hundred of ``denominator``, unrounded."""
-    return F.try_divide(numerator.cast("double") * 100.0, denominator.cast("double"))
+    if isinstance(numerator, str) and isinstance(denominator, str):
+        return F.expr(_percent_sql(numerator, denominator))
+    return F.try_divide(_col(numerator).cast("double") * 100.0, _col(denominator).cast("double"))
 
 
-def pct(numerator: Column, denominator: Column, digits: int = 2) -> Column:
+def pct(numerator: str, denominator: str, digits: int = 2) -> Column:
     """Rounded percentage; null where the denominator is zero."""
-    return F.round(percent(numerator, denominator), digits)
+    return F.expr(f"round({_percent_sql(numerator, denominator)}, {digits})")
+
+
+def rounded_ratio(numerator: str, denominator: str, digits: int = 2) -> Column:
+    return F.expr(f"round({_ratio_sql(numerator, denominator)}, {digits})")
+
+
+def rounded(column: str, digits: int = 2) -> Column:
+    return F.expr(f"round({column}, {digits})")
+
+
+def _ratio_sql(numerator: str, denominator: str) -> str:
+    return f"try_divide(cast({numerator} AS double), cast({denominator} AS double))"
+
+
+def _percent_sql(numerator: str, denominator: str) -> str:
+    return f"try_divide(cast({numerator} AS double) * 100D, cast({denominator} AS double))"
 
 
 def month_of(col: Column | str) -> Column:
     return F.trunc(_col(col), "MM")
 
 
-def rank_of(col: Column | str, order: Sequence[str]) -> Column:
+def rank_of(column: str, order: Sequence[str]) -> Column:
     """Position of a label in its business order; unknown labels and null come last."""
-    value = _col(col)
-    rank = F.lit(len(order) + 1)
-    for position in range(len(order), 0, -1):
-        rank = F.when(value == order[position - 1], F.lit(position)).otherwise(rank)
-    return rank
+    ranks = " ".join(f"WHEN '{label}' THEN {i}" for i, label in enumerate(order, start=1))
+    return F.expr(f"CASE {column} {ranks} ELSE {len(order) + 1} END")
 
 
 def sort_keys(keys: Iterable[str]) -> list[Column]:

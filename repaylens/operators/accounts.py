@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repaylens.functions.columns import ratio
+from repaylens.functions.columns import ratio, rounded_ratio
 from repaylens.schemas import (
     CONTROL,
     FAILED,
@@ -117,7 +117,7 @@ def payment_summary(payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
     amount = f"CASE WHEN {paid} THEN payment_amount END"
     return payments.groupBy(key).agg(
         F.expr(f"sum(CASE WHEN {paid} THEN payment_amount ELSE 0BD END) AS amount_collected"),
-        ratio(F.expr(f"sum({amount})"), F.expr(f"count({amount})")).alias(
+        ratio(f"sum({amount})", f"count({amount})").alias(
             "avg_successful_payment_amount"
         ),
         F.expr(f"max(CASE WHEN {paid} THEN 1 ELSE 0 END) AS payment_made_flag"),
@@ -143,7 +143,7 @@ def plan_summary(plans: DataFrame, key: str = ACCOUNT) -> DataFrame:
         return F.expr(f"max(CASE WHEN {condition} THEN 1 ELSE 0 END) AS {name}")
 
     def mean(column: str) -> Column:
-        return ratio(F.sum(column), F.count(column)).alias(f"avg_{column}")
+        return ratio(f"sum({column})", f"count({column})").alias(f"avg_{column}")
 
     return plans.groupBy(key).agg(
         F.lit(1).alias("repayment_plan_created_flag"),
@@ -212,4 +212,4 @@ def with_client(df: DataFrame, clients: DataFrame, columns: Sequence[str]) -> Da
 
 def recovery_rate() -> Column:
     """Share of the balance an account has paid, to four places; null without a balance."""
-    return F.round(ratio(F.col("amount_collected"), F.col("debt_balance")), 4).cast(RATE)
+    return rounded_ratio("amount_collected", "debt_balance", 4).cast(RATE)

@@ -7,13 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import percent, ratio
+from repaylens.functions.columns import percent, rounded_ratio
 from repaylens.operators.quantiles import exact_quantiles
 
 
 def share_of_total(count: str) -> Column:
     """Percent of the grand total, over an already aggregated table."""
-    return percent(F.col(count), F.sum(count).over(Window.partitionBy()))
+    return percent(count, F.sum(count).over(Window.partitionBy()))
 
 
 def row_distribution(df: DataFrame, column: str, count: str, share: str) -> DataFrame:
@@ -89,7 +89,7 @@ def describe(df: DataFrame, digits: dict[str, int], places: int = 4) -> DataFram
     )
     moments = long.groupBy("column_name").agg(
         F.count("x").alias("value_count"),
-        F.round(ratio(F.sum("x"), F.count("x")), places).alias("mean"),
+        rounded_ratio("sum(x)", "count(x)", places).alias("mean"),
         F.round(F.stddev_samp(F.col("x").cast("double")), places).alias("std"),
         F.min("x").cast("double").alias("min"),
         F.max("x").cast("double").alias("max"),

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import either_label, percent, ratio
+from repaylens.functions.columns import percent, ratio, rounded
 from repaylens.functions.stats import normal_p_value, student_p_value
 from repaylens.operators.accounts import ACCOUNT
 from repaylens.operators.rollup import rollup
@@ -29,17 +29,17 @@ class Proportion:
     segment: str | None = None
 
 
-def significance(p_value: Column) -> Column:
-    return either_label(
-        p_value < SIGNIFICANCE_LEVEL, "Statistically significant", "Not statistically significant"
+def significance(p_value: str) -> Column:
+    return F.expr(
+        f"CASE WHEN {p_value} < {SIGNIFICANCE_LEVEL}D THEN 'Statistically significant'"
+        " ELSE 'Not statistically significant' END AS significance"
     )
 
 
-def direction(lift: Column, control: str = CONTROL, variant: str = VARIANT) -> Column:
-    return (
-        F.when(lift > 0, F.lit(f"{variant} higher"))
-        .when(lift < 0, F.lit(f"{control} higher"))
-        .otherwise(F.lit("No difference"))
+def direction(lift: str, control: str = CONTROL, variant: str = VARIANT) -> Column:
+    return F.expr(
+        f"CASE WHEN {lift} > 0 THEN '{variant} higher' WHEN {lift} < 0 THEN '{control} higher'"
+        " ELSE 'No difference' END AS direction"
     )
 
 
@@ -61,56 +61,58 @@ def proportion_ztest(
     columns = list(dict.fromkeys(t.column for t in tests))
     totals = rollup(accounts, [*([by] if by else []), group], unit, sums=columns)
 
-    def of(test: Proportion, name: str, value: str) -> Column:
-        mine = F.col(group) == name
+    def of(test: Proportion, name: str, value: str) -> str:
+        mine = f"{group} = '{name}'"
         if test.segment is not None:
-            mine = mine & (F.col(by) == test.segment)
-        return F.coalesce(F.sum(F.when(mine, F.col(value))), F.lit(0)).cast("bigint")
+            mine += f" AND {by} = '{test.segment}'"
+        return f"cast(coalesce(sum(CASE WHEN {mine} THEN {value} END), 0) AS bigint)"
 
     rows = [
-        F.struct(
-            F.lit(order).alias("test_order"),
-            F.lit(t.segment).alias("segment"),
-            F.lit(t.title).alias("metric"),
-            of(t, control, f"sum_{t.column}").alias("control_successes"),
-            of(t, control, "units").alias("control_total"),
-            of(t, variant, f"sum_{t.column}").alias("variant_successes"),
-            of(t, variant, "units").alias("variant_total"),
-        )
+        f"""named_struct(
+            'test_order', {order},
+            'segment', {"cast(NULL AS string)" if t.segment is None else f"'{t.segment}'"},
+            'metric', '{t.title}',
+            'control_successes', {of(t, control, f"sum_{t.column}")},
+            'control_total', {of(t, control, "units")},
+            'variant_successes', {of(t, variant, f"sum_{t.column}")},
+            'variant_total', {of(t, variant, "units")})"""
         for order, t in enumerate(tests, start=1)
     ]
-    counts = totals.agg(F.array(*rows).alias("tests")).select(F.inline("tests"))
-
-    x1, n1 = F.col("control_successes"), F.col("control_total")
-    x2, n2 = F.col("variant_successes"), F.col("variant_total")
-    p1, p2, pooled = ratio(x1, n1), ratio(x2, n2), ratio(x1 + x2, n1 + n2)
-    variance = pooled * (1.0 - pooled) * (ratio(F.lit(1), n1) + ratio(F.lit(1), n2))
-    measured = counts.withColumns(
-        {
-            "control_rate_percent": percent(x1, n1),
-            "variant_rate_percent": percent(x2, n2),
-            "lift_percentage_points": percent(x2, n2) - percent(x1, n1),
-            "z_statistic": F.try_divide(p2 - p1, F.sqrt(variance)),
-        }
-    ).withColumn("p_value", normal_p_value(F.col("z_statistic")))
-
-    def rounded(name: str) -> Column:
-        return F.round(name, digits).alias(name)
-
+    counts = totals.agg(F.expr(f"array({', '.join(rows)}) AS tests")).selectExpr("inline(tests)")
+    measured = (
+        counts.select(
+            "*",
+            percent("control_successes", "control_total").alias("control_rate_percent"),
+            percent("variant_successes", "variant_total").alias("variant_rate_percent"),
+            ratio(
+                "control_successes + variant_successes", "control_total + variant_total"
+            ).alias("pooled"),
+        )
+        .selectExpr(
+            "*",
+            "variant_rate_percent - control_rate_percent AS lift_percentage_points",
+            "sqrt(pooled * (1D - pooled) * (try_divide(1D, control_total)"
+            " + try_divide(1D, variant_total))) AS standard_error",
+        )
+        .selectExpr(
+            "*", "try_divide(lift_percentage_points / 100D, standard_error) AS z_statistic"
+        )
+        .withColumn("p_value", normal_p_value("z_statistic"))
+    )
     return measured.orderBy("test_order").select(
         *([F.col("segment").alias(by)] if by else []),
         "metric",
         "control_successes",
         "control_total",
-        rounded("control_rate_percent"),
+        rounded("control_rate_percent", digits).alias("control_rate_percent"),
         "variant_successes",
         "variant_total",
-        rounded("variant_rate_percent"),
-        rounded("lift_percentage_points"),
-        rounded("z_statistic"),
-        rounded("p_value"),
-        significance(F.col("p_value")).alias("significance"),
-        direction(F.col("lift_percentage_points"), control, variant).alias("direction"),
+        rounded("variant_rate_percent", digits).alias("variant_rate_percent"),
+        rounded("lift_percentage_points", digits).alias("lift_percentage_points"),
+        rounded("z_statistic", digits).alias("z_statistic"),
+        rounded("p_value", digits).alias("p_value"),
+        significance("p_value"),
+        direction("lift_percentage_points", control, variant),
     )
 
 
@@ -125,30 +127,34 @@ def welch_ttest(
 ) -> DataFrame:
     """Welch's test of a mean, two-sided, variant minus control, without equal variances."""
 
-    def stats(name: str) -> list[Column]:
-        mine = F.when(F.col(group) == name, F.col(value))
-        return [F.count(mine), ratio(F.sum(mine), F.count(mine)), F.var_samp(mine.cast("double"))]
-
-    names = ["n1", "m1", "v1", "n2", "m2", "v2"]
-    one = accounts.agg(
-        *[c.alias(n) for n, c in zip(names, [*stats(control), *stats(variant)], strict=True)]
-    )
-    n1, m1, v1, n2, m2, v2 = (F.col(n) for n in names)
-    e1, e2 = ratio(v1, n1), ratio(v2, n2)
-    dof = F.try_divide(
-        (e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, n1 - 1.0) + F.try_divide(e2 * e2, n2 - 1.0)
+    def stats(name: str, side: int) -> list[Column]:
+        mine = f"CASE WHEN {group} = '{name}' THEN {value} END"
+        return [
+            F.expr(f"count({mine}) AS n{side}"),
+            ratio(f"sum({mine})", f"count({mine})").alias(f"m{side}"),
+            F.expr(f"var_samp(cast({mine} AS double)) AS v{side}"),
+        ]
+
+    tested = (
+        accounts.agg(*stats(control, 1), *stats(variant, 2))
+        .selectExpr("*", "try_divide(v1, n1) AS e1", "try_divide(v2, n2) AS e2")
+        .selectExpr(
+            "m1",
+            "m2",
+            "try_divide(m2 - m1, sqrt(e1 + e2)) AS t",
+            "try_divide((e1 + e2) * (e1 + e2), try_divide(e1 * e1, n1 - 1)"
+            " + try_divide(e2 * e2, n2 - 1)) AS dof",
+        )
+        .withColumn("p", student_p_value("t", "dof"))
     )
-    tested = one.withColumns(
-        {"t": F.try_divide(m2 - m1, F.sqrt(e1 + e2)), "dof": dof}
-    ).withColumn("p", student_p_value(F.col("t"), F.col("dof")))
     return tested.select(
         F.lit(title).alias("metric"),
-        F.round(m1, digits).alias("control_avg_amount"),
-        F.round(m2, digits).alias("variant_avg_amount"),
-        F.round(m2 - m1, digits).alias("amount_lift"),
-        F.round("t", digits).alias("t_statistic"),
-        F.round("p", digits).alias("p_value"),
-        significance(F.col("p")).alias("significance"),
+        rounded("m1", digits).alias("control_avg_amount"),
+        rounded("m2", digits).alias("variant_avg_amount"),
+        rounded("m2 - m1", digits).alias("amount_lift"),
+        rounded("t", digits).alias("t_statistic"),
+        rounded("p", digits).alias("p_value"),
+        significance("p"),
     )
 
 
@@ -168,15 +174,14 @@ def mean_lifts(
     """
     totals = rollup(accounts, [group], unit, sums=[*points.values(), *amounts.values()])
 
-    def mean(name: str, column: str) -> Column:
-        return F.max(
-            F.when(F.col(group) == name, ratio(F.col(f"sum_{column}"), F.col(f"n_{column}")))
-        )
+    def mean(name: str, column: str) -> str:
+        quotient = f"try_divide(cast(sum_{column} AS double), cast(n_{column} AS double))"
+        return f"max(CASE WHEN {group} = '{name}' THEN {quotient} END)"
 
-    def lift(column: str) -> Column:
-        return mean(variant, column) - mean(control, column)
+    def lift(column: str) -> str:
+        return f"({mean(variant, column)} - {mean(control, column)})"
 
     return totals.agg(
-        *[F.round(lift(c) * 100.0, 2).alias(name) for name, c in points.items()],
-        *[F.round(lift(c), 2).alias(name) for name, c in amounts.items()],
+        *[rounded(f"{lift(c)} * 100D").alias(name) for name, c in points.items()],
+        *[rounded(lift(c)).alias(name) for name, c in amounts.items()],
     ).select(F.lit(f"{variant} vs {control}").alias("comparison"), "*")

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import pct
+from repaylens.functions.columns import pct, percent
 from repaylens.operators.accounts import ACCOUNT, flag_name
 from repaylens.operators.rollup import rollup
 
@@ -50,21 +50,21 @@ def percent_of_first(stage_table: DataFrame, name: str) -> DataFrame:
     """Compare every stage with the first one. For stage tables, not for account rows."""
     ordered = Window.orderBy("stage_order")
     return stage_table.withColumn(
-        name, pct(F.col("customers"), F.first("customers").over(ordered))
+        name, F.round(percent("customers", F.first("customers").over(ordered)), 2)
     ).orderBy("stage_order")
 
 
 def drop_off(stage_table: DataFrame) -> DataFrame:
     """Conversion from and loss since the stage before; the first stage has neither."""
     ordered = Window.orderBy("stage_order")
-    now, before = F.col("customers"), F.col("previous_stage_customers")
+    now, before = "customers", "previous_stage_customers"
     return (
-        stage_table.withColumn("previous_stage_customers", F.lag("customers", 1).over(ordered))
-        .filter(before.isNotNull())
+        stage_table.withColumn(before, F.lag("customers", 1).over(ordered))
+        .filter(F.col(before).isNotNull())
         .withColumns(
             {
                 "stage_to_stage_conversion_percent": pct(now, before),
-                "stage_drop_off_percent": pct(before - now, before),
+                "stage_drop_off_percent": pct(f"{before} - {now}", before),
             }
         )
         .orderBy("stage_order")
@@ -82,12 +82,12 @@ def segment_funnel(
     """Distinct accounts per stage and conversion rates for every segment."""
     counts = rollup(accounts, keys, unit, flags=[flag_name(s) for s in stages])
 
-    def reached(stage: str):
-        return F.col(f"units_{flag_name(stage)}")
+    def reached(stage: str) -> str:
+        return f"units_{flag_name(stage)}"
 
     return counts.select(
         *keys,
         F.col("units").alias(total),
-        *[reached(stage).alias(f"{stage}_customers") for stage in stages],
+        *[F.col(reached(stage)).alias(f"{stage}_customers") for stage in stages],
         *[pct(reached(SEGMENT_RATES[r][0]), reached(SEGMENT_RATES[r][1])).alias(r) for r in rates],
     )

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import ratio
+from repaylens.functions.columns import percent, ratio
 
 
 def stacked(frames: Sequence[DataFrame]) -> DataFrame:
@@ -66,7 +66,7 @@ def numeric_range(df: DataFrame, column: str) -> DataFrame:
     return df.agg(
         F.min(column).alias(f"min_{column}"),
         F.max(column).alias(f"max_{column}"),
-        ratio(F.sum(column), F.count(column)).alias(f"avg_{column}"),
+        ratio(f"sum({column})", f"count({column})").alias(f"avg_{column}"),
     )
 
 
@@ -108,7 +108,7 @@ def missing_values(frames: Mapping[str, DataFrame]) -> DataFrame:
                 F.lit(table).alias("table_name"),
                 "column_name",
                 "missing_values",
-                ratio(F.col("missing_values") * 100, F.col("table_rows")).alias("missing_percent"),
+                percent("missing_values", "table_rows").alias("missing_percent"),
             )
         )
     return (

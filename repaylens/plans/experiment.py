@@ -7,7 +7,15 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import mapped, pct, percent, ratio, sort_keys
+from repaylens.functions.columns import (
+    mapped,
+    pct,
+    percent,
+    ratio,
+    rounded,
+    rounded_ratio,
+    sort_keys,
+)
 from repaylens.operators.accounts import (
     attach_payments,
     attach_plans,
@@ -172,13 +180,13 @@ def group_metrics() -> dict[str, Column]:
     amount = "amount_collected"
     metrics: dict[str, Column] = {"test_customers": F.col("units")}
     for name, flag in GROUP_RATES.items():
-        metrics[name] = pct(F.col(f"sum_{flag}"), F.col(f"n_{flag}"))
-    metrics["total_amount_collected"] = F.round(f"sum_{amount}", 2)
-    metrics["avg_amount_collected_per_customer"] = F.round(
-        ratio(F.col(f"sum_{amount}"), F.col(f"n_{amount}")), 2
+        metrics[name] = pct(f"sum_{flag}", f"n_{flag}")
+    metrics["total_amount_collected"] = rounded(f"sum_{amount}")
+    metrics["avg_amount_collected_per_customer"] = rounded_ratio(
+        f"sum_{amount}", f"n_{amount}"
     )
     metrics["avg_customer_recovery_rate"] = pct(
-        F.col("sum_customer_recovery_rate"), F.col("n_customer_recovery_rate")
+        "sum_customer_recovery_rate", "n_customer_recovery_rate"
     )
     return metrics
 
@@ -296,9 +304,7 @@ def amount_summary(accounts: DataFrame) -> DataFrame:
         sums=["amount_collected", "collected"],
     ).select(
         GROUP,
-        ratio(F.col("sum_amount_collected"), F.col("n_amount_collected")).alias(
-            "avg_amount_collected"
-        ),
+        ratio("sum_amount_collected", "n_amount_collected").alias("avg_amount_collected"),
         F.col("units").alias("customers"),
         F.col("sum_collected").alias("customers_with_collection"),
     )
@@ -313,7 +319,7 @@ def amount_summary(accounts: DataFrame) -> DataFrame:
             "median_amount_collected",
             "customers",
             "customers_with_collection",
-            percent(F.col("customers_with_collection"), F.col("customers")).alias(
+            percent("customers_with_collection", "customers").alias(
                 "collection_customer_rate"
             ),
         )

@@ -158,10 +158,8 @@ def channel_engagement(t: Tables) -> DataFrame:
         )
         .withColumns(
             {
-                "delivery_rate": percent(F.col("delivered_count"), F.col("communication_count")),
-                "open_or_click_rate": percent(
-                    F.col("opened_or_clicked_count"), F.col("delivered_count")
-                ),
+                "delivery_rate": percent("delivered_count", "communication_count"),
+                "open_or_click_rate": percent("opened_or_clicked_count", "delivered_count"),
             }
         )
         .orderBy(F.desc("communication_count"), "channel")

@@ -7,7 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import either_label, flag, pct, percent, ratio, sort_keys
+from repaylens.functions.columns import (
+    either_label,
+    flag,
+    pct,
+    percent,
+    ratio,
+    rounded,
+    rounded_ratio,
+    sort_keys,
+)
 from repaylens.operators.accounts import (
     attach_payments,
     attach_plans,
@@ -41,19 +50,17 @@ def account_outcomes(t: Tables, accounts: DataFrame | None = None) -> DataFrame:
 def recovery_metrics() -> dict[str, Column]:
     """Recovery of a segment, on the columns of a rollup. Rates are per account
     unless stated otherwise; broken plans are per account with a plan."""
-    accounts = F.col("units")
-    collected, owed = F.col("sum_amount_collected"), F.col("sum_debt_balance")
-    plans = F.col("units_repayment_plan_created_flag")
+    plans = "units_repayment_plan_created_flag"
     return {
-        "total_customers": accounts,
-        "avg_debt_balance": F.round(ratio(owed, F.col("n_debt_balance")), 2),
-        "total_outstanding_balance": F.round(owed, 2),
-        "total_amount_collected": F.round(collected, 2),
-        "recovery_rate": pct(collected, owed),
-        "payment_conversion_rate": pct(F.col("units_payment_made_flag"), accounts),
-        "one_off_payment_rate": pct(F.col("units_one_off_payment_flag"), accounts),
-        "plan_setup_rate": pct(plans, accounts),
-        "broken_plan_rate": pct(F.col("units_broken_plan_flag"), plans),
+        "total_customers": F.col("units"),
+        "avg_debt_balance": rounded_ratio("sum_debt_balance", "n_debt_balance"),
+        "total_outstanding_balance": rounded("sum_debt_balance"),
+        "total_amount_collected": rounded("sum_amount_collected"),
+        "recovery_rate": pct("sum_amount_collected", "sum_debt_balance"),
+        "payment_conversion_rate": pct("units_payment_made_flag", "units"),
+        "one_off_payment_rate": pct("units_one_off_payment_flag", "units"),
+        "plan_setup_rate": pct(plans, "units"),
+        "broken_plan_rate": pct("units_broken_plan_flag", plans),
     }
 
 
@@ -105,7 +112,7 @@ _SEGMENT_METRICS = (
 
 
 def recovery_by_debt_age(t: Tables) -> DataFrame:
-    age = F.round(ratio(F.col("sum_debt_age_days"), F.col("n_debt_age_days")), 2)
+    age = rounded_ratio("sum_debt_age_days", "n_debt_age_days")
     names = ["total_customers", "avg_debt_age_days", *_SEGMENT_METRICS[1:]]
     return segment_recovery(
         account_outcomes(t), ["debt_age_band"], names, avg_debt_age_days=age
@@ -121,21 +128,22 @@ def recovery_by_client_type(t: Tables) -> DataFrame:
 
 def payment_method_performance(t: Tables) -> DataFrame:
     """Attempts and results per payment method; an unknown method is a group."""
-    status, amount = F.col("payment_status"), F.col("payment_amount")
-    paid = F.when(status == SUCCESSFUL, amount)
+
+    def attempts(status: str) -> str:
+        return f"count_if(payment_status = '{status}')"
+
+    paid = f"CASE WHEN payment_status = '{SUCCESSFUL}' THEN payment_amount END"
     return (
         t["payments"]
         .groupBy("payment_method")
         .agg(
-            F.count(F.lit(1)).alias("total_payment_attempts"),
-            F.count_if(status == SUCCESSFUL).alias("successful_payments"),
-            F.count_if(status == FAILED).alias("failed_payments"),
-            F.count_if(status == REVERSED).alias("reversed_payments"),
-            pct(F.count_if(status == SUCCESSFUL), F.count(F.lit(1))).alias("payment_success_rate"),
-            F.round(F.coalesce(F.sum(paid), F.lit(0).cast("decimal(18,2)")), 2).alias(
-                "successful_amount_collected"
-            ),
-            F.round(ratio(F.sum(paid), F.count(paid)), 2).alias("avg_successful_payment_amount"),
+            F.expr("count(*) AS total_payment_attempts"),
+            F.expr(f"{attempts(SUCCESSFUL)} AS successful_payments"),
+            F.expr(f"{attempts(FAILED)} AS failed_payments"),
+            F.expr(f"{attempts(REVERSED)} AS reversed_payments"),
+            pct(attempts(SUCCESSFUL), "count(*)").alias("payment_success_rate"),
+            rounded(f"coalesce(sum({paid}), 0BD)").alias("successful_amount_collected"),
+            rounded_ratio(f"sum({paid})", f"count({paid})").alias("avg_successful_payment_amount"),
         )
         .orderBy(F.desc("successful_amount_collected"), F.asc_nulls_first("payment_method"))
     )
@@ -158,12 +166,12 @@ def segment_plans(
     metrics: dict[str, Column] = {
         "total_repayment_plans": F.col("units"),
         "first_instalment_paid_plans": F.col("units_first_paid"),
-        "first_instalment_paid_rate": pct(F.col("units_first_paid"), F.col("units")),
+        "first_instalment_paid_rate": pct("units_first_paid", "units"),
         "broken_plans": F.col("units_broken"),
-        "broken_plan_rate": pct(F.col("units_broken"), F.col("units")),
+        "broken_plan_rate": pct("units_broken", "units"),
     }
     for column in _PLAN_AMOUNTS:
-        metrics[f"avg_{column}"] = F.round(ratio(F.col(f"sum_{column}"), F.col(f"n_{column}")), 2)
+        metrics[f"avg_{column}"] = rounded_ratio(f"sum_{column}", f"n_{column}")
     return totals.select(*keys, *[metrics[name].alias(name) for name in names])
 
 
@@ -261,9 +269,9 @@ def customer_recovery_summary(t: Tables, ordered: bool = False) -> DataFrame:
 def recovery_baseline_long(t: Tables) -> DataFrame:
     """Ten portfolio figures as metric and value."""
     totals = rollup(account_outcomes(t), [], "customer_id", flags=_FLAGS, sums=_SUMS)
-    accounts, plans = F.col("units"), F.col("units_repayment_plan_created_flag")
-    paying, broken = F.col("units_payment_made_flag"), F.col("units_broken_plan_flag")
-    owed, collected = F.col("sum_debt_balance"), F.col("sum_amount_collected")
+    accounts, plans = "units", "units_repayment_plan_created_flag"
+    paying, broken = "units_payment_made_flag", "units_broken_plan_flag"
+    owed, collected = "sum_debt_balance", "sum_amount_collected"
     return metric_rows(
         totals,
         {
@@ -354,7 +362,7 @@ def payment_plan_status(t: Tables) -> DataFrame:
     )
 
     def mean(column: str) -> Column:
-        return ratio(F.col(f"sum_{column}"), F.col(f"n_{column}"))
+        return ratio(f"sum_{column}", f"n_{column}")
 
     payment, plan = (F.col(k) == 1 for k in keys)
     label = (

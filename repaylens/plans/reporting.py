@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import flag, month_of, pct
+from repaylens.functions.columns import flag, month_of, pct, rounded
 from repaylens.operators.accounts import (
     ACCOUNT,
     attach_payments,
@@ -182,7 +182,7 @@ def vw_channel_performance(summary: DataFrame) -> DataFrame:
     )
 
     def rate(part: str, whole: str) -> Column:
-        return pct(F.col(f"units_{part}_flag"), F.col(f"units_{whole}_flag"))
+        return pct(f"units_{part}_flag", f"units_{whole}_flag")
 
     return totals.select(
         "primary_channel",
@@ -192,9 +192,9 @@ def vw_channel_performance(summary: DataFrame) -> DataFrame:
         rate("identity_verified", "link_opened").alias("verification_after_open_rate"),
         rate("payment_made", "invite_delivered").alias("payment_conversion_rate"),
         rate("repayment_plan_created", "invite_delivered").alias("plan_setup_rate"),
-        F.round("sum_amount_collected", 2).alias("total_amount_collected"),
-        F.round("sum_debt_balance", 2).alias("total_outstanding_balance"),
-        pct(F.col("sum_amount_collected"), F.col("sum_debt_balance")).alias("recovery_rate"),
+        rounded("sum_amount_collected").alias("total_amount_collected"),
+        rounded("sum_debt_balance").alias("total_outstanding_balance"),
+        pct("sum_amount_collected", "sum_debt_balance").alias("recovery_rate"),
     )
 
 
@@ -248,19 +248,19 @@ def vw_client_portfolio_summary(summary: DataFrame) -> DataFrame:
         ],
         sums=["debt_balance", "amount_collected"],
     )
-    accounts, plans = F.col("units"), F.col("units_repayment_plan_created_flag")
+    accounts, plans = "units", "units_repayment_plan_created_flag"
     return totals.select(
         *CLIENT_KEYS,
-        accounts.alias("total_customers"),
-        F.round("sum_debt_balance", 2).alias("total_outstanding_balance"),
-        F.round("sum_amount_collected", 2).alias("total_amount_collected"),
-        pct(F.col("sum_amount_collected"), F.col("sum_debt_balance")).alias("recovery_rate"),
-        pct(F.col("units_link_opened_flag"), F.col("units_invite_delivered_flag")).alias(
+        F.col(accounts).alias("total_customers"),
+        rounded("sum_debt_balance").alias("total_outstanding_balance"),
+        rounded("sum_amount_collected").alias("total_amount_collected"),
+        pct("sum_amount_collected", "sum_debt_balance").alias("recovery_rate"),
+        pct("units_link_opened_flag", "units_invite_delivered_flag").alias(
             "link_open_rate"
         ),
-        pct(F.col("units_payment_made_flag"), accounts).alias("payment_conversion_rate"),
+        pct("units_payment_made_flag", accounts).alias("payment_conversion_rate"),
         pct(plans, accounts).alias("plan_setup_rate"),
-        pct(F.col("units_broken_plan_flag"), plans).alias("broken_plan_rate"),
+        pct("units_broken_plan_flag", plans).alias("broken_plan_rate"),
     )
 
 
@@ -307,9 +307,9 @@ def dashboard_kpis(summary: DataFrame) -> DataFrame:
     return totals.select(
         F.col("units").alias("total_customers"),
         *[F.col(f"units_{s}_flag").alias(f"{s}_customers") for s in _COUNTED_STAGES],
-        F.round("sum_debt_balance", 2).alias("total_outstanding_balance"),
-        F.round("sum_amount_collected", 2).alias("total_amount_collected"),
-        pct(F.col("sum_amount_collected"), F.col("sum_debt_balance")).alias(
+        rounded("sum_debt_balance").alias("total_outstanding_balance"),
+        rounded("sum_amount_collected").alias("total_amount_collected"),
+        pct("sum_amount_collected", "sum_debt_balance").alias(
             "overall_recovery_rate"
         ),
     )
