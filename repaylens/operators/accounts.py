@@ -72,42 +72,39 @@ def attach_stages(
     )
 
 
-def earliest(
-    order: Sequence[str], payload: Sequence[str], where: Column | None = None
-) -> Column:
+def earliest(order: Sequence[str], payload: Sequence[str], where: str | None = None) -> Column:
     """Aggregate giving the first row of a group by ``order``, null first, as a struct.
 
     An aggregate rather than a row number: it combines on the map side and several
     of them share one pass over the events.
     """
-    row = F.struct(*[F.col(c) for c in dict.fromkeys([*order, *payload])])
-    return F.min(row if where is None else F.when(where, row))
+    row = f"struct({', '.join(dict.fromkeys([*order, *payload]))})"
+    return F.expr(f"min({row})" if where is None else f"min(CASE WHEN {where} THEN {row} END)")
 
 
 def first_touch(
     events: DataFrame,
     payload: Sequence[str],
     order: Sequence[str] = ("sent_date", "communication_id"),
-    where: Column | None = None,
+    where: str | None = None,
     key: str = ACCOUNT,
 ) -> DataFrame:
     """The first qualifying event of each account; ties on the date go to the lower id."""
     source = events if where is None else events.filter(where)
-    return source.groupBy(key).agg(earliest(order, payload).alias("first")).select(
-        key, *[F.col("first")[c].alias(c) for c in payload]
-    )
+    first = source.groupBy(key).agg(earliest(order, payload).alias("first"))
+    return first.selectExpr(key, *[f"first.{c} AS {c}" for c in payload])
 
 
 def test_message(
     channel: str = TEST_CHANNEL,
     groups: Sequence[str] = (CONTROL, VARIANT),
     window: tuple[date, date] = TEST_WINDOW,
-) -> Column:
+) -> str:
     """Condition: a message that belongs to the experiment. Both window days count."""
+    labels = ", ".join(f"'{g}'" for g in groups)
     return (
-        (F.col("channel") == channel)
-        & F.col("ab_test_group").isin(*groups)
-        & F.col("sent_date").between(F.lit(window[0]), F.lit(window[1]))
+        f"channel = '{channel}' AND ab_test_group IN ({labels})"
+        f" AND sent_date BETWEEN date'{window[0]}' AND date'{window[1]}'"
     )
 
 
@@ -165,9 +162,8 @@ _PAYMENT_NUMBERS = (
     "payment_made_flag",
     "one_off_payment_flag",
     "successful_payment_count",
-    "failed_payment_count",
-    "reversed_payment_count",
 )
+_ATTEMPT_NUMBERS = ("failed_payment_count", "reversed_payment_count")
 _PLAN_NUMBERS = (
     "repayment_plan_created_flag",
     "first_instalment_paid_flag",
@@ -180,10 +176,20 @@ _PLAN_NUMBERS = (
 )
 
 
-def attach_payments(accounts: DataFrame, payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
-    """Add the payment totals; accounts without payments get zeros."""
-    joined = accounts.join(payment_summary(payments, key), key, "left")
-    return joined.fillna(0, subset=list(_PAYMENT_NUMBERS))
+def attach_payments(
+    accounts: DataFrame, payments: DataFrame, key: str = ACCOUNT, attempts: bool = False
+) -> DataFrame:
+    """Add the payment totals; accounts without payments get zeros.
+
+    Without the counts of failed and reversed ``attempts``, only successful payments
+    are read and shuffled: an account with none of them ends up with zeros as well.
+    """
+    if attempts:
+        summary, numbers = payment_summary(payments, key), [*_PAYMENT_NUMBERS, *_ATTEMPT_NUMBERS]
+    else:
+        paid = payments.filter(F.col("payment_status") == SUCCESSFUL)
+        summary, numbers = payment_summary(paid, key).drop(*_ATTEMPT_NUMBERS), [*_PAYMENT_NUMBERS]
+    return accounts.join(summary, key, "left").fillna(0, subset=numbers)
 
 
 def attach_plans(

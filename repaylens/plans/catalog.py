@@ -117,4 +117,4 @@ def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
 def _on_summary(
     view: Callable[[DataFrame], DataFrame], window: tuple[date, date], t: Tables
 ) -> DataFrame:
-    return view(reporting.vw_customer_summary(t, window))
+    return view(reporting.vw_customer_summary(t, window, attempts=False))

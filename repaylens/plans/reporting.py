@@ -78,28 +78,33 @@ def message_summary(messages: DataFrame, window: Window = TEST_WINDOW) -> DataFr
     Both first touches come from one pass over the messages.
     """
     order = ["sent_date", "communication_id"]
+    tested = test_message(window=window)
     touches = messages.groupBy(ACCOUNT).agg(
         earliest(order, ["channel"]).alias("first"),
-        earliest(order, ["ab_test_group", "message_tone"], test_message(window=window)).alias(
-            "test"
-        ),
+        earliest(order, ["ab_test_group", "message_tone"], tested).alias("test"),
     )
-    return touches.select(
+    return touches.selectExpr(
         ACCOUNT,
-        F.col("first.channel").alias("primary_channel"),
-        F.col("first.sent_date").alias("first_communication_date"),
-        F.col("test.ab_test_group").alias("ab_test_group"),
-        F.col("test.message_tone").alias("message_tone"),
+        "first.channel AS primary_channel",
+        "first.sent_date AS first_communication_date",
+        "test.ab_test_group AS ab_test_group",
+        "test.message_tone AS message_tone",
     )
 
 
-def vw_customer_summary(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
-    """One row per account with its client, contact, journey, payments and plans."""
+def vw_customer_summary(
+    t: Tables, window: Window = TEST_WINDOW, attempts: bool = True
+) -> DataFrame:
+    """One row per account with its client, contact, journey, payments and plans.
+
+    ``attempts=False`` leaves out the counts of failed and reversed payments, which
+    no view built on the summary needs, and with them the reading of such payments.
+    """
     accounts = t["customers"].join(
         message_summary(t["communication_events"], window), ACCOUNT, "left"
     )
     accounts = attach_stages(accounts, t["journey_events"], SUMMARY_STAGES)
-    accounts = attach_payments(accounts, t["payments"])
+    accounts = attach_payments(accounts, t["payments"], attempts=attempts)
     accounts = attach_plans(accounts, t["repayment_plans"])
     uploaded = F.col("account_upload_date")
     return with_client(accounts, t["clients"], CLIENT_COLUMNS).select(
@@ -126,8 +131,7 @@ def vw_customer_summary(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
         "amount_collected",
         "avg_successful_payment_amount",
         "successful_payment_count",
-        "failed_payment_count",
-        "reversed_payment_count",
+        *(["failed_payment_count", "reversed_payment_count"] if attempts else []),
         "repayment_plan_created_flag",
         "first_instalment_paid_flag",
         "broken_plan_flag",
@@ -322,7 +326,7 @@ def view_row_counts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     five grouped views are counted on those.
     """
     keys = list(dict.fromkeys([*FUNNEL_KEYS, *AB_KEYS, *RECOVERY_KEYS, *CLIENT_KEYS]))
-    combinations = vw_customer_summary(t, window).groupBy(*keys).agg(
+    combinations = vw_customer_summary(t, window, attempts=False).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("accounts")
     )
     tested = F.col("ab_test_group").isin(CONTROL, VARIANT)

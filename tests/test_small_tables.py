@@ -277,9 +277,7 @@ def test_view_rows_equal_built_views(t):
     assert counted == {name: built[name].count() for name in counted}
 
 
-def test_registered_views_answer_sql(spark, t, tmp_path):
-    if spark.conf.get("spark.checkpoint.dir", None) is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_registered_views_answer_sql(spark, t):
     reporting.register_reporting(t, store_summary=True)
     got = spark.sql(
         "SELECT sum(total_customers) AS n FROM vw_channel_performance"
