@@ -851,7 +851,7 @@ ORACLE["recovery_baseline_long"] = on_accounts(
     union([f"SELECT '{m}' AS metric, CAST({x} AS DOUBLE) AS value FROM account" for m, x in _BASELINE])
 )
 ORACLE["weakest_segments"] = on_accounts(
-    "SELECT *, balance_band || ' | ' || debt_age_band AS segment FROM segments ORDER BY recovery_rate NULLS LAST,"
+    "SELECT *, COALESCE(balance_band, 'nan') || ' | ' || COALESCE(debt_age_band, 'nan') AS segment FROM segments ORDER BY recovery_rate NULLS LAST,"
     f" {band_rank('balance_band')}, {band_rank('debt_age_band')} LIMIT 10",
     _SEGMENTS,
 )

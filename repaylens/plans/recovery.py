@@ -290,11 +290,14 @@ def recovery_baseline_long(t: Tables) -> DataFrame:
 
 
 def weakest(segments: DataFrame, k: int = 10) -> DataFrame:
-    """The ``k`` segments of lowest recovery, labelled ``balance | age``."""
+    """The ``k`` segments of lowest recovery, labelled ``balance | age``; a missing part
+    reads ``nan``."""
     return (
         segments.orderBy(F.asc_nulls_last("recovery_rate"), *sort_keys(SEGMENT))
         .limit(k)
-        .withColumn("segment", F.concat_ws(" | ", *SEGMENT))
+        .withColumn(
+            "segment", F.expr(" || ' | ' || ".join(f"coalesce({key}, 'nan')" for key in SEGMENT))
+        )
     )
 
 
