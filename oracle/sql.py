@@ -363,18 +363,18 @@ ORACLE["dq_orphans"] = query(
     )
 )
 for _name, _table, _column in [
-    ("dq_debt_balance_range", "customers", "debt_balance"),
-    ("dq_payment_amount_range", "payments", "payment_amount"),
-    ("dq_plan_amount_range", "repayment_plans", "plan_amount"),
+    ("dq_numeric_ranges_debt_balance", "customers", "debt_balance"),
+    ("dq_numeric_ranges_payment_amount", "payments", "payment_amount"),
+    ("dq_numeric_ranges_plan_amount", "repayment_plans", "plan_amount"),
 ]:
     ORACLE[_name] = query(
         f"SELECT CAST(MIN({_column}) AS DOUBLE) AS min_{_column}, CAST(MAX({_column}) AS DOUBLE) AS max_{_column},"
         f" {mean(_column)} AS avg_{_column} FROM {_table}"
     )
-ORACLE["dq_invalid_balances"] = query(
+ORACLE["dq_invalid_amounts_debt_balance"] = query(
     "SELECT COUNT(*) AS invalid_debt_balance_records FROM customers WHERE debt_balance <= 0"
 )
-ORACLE["dq_negative_payments"] = query(
+ORACLE["dq_invalid_amounts_payment_amount"] = query(
     "SELECT COUNT(*) AS negative_payment_records FROM payments WHERE payment_amount < 0"
 )
 ORACLE["dq_client_type_counts"] = query(

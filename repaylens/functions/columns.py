@@ -6,14 +6,8 @@ from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from repaylens.schemas import BAND_ORDER, MONEY
-
-
-def money(col: Column | str) -> Column:
-    """Exact money: sums do not depend on the order in which tasks finish."""
-    return _col(col).cast(MONEY)
+from repaylens.schemas import BAND_ORDER
 
 
 def flag(condition: Column) -> Column:
@@ -97,14 +91,8 @@ def to_dates(df: DataFrame, columns: Iterable[str]) -> DataFrame:
 
 def money_as_double(df: DataFrame) -> DataFrame:
     """Result tables carry plain doubles; decimals are only needed while summing."""
-    return df.select(
-        *[
-            F.col(f.name).cast("double").alias(f.name)
-            if isinstance(f.dataType, T.DecimalType)
-            else F.col(f.name)
-            for f in df.schema.fields
-        ]
-    )
+    money_columns = [name for name, kind in df.dtypes if kind.startswith("decimal")]
+    return df.withColumns({name: F.col(name).cast("double") for name in money_columns})
 
 
 def _col(col: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repaylens.functions.columns import percent, ratio
@@ -70,8 +70,8 @@ def numeric_range(df: DataFrame, column: str) -> DataFrame:
     )
 
 
-def count_where(df: DataFrame, condition: Column, name: str) -> DataFrame:
-    return df.agg(F.count_if(condition).alias(name))
+def count_where(df: DataFrame, condition: str, name: str) -> DataFrame:
+    return df.agg(F.expr(f"count_if({condition}) AS {name}"))
 
 
 def duplicate_keys(df: DataFrame, key: str) -> DataFrame:

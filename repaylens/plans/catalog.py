@@ -20,11 +20,6 @@ _QUALITY = (
     "dq_date_ranges",
     "dq_duplicate_keys",
     "dq_orphans",
-    "dq_debt_balance_range",
-    "dq_payment_amount_range",
-    "dq_plan_amount_range",
-    "dq_invalid_balances",
-    "dq_negative_payments",
     "dq_client_type_counts",
     "dq_missing_values",
     "channel_distribution",
@@ -92,6 +87,10 @@ def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
     out: dict[str, Analysis] = {name: getattr(quality, name) for name in _QUALITY}
     for table in KEYS:
         out[f"dq_preview_{table}"] = partial(quality.dq_preview, table=table)
+    for column in ("debt_balance", "payment_amount", "plan_amount"):
+        out[f"dq_numeric_ranges_{column}"] = partial(quality.dq_numeric_ranges, column=column)
+    for column in ("debt_balance", "payment_amount"):
+        out[f"dq_invalid_amounts_{column}"] = partial(quality.dq_invalid_amounts, column=column)
     for column in (*BAND_ORDER, "channel", "event_name", "payment_status", "plan_status"):
         out[f"dq_distribution_{column}"] = partial(quality.dq_distribution, column=column)
     for column in (*BAND_ORDER, "client_type", "portfolio_type"):

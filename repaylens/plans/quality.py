@@ -66,26 +66,23 @@ def dq_orphans(t: Tables) -> DataFrame:
     )
 
 
-def dq_debt_balance_range(t: Tables) -> DataFrame:
-    return q.numeric_range(t["customers"], "debt_balance")
-
-
-def dq_payment_amount_range(t: Tables) -> DataFrame:
-    return q.numeric_range(t["payments"], "payment_amount")
-
-
-def dq_plan_amount_range(t: Tables) -> DataFrame:
-    return q.numeric_range(t["repayment_plans"], "plan_amount")
-
-
-def dq_invalid_balances(t: Tables) -> DataFrame:
-    return q.count_where(
-        t["customers"], F.col("debt_balance") <= 0, "invalid_debt_balance_records"
-    )
+def dq_numeric_ranges(t: Tables, column: str) -> DataFrame:
+    """Smallest, largest and mean balance, payment amount or plan amount."""
+    table = {
+        "debt_balance": "customers",
+        "payment_amount": "payments",
+        "plan_amount": "repayment_plans",
+    }[column]
+    return q.numeric_range(t[table], column)
 
 
-def dq_negative_payments(t: Tables) -> DataFrame:
-    return q.count_where(t["payments"], F.col("payment_amount") < 0, "negative_payment_records")
+def dq_invalid_amounts(t: Tables, column: str) -> DataFrame:
+    """Balances that are zero or negative, or payments that are negative."""
+    table, condition, name = {
+        "debt_balance": ("customers", "debt_balance <= 0", "invalid_debt_balance_records"),
+        "payment_amount": ("payments", "payment_amount < 0", "negative_payment_records"),
+    }[column]
+    return q.count_where(t[table], condition, name)
 
 
 def dq_client_type_counts(t: Tables) -> DataFrame:

@@ -4,11 +4,6 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import types as T
-
-MONEY = T.DecimalType(18, 2)
-
-
 # Table and column names, and category labels, must equal those of
 # the data the analyses are defined on.
 CLIENTS = (

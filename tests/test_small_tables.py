@@ -235,8 +235,8 @@ def test_quality_checks(t):
         ("customers", "clients", 1),
     }
     assert rows(quality.dq_duplicate_keys(t)) == [("payments", "P5", 2)]
-    assert rows(quality.dq_invalid_balances(t)) == [(1,)]
-    assert rows(quality.dq_negative_payments(t)) == [(0,)]
+    assert rows(quality.dq_invalid_amounts(t, "debt_balance")) == [(1,)]
+    assert rows(quality.dq_invalid_amounts(t, "payment_amount")) == [(0,)]
     missing = {(r[0], r[1]): (r[2], round(r[3], 2)) for r in rows(quality.dq_missing_values(t))}
     assert missing == {
         ("customers", "customer_age_band"): (1, 14.29),
