@@ -95,7 +95,7 @@ def describe(df: DataFrame, digits: dict[str, int], places: int = 4) -> DataFram
         F.max("x").cast("double").alias("max"),
     )
     quartiles = (
-        exact_quantiles(df, [], digits, [0.25, 0.5, 0.75])
+        exact_quantiles(df, {}, digits, [0.25, 0.5, 0.75])
         .groupBy("column_name")
         .agg(
             *[

@@ -19,17 +19,17 @@ BUCKET_BITS = 20  # a bucket spans 2 ** 20 units, 10,485.76 for money in pennies
 
 def exact_quantiles(
     df: DataFrame,
-    by: Sequence[str],
+    by: Mapping[str, Sequence[str]],
     digits: Mapping[str, int],
     quantiles: Sequence[float],
     bucket_bits: int = BUCKET_BITS,
 ) -> DataFrame:
     """Linearly interpolated quantiles of decimal columns.
 
-    ``by`` holds category columns of few values (a handful of rows per group is
-    broadcast); rows with a null category and null values are left out. ``digits``
-    maps each column to its number of decimal places. One row per group, column and
-    quantile: ``*by, column_name, quantile, value``.
+    ``by`` maps category columns to their labels, as for a pivot; other labels and
+    null values are left out. ``digits`` maps each column to its number of decimal
+    places. One row per group, column and quantile:
+    ``*by, column_name, quantile, value``.
     """
     keys = [*by, "column_name"]
     entries = [
@@ -41,9 +41,11 @@ def exact_quantiles(
         for name, places in digits.items()
     ]
     values = df.select(*by, F.inline(F.array(*entries)))
-    for column in [*by, "v"]:
-        values = values.filter(F.col(column).isNotNull())
-    values = values.withColumn("bucket", F.shiftright("v", bucket_bits))
+    for column, labels in by.items():
+        values = values.filter(F.col(column).isin(list(labels)))
+    values = values.filter(F.col("v").isNotNull()).withColumn(
+        "bucket", F.shiftright("v", bucket_bits)
+    )
 
     in_order = Window.partitionBy(*keys).orderBy("bucket")
     coarse = (
@@ -68,7 +70,8 @@ def exact_quantiles(
             for side in (F.floor, F.ceil)
         ]
     )
-    # at most two ranks per quantile: a few rows per group, whatever the input size
+    # At most two ranks per quantile, column and combination of stated labels: the
+    # number of rows is known before reading anything, so they may be broadcast.
     targets = (
         coarse.withColumn("target", F.explode(F.array_distinct(wanted)))
         .filter(

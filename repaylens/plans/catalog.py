@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import date
 from functools import partial
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from repaylens.plans import experiment, journey, quality, recovery, reporting
 from repaylens.schemas import BAND_ORDER, KEYS, TEST_WINDOW
-from repaylens.sources.files import Tables
+from repaylens.sources.files import Tables, export_csv
 
 Analysis = Callable[[Tables], DataFrame]
 
@@ -113,6 +113,49 @@ def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
     return out
 
 
+# Results handed over as files, with the sort order of those that have a row per account.
+EXPORTS: dict[str, list[str]] = {
+    "overall_funnel": [],
+    "stage_drop_off": [],
+    "funnel_by_channel": [],
+    "funnel_by_balance_band": [],
+    "monthly_funnel_trend": [],
+    "ab_core_performance": [],
+    "ab_by_balance_band": [],
+    "ab_lift_summary": [],
+    "ab_customer_outcomes": ["ab_test_group", "customer_id"],
+    "recovery_by_balance_band": [],
+    "recovery_by_debt_age": [],
+    "recovery_by_client_type": [],
+    "plan_by_affordability": [],
+    "recovery_priority_segments": [],
+    "customer_recovery_summary": ["customer_id"],
+    "ab_ztests": [],
+    "ab_amount_ttest": [],
+    "ab_ztests_by_band": [],
+    "recovery_baseline_long": [],
+    "high_exposure_low_recovery": [],
+    "payment_plan_status": [],
+}
+
+
+def export_results(
+    t: Tables,
+    folder: str,
+    window: tuple[date, date] = TEST_WINDOW,
+    names: Iterable[str] = tuple(EXPORTS),
+) -> None:
+    """Write results as CSV, one folder per analysis.
+
+    Reports become one file. Tables with a row per account are sorted over as many
+    files as Spark makes.
+    """
+    run = analyses(window)
+    for name in names:
+        order = EXPORTS.get(name, [])
+        export_csv(run[name](t), f"{folder.rstrip('/')}/{name}", order, None if order else 1)
+
+
 def _on_summary(
     view: Callable[[DataFrame], DataFrame], window: tuple[date, date], t: Tables
 ) -> DataFrame:

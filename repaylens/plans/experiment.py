@@ -308,7 +308,8 @@ def amount_summary(accounts: DataFrame) -> DataFrame:
         F.col("units").alias("customers"),
         F.col("sum_collected").alias("customers_with_collection"),
     )
-    medians = exact_quantiles(grouped, [GROUP], {"amount_collected": 2}, [0.5]).select(
+    groups = {GROUP: (CONTROL, VARIANT)}
+    medians = exact_quantiles(grouped, groups, {"amount_collected": 2}, [0.5]).select(
         GROUP, F.col("value").alias("median_amount_collected")
     )
     return (

@@ -43,6 +43,21 @@ def test_export_is_sorted_and_has_a_header(spark, t, tmp_path):
     assert lines[1] == "A1,100.0"
 
 
+def test_results_are_exported_and_read_back(spark, t, tmp_path):
+    from repaylens.functions.columns import money_as_double
+    from repaylens.plans.catalog import EXPORTS, analyses, export_results
+
+    names = ["overall_funnel", "ab_ztests", "customer_recovery_summary"]
+    assert set(names) < set(EXPORTS) < set(analyses())
+    export_results(t, str(tmp_path), names=names)
+    for name in names:
+        want = money_as_double(analyses()[name](t))
+        back = files.read_csv(spark, f"{tmp_path}/{name}", want.schema)
+        assert sorted(map(str, back.collect())) == sorted(map(str, want.collect()))
+        if not EXPORTS[name]:
+            assert back.collect() == want.collect()
+
+
 def test_parquet_tables(spark, t, tmp_path):
     for name, df in t.items():
         files.export_parquet(df, f"{tmp_path}/{name}.parquet")

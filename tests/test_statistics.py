@@ -25,7 +25,7 @@ def mixed():
 def test_quantiles_do_not_depend_on_buckets(spark, mixed, bucket_bits):
     df = spark.createDataFrame(amounts(mixed), "x decimal(18,2)").repartition(5)
     wanted = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
-    got = {r["quantile"]: r["value"] for r in exact_quantiles(df, [], {"x": 2}, wanted, bucket_bits).collect()}
+    got = {r["quantile"]: r["value"] for r in exact_quantiles(df, {}, {"x": 2}, wanted, bucket_bits).collect()}
     known = np.array([v for v in mixed if v is not None])
     for q in wanted:
         assert got[q] == pytest.approx(np.quantile(known, q) / 100, abs=1e-9)
@@ -34,13 +34,13 @@ def test_quantiles_do_not_depend_on_buckets(spark, mixed, bucket_bits):
 def test_quantiles_by_group(spark):
     rows = [("a", Decimal("1.00")), ("a", Decimal("2.00")), ("b", Decimal("5.55")), (None, Decimal("9.00"))]
     df = spark.createDataFrame(rows, "g string, x decimal(18,2)")
-    got = {(r["g"], r["column_name"]): r["value"] for r in exact_quantiles(df, ["g"], {"x": 2}, [0.5]).collect()}
+    got = {(r["g"], r["column_name"]): r["value"] for r in exact_quantiles(df, {"g": ["a", "b"]}, {"x": 2}, [0.5]).collect()}
     assert got == {("a", "x"): 1.5, ("b", "x"): 5.55}
 
 
 def test_quantiles_of_nothing(spark):
     df = spark.createDataFrame([(None,)], "x decimal(18,2)")
-    assert exact_quantiles(df, [], {"x": 2}, [0.5]).collect() == []
+    assert exact_quantiles(df, {}, {"x": 2}, [0.5]).collect() == []
 
 
 def test_histogram_equals_numpy(spark, mixed):
