@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from repaylens.schemas import BAND_ORDER
 
 
+def quoted(text: str) -> str:
+    """A string literal for SQL text."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def flag(condition: Column) -> Column:
     """1 where the condition holds, else 0 (also for null)."""
     return F.when(condition, F.lit(1)).otherwise(F.lit(0))
@@ -64,7 +69,7 @@ def month_of(col: Column | str) -> Column:
 
 def rank_of(column: str, order: Sequence[str]) -> Column:
     """Position of a label in its business order; unknown labels and null come last."""
-    ranks = " ".join(f"WHEN '{label}' THEN {i}" for i, label in enumerate(order, start=1))
+    ranks = " ".join(f"WHEN {quoted(label)} THEN {i}" for i, label in enumerate(order, start=1))
     return F.expr(f"CASE {column} {ranks} ELSE {len(order) + 1} END")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from repaylens.functions.columns import ratio, rounded_ratio
+from repaylens.functions.columns import quoted, ratio, rounded_ratio
 from repaylens.schemas import (
     CONTROL,
     FAILED,
@@ -49,14 +49,14 @@ def attach_stages(
     """
     stages = list(stages)
     first_dates = dict(first_dates or {})
-    bits = " ".join(f"WHEN '{stage}' THEN {1 << i}L" for i, stage in enumerate(stages))
+    bits = " ".join(f"WHEN {quoted(stage)} THEN {1 << i}L" for i, stage in enumerate(stages))
     reached = (
         events.filter(F.col("event_name").isin(sorted({*stages, *first_dates})))
         .groupBy(key)
         .agg(
             F.expr(f"bit_or(CASE event_name {bits} ELSE 0L END) AS reached_stages"),
             *[
-                F.expr(f"min(CASE WHEN event_name = '{event}' THEN event_date END) AS {column}")
+                F.expr(f"min(CASE WHEN event_name = {quoted(event)} THEN event_date END) AS {column}")
                 for event, column in first_dates.items()
             ],
         )
@@ -101,9 +101,9 @@ def test_message(
     window: tuple[date, date] = TEST_WINDOW,
 ) -> str:
     """Condition: a message that belongs to the experiment. Both window days count."""
-    labels = ", ".join(f"'{g}'" for g in groups)
+    labels = ", ".join(quoted(g) for g in groups)
     return (
-        f"channel = '{channel}' AND ab_test_group IN ({labels})"
+        f"channel = {quoted(channel)} AND ab_test_group IN ({labels})"
         f" AND sent_date BETWEEN date'{window[0]}' AND date'{window[1]}'"
     )
 

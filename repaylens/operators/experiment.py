@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import percent, ratio, rounded
+from repaylens.functions.columns import percent, quoted, ratio, rounded
 from repaylens.functions.stats import normal_p_value, student_p_value
 from repaylens.operators.accounts import ACCOUNT
 from repaylens.operators.rollup import rollup
@@ -38,7 +38,8 @@ def significance(p_value: str) -> Column:
 
 def direction(lift: str, control: str = CONTROL, variant: str = VARIANT) -> Column:
     return F.expr(
-        f"CASE WHEN {lift} > 0 THEN '{variant} higher' WHEN {lift} < 0 THEN '{control} higher'"
+        f"CASE WHEN {lift} > 0 THEN {quoted(variant + ' higher')}"
+        f" WHEN {lift} < 0 THEN {quoted(control + ' higher')}"
         " ELSE 'No difference' END AS direction"
     )
 
@@ -62,16 +63,16 @@ def proportion_ztest(
     totals = rollup(accounts, [*([by] if by else []), group], unit, sums=columns)
 
     def of(test: Proportion, name: str, value: str) -> str:
-        mine = f"{group} = '{name}'"
+        mine = f"{group} = {quoted(name)}"
         if test.segment is not None:
-            mine += f" AND {by} = '{test.segment}'"
+            mine += f" AND {by} = {quoted(test.segment)}"
         return f"cast(coalesce(sum(CASE WHEN {mine} THEN {value} END), 0) AS bigint)"
 
     rows = [
         f"""named_struct(
             'test_order', {order},
-            'segment', {"cast(NULL AS string)" if t.segment is None else f"'{t.segment}'"},
-            'metric', '{t.title}',
+            'segment', {"cast(NULL AS string)" if t.segment is None else quoted(t.segment)},
+            'metric', {quoted(t.title)},
             'control_successes', {of(t, control, f"sum_{t.column}")},
             'control_total', {of(t, control, "units")},
             'variant_successes', {of(t, variant, f"sum_{t.column}")},
@@ -128,7 +129,7 @@ def welch_ttest(
     """Welch's test of a mean, two-sided, variant minus control, without equal variances."""
 
     def stats(name: str, side: int) -> list[Column]:
-        mine = f"CASE WHEN {group} = '{name}' THEN {value} END"
+        mine = f"CASE WHEN {group} = {quoted(name)} THEN {value} END"
         return [
             F.expr(f"count({mine}) AS n{side}"),
             ratio(f"sum({mine})", f"count({mine})").alias(f"m{side}"),
@@ -176,7 +177,7 @@ def mean_lifts(
 
     def mean(name: str, column: str) -> str:
         quotient = f"try_divide(cast(sum_{column} AS double), cast(n_{column} AS double))"
-        return f"max(CASE WHEN {group} = '{name}' THEN {quotient} END)"
+        return f"max(CASE WHEN {group} = {quoted(name)} THEN {quotient} END)"
 
     def lift(column: str) -> str:
         return f"({mean(variant, column)} - {mean(control, column)})"

@@ -32,14 +32,15 @@ def rollup(
     flags, sums = list(flags), list(sums)
     per_unit = df.groupBy(*keys, unit).agg(
         F.expr("count(*) AS rows"),
-        *[F.expr(f"max({c}) AS any_{c}") for c in flags],
-        *[F.expr(f"sum({c}) AS sum_{c}") for c in sums],
-        *[F.expr(f"count({c}) AS n_{c}") for c in sums],
+        *[F.expr(f"max(`{c}`) AS `any_{c}`") for c in flags],
+        *[F.expr(f"sum(`{c}`) AS `sum_{c}`") for c in sums],
+        *[F.expr(f"count(`{c}`) AS `n_{c}`") for c in sums],
     )
+    known = f"`{unit}` IS NOT NULL"
     return per_unit.groupBy(*keys).agg(
-        F.expr(f"count({unit}) AS units"),
+        F.expr(f"count(`{unit}`) AS units"),
         F.expr("sum(rows) AS rows"),
-        *[F.expr(f"count_if({unit} IS NOT NULL AND any_{c} = 1) AS units_{c}") for c in flags],
-        *[F.expr(f"sum(sum_{c}) AS sum_{c}") for c in sums],
-        *[F.expr(f"sum(n_{c}) AS n_{c}") for c in sums],
+        *[F.expr(f"count_if({known} AND `any_{c}` = 1) AS `units_{c}`") for c in flags],
+        *[F.expr(f"sum(`sum_{c}`) AS `sum_{c}`") for c in sums],
+        *[F.expr(f"sum(`n_{c}`) AS `n_{c}`") for c in sums],
     )

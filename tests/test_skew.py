@@ -90,3 +90,18 @@ def test_hot_account_travels_as_one_row_per_task(skew_aware):
     assert first.count() == ROWS - ROWS // 3 + 1
     parents = spark.createDataFrame([("1",), ("2",)], "customer_id string")
     assert orphan_count(events, parents, "customer_id", "n").first()[0] == ROWS - 2
+
+
+def test_hot_client_is_split_where_clients_are_not_broadcast(skew_aware):
+    from repaylens.plans import journey
+
+    spark = skew_aware
+    t = small_tables(spark)
+    accounts = spark.range(0, ROWS, 1, 12).select(
+        F.col("id").cast("string").alias("customer_id"),
+        F.when(F.col("id") % 3 == 0, "K1").otherwise(F.concat(F.lit("X"), "id")).alias("client_id"),
+    )
+    by_type = journey.funnel_by_client_type({**t, "customers": accounts})
+    assert "skew=true" in final_plan(by_type)
+    found = {r["client_type"]: r["total_customers"] for r in by_type.collect()}
+    assert found == {"Telecoms": ROWS // 3, None: ROWS - ROWS // 3}

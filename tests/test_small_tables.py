@@ -302,3 +302,15 @@ def test_money_stays_exact(spark):
     ]
     t = small_tables(spark, payments=pennies)
     assert money_as_double(recovery.recovery_overall(t)).first()["total_amount_collected"] == 100.0
+
+
+def test_labels_with_quotes(spark):
+    from repaylens.operators.experiment import Proportion, proportion_ztest
+
+    rows = [("c1", "It's", 1, "O'B"), ("c2", "It's", 0, "O'B"), ("c3", "New", 1, "O'B"), ("c4", "New", 1, "x")]
+    df = spark.createDataFrame(rows, "customer_id string, ab_test_group string, won int, band string")
+    got = proportion_ztest(
+        df, [Proportion("won", "Won's", "O'B")], by="band", control="It's", variant="New"
+    ).first()
+    assert tuple(got)[:8] == ("O'B", "Won's", 1, 2, 50.0, 1, 1, 100.0)
+    assert got["direction"] == "New higher"
