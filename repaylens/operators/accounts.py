@@ -113,7 +113,7 @@ def payment_summary(payments: DataFrame, key: str = ACCOUNT) -> DataFrame:
     paid = f"payment_status = '{SUCCESSFUL}'"
     amount = f"CASE WHEN {paid} THEN payment_amount END"
     return payments.groupBy(key).agg(
-        F.expr(f"sum(CASE WHEN {paid} THEN payment_amount ELSE 0BD END) AS amount_collected"),
+        F.expr(f"coalesce(sum({amount}), 0BD) AS amount_collected"),
         ratio(f"sum({amount})", f"count({amount})").alias(
             "avg_successful_payment_amount"
         ),
