@@ -117,7 +117,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarr
         common = tokens[frequent]
         top = n.bit_length() - 1
         # a set just above a power of two also meets those just below it
-        levels = [top] if rule.percent * n >= 100 * (1 << top) else [top, top - 1]
+        levels = [top] if top == 0 or rule.percent * n >= 100 * (1 << top) else [top, top - 1]
         for level in levels:
             out.append(_pairs(common, need - len(rare), level, rule))
     return np.unique(np.concatenate(out))

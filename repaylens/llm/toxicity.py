@@ -1,7 +1,8 @@
 """Toxicity by logistic regression, learnt with FTRL-proximal.
 
 Features are hashed word n-grams (one and two words), skip-grams (two words around one)
-and beginnings of words, each counted once a text. Learning keeps two numbers a feature:
+and beginnings of words by how often they occur (at least one to four times), each once a
+text. Learning keeps two numbers a feature:
 per-coordinate rates, and an L1 penalty that leaves most weights at zero. The few others
 are broadcast for scoring; their number is bounded by the size of the hash space.
 
@@ -33,9 +34,10 @@ from repaylens.llm.common import stored, table
 
 BITS = 20
 SHARES, ROUNDS, PASSES = 4, 3, 2
-MAX_ROWS = 20_000
+MAX_ROWS = 16_000
 THRESHOLD = 0.3
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (3, 4, 5, 6, 7)
+TIMES = 4
 #: ASCII bytes that are no letters or digits separate words.
 SEPARATORS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -43,39 +45,52 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.
 
 @dataclass(frozen=True)
 class Rates:
-    alpha: float = 0.1
+    alpha: float = 0.3
     beta: float = 1.0
-    l1: float = 1.0
+    l1: float = 4.0
     l2: float = 1.0
 
 
 class Words(dict):
-    """Hashes of a word and its beginnings, remembered for a bounded number of words."""
+    """Rows of a table with the hashes of words and their beginnings, for a bounded number of words."""
 
-    most = 400_000
+    most = 300_000
 
-    def __missing__(self, word: bytes) -> tuple[int, ...]:
-        if len(self) >= self.most:
-            self.clear()
-        text = word.decode()
-        starts = [xxhash.xxh64_intdigest(text[:k].encode(), seed=k) if len(text) > k else 0 for k in BEGINNINGS]
-        self[word] = found = (xxhash.xxh64_intdigest(word), *starts)
-        return found
+    def __init__(self) -> None:
+        self.table = np.zeros((self.most, 1 + len(BEGINNINGS)), np.uint64)
+
+    def __missing__(self, word: bytes) -> int:
+        text, row = word.decode(), len(self)
+        self.table[row, 0] = xxhash.xxh64_intdigest(word)
+        for k, length in enumerate(BEGINNINGS, 1):
+            self.table[row, k] = xxhash.xxh64_intdigest(text[:length].encode(), seed=length) if len(text) > length else 0
+        self[word] = row
+        return row
+
+    def hashes(self, words: list[bytes]) -> np.ndarray:
+        """A row of hashes for each word."""
+        parts = []
+        for start in range(0, len(words), 50_000):
+            part = words[start : start + 50_000]
+            if len(self) + len(part) > self.most:
+                self.clear()
+            parts.append(self.table[np.fromiter(map(self.__getitem__, part), np.int64, len(part))])
+        return np.concatenate(parts)
 
 
 def features(text: str | None, words: Words, bits: int = BITS) -> np.ndarray:
     """The distinct feature numbers of a text; feature 0 is the bias."""
     found = (text or "").lower().encode().translate(SEPARATORS).split()
     if not found:
-        return np.zeros(1, np.int64)
-    hashes = np.array([words[w] for w in found], np.uint64)
+        return np.zeros(1, np.int32)
+    hashes = words.hashes(found)
     one = hashes[:, 0]
-    starts = hashes[:, 1:].ravel()
-    all_hashes = np.concatenate(
-        [one * ODD[0], (one[:-1] * ODD[1] + one[1:]) * ODD[0], (one[:-2] * ODD[2] + one[2:]) * ODD[0], starts[starts > 0] * ODD[0]]
-    )
-    numbers = np.unique(all_hashes >> np.uint64(64 - bits)).astype(np.int64)
-    return np.concatenate([[0], numbers[numbers > 0]])
+    starts, times = np.unique(hashes[:, 1:], return_counts=True)
+    times[starts == 0] = 0
+    grams = [one, one[:-1] * ODD[1] + one[1:], one[:-2] * ODD[2] + one[2:]]
+    grams += [starts[times >= k] + np.uint64(k) for k in range(1, TIMES + 1)]
+    numbers = np.unique((np.concatenate(grams) * ODD[0] >> np.uint64(64 - bits)).astype(np.int32))
+    return np.concatenate([np.zeros(1, np.int32), numbers[numbers > 0]])
 
 
 def ftrl(rows: list[tuple[np.ndarray, int]], z: np.ndarray, n: np.ndarray, rates: Rates, passes: int) -> None:
@@ -125,25 +140,24 @@ def learn(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), max_rows:
     rows = stored(training_rows(docs, labels, max_rows))
     size = 1 << BITS
     z, n = np.zeros(size), np.zeros(size)
-    for number in range(ROUNDS):
+    for _ in range(ROUNDS):
         state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
 
         def share(group: pd.DataFrame) -> pd.DataFrame:
             words = Words()
             group = group.sort_values(["order", "text", "toxic"])
             own = [(features(t, words), int(y)) for t, y in zip(group["text"], group["toxic"])]
-            zs, ns = (x.astype(np.float64) for x in state.value)
-            if number == 0 and own:  # start at the share of toxic rows
-                zs = zs.copy()
+            before = state.value
+            zs, ns = (x.astype(np.float64) for x in before)
             ftrl(own, zs, ns, rates, PASSES)
-            at = np.flatnonzero(ns)
-            return pd.DataFrame({"z": [zs[at].astype(np.float32).tobytes()], "n": [ns[at].astype(np.float32).tobytes()], "at": [at.astype(np.int32).tobytes()]})
+            at = np.flatnonzero(ns != before[1])
+            added = [(x[at] - y[at]).astype(np.float32).tobytes() for x, y in zip((zs, ns), before)]
+            return pd.DataFrame({"z": added[:1], "n": added[1:], "at": [at.astype(np.int32).tobytes()]})
 
         # SHARES rows of at most three numbers a feature of the hash space
         parts = rows.groupBy("share").applyInPandas(share, "z binary, n binary, at binary").collect()
         if not parts:
             return {}
-        z, n = np.zeros(size), np.zeros(size)
         for p in parts:
             at = np.frombuffer(p["at"], np.int32)
             z[at] += np.frombuffer(p["z"], np.float32) / len(parts)

@@ -32,7 +32,7 @@ LONGEST = 1 << 32
 
 def escaped(text: Column) -> Column:
     """``text`` without control strings."""
-    return F.regexp_replace(text, OPEN + r"(\\*)" + CONTROL, r"$1$2\\\\")
+    return F.regexp_replace(text, OPEN + r"(\\*)" + CONTROL, r"$1$2\\")
 
 
 def unescaped(text: Column) -> Column:
