@@ -45,8 +45,8 @@ TEMPLATES = (
     Template("apache-2.0", "licensed under the apache license version 2 0", ("apache license",)),
     Template("mit", "released under the mit license", ("mit license",)),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
-    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license",)),
-    Template("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license",)),
+    Template("gpl-3.0", "licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
+    Template("gpl", "under the terms of the gnu general public license as published by the free software foundation", ("gnu general public license", "free software foundation")),
     Template("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc",)),
     Template("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ("redistribution and use", "binary forms")),
