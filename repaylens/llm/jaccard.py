@@ -18,6 +18,10 @@ long as that finds links, one pair for each two components of a signature; at la
 signatures whose nodes are still in several components, all pairs across components.
 Pairs inside a component cannot change the result.
 
+Before texts are compared, a sketch of 1,024 bits rules pairs out: each token flips one
+bit, so two sketches differ in at most as many bits as the sets differ in tokens. What
+differs in more bits than a link allows cannot link; nothing else is left out.
+
 Defined results: null and blank texts have no shingles and link with nothing; a text of
 fewer words than a shingle has one token, its whole sequence; repeated rows are one node;
 a null id gets the component of its text's other rows, null if there are none; other
@@ -42,6 +46,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: A token in the prefixes of more texts than this is frequent.
 FREQUENT = 24
+#: Longs of the sketch of a set.
+SKETCH = 16
 #: Tokens of a subclass of frequent ones in a prefix.
 PER_SUBCLASS = 6
 
@@ -123,6 +129,13 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarr
     return np.unique(np.concatenate(out))
 
 
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """Parity of the tokens that fall on each of 64 * SKETCH bits."""
+    places = (tokens >> np.uint64(20)) % np.uint64(64 * SKETCH)
+    odd = np.bincount(places.astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _pairs(common: np.ndarray, need: int, level: int, rule: Rule) -> np.ndarray:
     """Pairs within subclasses of the shortest prefix of ``common`` that is safe against ``need - 1`` losses."""
     classes = max(1, (rule.losses(1 << level) + 1) // PER_SUBCLASS)
@@ -176,16 +189,17 @@ def _signed(rule: Rule, shared):
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.iloc[start : start + 500]
-                keys, sizes, found = [], [], []
+                keys, sizes, found, bits = [], [], [], []
                 for text in part["text"]:
                     words = words_of(text)
                     key = xxhash.xxh3_128_digest(b" ".join(words))
                     keys.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)))
                     tokens = tokens_of(words, rule.words, hashes)
                     sizes.append(len(tokens))
+                    bits.append(sketch(tokens))
                     found.append(signatures(tokens, contains(bitmap, tokens), rule).view(np.int64))
                 yield pd.DataFrame(
-                    {"id": part["id"].to_numpy(), "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n": sizes, "signatures": found}
+                    {"id": part["id"].to_numpy(), "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n": sizes, "signatures": found, "bits": bits}
                 )
 
     return run
@@ -261,12 +275,12 @@ class Join:
         )
         frequent = broadcast_bitmap(counts.select("token"))
         self.signed = stored(
-            self.rows.mapInPandas(_signed(rule, frequent), "id string, k1 long, k2 long, n int, signatures array<long>").withColumn(
+            self.rows.mapInPandas(_signed(rule, frequent), "id string, k1 long, k2 long, n int, signatures array<long>, bits array<long>").withColumn(
                 "id", F.col("id").cast(self.kind)
             )
         )
         classes = self.signed.groupBy("k1", "k2").agg(
-            F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures")
+            F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("bits").alias("bits")
         )
         self.nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
         self.texts: DataFrame | None = None
@@ -304,6 +318,19 @@ class Join:
     def fits(self, small: str, large: str):
         return F.expr(f"100 * least({small}, {large}) >= {self.rule.percent} * greatest({small}, {large})")
 
+    def near_enough(self):
+        """Whether sizes and sketches of a and b leave a link possible."""
+        differing = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(SKETCH))
+        p = self.rule.percent
+        return self.fits("a_n", "b_n") & F.expr(f"({differing}) * {100 + p} <= (a_n + b_n) * {100 - p}")
+
+    def plausible(self, pairs: DataFrame) -> DataFrame:
+        """``pairs(a, b, ...)`` that sizes and sketches do not rule out; pairs and nodes are stored."""
+        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+        found = pairs.join(a, "a").join(b, "b").where(self.near_enough())
+        return found.drop("a_n", "b_n", "a_bits", "b_bits")
+
     def links(self) -> DataFrame:
         """``(a, b)``: links that connect the same nodes as all links do."""
         members = self.members()
@@ -314,11 +341,18 @@ class Join:
             .drop("other")
         )
         self.texts = self.fetch(members.join(centre.select("signature"), "signature", "left_semi"))
-        near = members.join(centre, "signature").where("node <> centre").where(self.fits("n", "centre_n"))
+        near = (
+            members.join(centre, "signature")
+            .where("node <> centre")
+            .where(self.fits("n", "centre_n"))
+            .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
+            .agg(F.count("*").alias("times"))
+        )
         best = (
-            near.groupBy("node", "centre").agg(F.count("*").alias("times"))
-            .groupBy("node").agg(F.max(F.struct("times", (-F.col("centre")).alias("c"))).alias("best"))
-            .select(F.col("node").alias("a"), (-F.col("best.c")).alias("b"))
+            self.plausible(stored(near))
+            .groupBy("a")
+            .agg(F.max(F.struct("times", (-F.col("b")).alias("c"))).alias("best"))
+            .select("a", (-F.col("best.c")).alias("b"))
         )
         links = self.check(stored(best))
         shared = stored(members.join(centre.select("signature", "size"), "signature"))
@@ -326,7 +360,7 @@ class Join:
             rest = self.apart(shared, links)
             if rest.isEmpty():
                 return links
-            more = self.check(stored(self.between(rest)))
+            more = self.check(stored(self.plausible(stored(self.between(rest)))))
             if more.isEmpty():
                 return links.unionByName(self.across(rest))
             links = stored(links.unionByName(more))
@@ -366,19 +400,20 @@ class Join:
 
     def across(self, rest: DataFrame) -> DataFrame:
         """All links between nodes of different components that share a signature."""
+        rest = rest.join(self.nodes.select("node", "bits"), "node")
         # One side is repeated for each few members of a signature, the other is dealt out.
         left = rest.select(
             "signature", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"),
-            salt(F.col("size"), F.col("node")).alias("salt"),
+            F.col("bits").alias("a_bits"), salt(F.col("size"), F.col("node")).alias("salt"),
         )
         right = rest.select(
             "signature", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"),
-            F.explode(salts(F.col("size"))).alias("salt"),
+            F.col("bits").alias("b_bits"), F.explode(salts(F.col("size"))).alias("salt"),
         )
         pairs = (
             left.join(right, ["signature", "salt"])
             .where("a < b AND a_c <> b_c")
-            .where(self.fits("a_n", "b_n"))
+            .where(self.near_enough())
             .select("a", "b")
             .distinct()
         )
