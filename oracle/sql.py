@@ -695,7 +695,7 @@ ORACLE["ab_ztests"] = ztests(
     band=False,
 )
 ORACLE["ab_ztests_by_band"] = ztests(
-    [("repayment_plan_created_flag", f"Plan Setup Rate - {b} Balance", b) for b in ("Low", "Medium", "High")],
+    [("repayment_plan_created_flag", f"Plan Setup Rate - {b} Balance", b) for b in ("Low", "Medium", "High", "Very High")],
     band=True,
 )
 _T_SUM = "(SELECT SUM(pow(1 + pow({start} + (i + 0.5) * 1e-3, 2) / v, -(v + 1) / 2)) FROM range(40000) g(i))"

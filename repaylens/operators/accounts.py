@@ -95,7 +95,7 @@ def first_touch(
     return first.selectExpr(key, *[f"first.{c} AS {c}" for c in payload])
 
 
-def test_message(
+def experiment_message(
     channel: str = TEST_CHANNEL,
     groups: Sequence[str] = (CONTROL, VARIANT),
     window: tuple[date, date] = TEST_WINDOW,

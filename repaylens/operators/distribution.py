@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repaylens.functions.columns import percent, rounded_ratio
-from repaylens.operators.quantiles import exact_quantiles
+from repaylens.operators.quantiles import exact_quantiles, require_digits
 
 
 def share_of_total(count: str) -> Column:
@@ -41,13 +41,17 @@ def histogram(df: DataFrame, column: str, bins: int = 40, digits: int = 2) -> Da
     """Rows in equal-width bins from the smallest to the largest value.
 
     The last bin includes its upper edge and empty bins are listed. Bins are found
-    in whole units of ``10 ** -digits``, so no value falls beside its bin.
+    in whole units of ``10 ** -digits``, so no value falls beside its bin. If all values are
+    equal, the range is widened by half a unit to both sides.
     """
+    require_digits(df, {column: digits})
     scale = 10**digits
     units = df.select((F.col(column) * scale).cast("bigint").alias("v")).filter(
         F.col("v").isNotNull()
     )
     edges = units.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    half = F.when(F.col("low") == F.col("high"), scale // 2 or 1).otherwise(0)
+    edges = edges.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))
     low, high = edges.select("low").scalar(), edges.select("high").scalar()
     position = F.try_divide((F.col("v") - low) * bins, high - low)
     counts = units.groupBy(

@@ -13,10 +13,19 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 BUCKET_BITS = 20  # a bucket spans 2 ** 20 units, 10,485.76 for money in pennies
 
 
+def require_digits(df: DataFrame, digits: Mapping[str, int]) -> None:
+    """Refuse decimal columns with more places than ``digits`` says: they would be cut off."""
+    for name, places in digits.items():
+        kind = df.schema[name].dataType
+        if isinstance(kind, DecimalType) and kind.scale > places:
+            raise ValueError(f"{name} has {kind.scale} decimal places, more than {places}")
+
+
 def exact_quantiles(
     df: DataFrame,
     by: Mapping[str, Sequence[str]],
@@ -31,6 +40,7 @@ def exact_quantiles(
     places. One row per group, column and quantile:
     ``*by, column_name, quantile, value``.
     """
+    require_digits(df, digits)
     keys = [*by, "column_name"]
     entries = [
         F.struct(

@@ -28,8 +28,25 @@ def to_long(
 
 
 def to_wide(
-    df: DataFrame, index: str, column: str, labels: Sequence[str], value: str, prefix: str = ""
+    df: DataFrame,
+    index: str,
+    column: str,
+    labels: Sequence[str],
+    value: str,
+    prefix: str = "",
+    all_labels: bool = False,
 ) -> DataFrame:
-    """One column per label. Stating the labels saves Spark a pass to find them."""
-    wide = df.groupBy(index).pivot(column, list(labels)).agg(F.first(value))
-    return wide.select(index, *[F.col(f"`{label}`").alias(prefix + label) for label in labels])
+    """One column per label. Stating the labels saves Spark a pass to find them.
+
+    ``all_labels`` is for result tables whose labels may lie outside the list: they are
+    looked up and follow in alphabetical order, null as ``(null)`` at the end.
+    """
+    names = list(labels)
+    if all_labels:
+        found = {row[0] for row in df.select(column).distinct().collect()}
+        names += sorted(x for x in found - set(labels) if x is not None)
+        if None in found:
+            df = df.withColumn(column, F.coalesce(column, F.lit("(null)")))
+            names.append("(null)")
+    wide = df.groupBy(index).pivot(column, names).agg(F.first(value))
+    return wide.select(index, *[F.col(f"`{label}`").alias(prefix + label) for label in names])

@@ -144,8 +144,9 @@ def export_results(
     folder: str,
     window: tuple[date, date] = TEST_WINDOW,
     names: Iterable[str] = tuple(EXPORTS),
+    mode: str = "error",
 ) -> None:
-    """Write results as CSV, one folder per analysis.
+    """Write results as CSV, one folder per analysis. ``mode`` says what to do if one exists.
 
     Reports become one file. Tables with a row per account are sorted over as many
     files as Spark makes.
@@ -153,7 +154,7 @@ def export_results(
     run = analyses(window)
     for name in names:
         order = EXPORTS.get(name, [])
-        export_csv(run[name](t), f"{folder.rstrip('/')}/{name}", order, None if order else 1)
+        export_csv(run[name](t), f"{folder.rstrip('/')}/{name}", order, None if order else 1, mode)
 
 
 def _on_summary(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from repaylens.operators.accounts import (
     attach_stages,
     first_touch,
     recovery_rate,
-    test_message,
+    experiment_message,
     with_client,
 )
 from repaylens.operators.distribution import share_of_total, unit_distribution
@@ -35,7 +36,7 @@ from repaylens.operators.experiment import (
 from repaylens.operators.quantiles import exact_quantiles
 from repaylens.operators.reshape import metric_rows, to_long, to_wide
 from repaylens.operators.rollup import rollup
-from repaylens.schemas import CONTROL, TEST_WINDOW, VARIANT
+from repaylens.schemas import BAND_ORDER, CONTROL, TEST_WINDOW, VARIANT
 from repaylens.sources.files import Tables
 
 Window = tuple[date, date]
@@ -79,7 +80,7 @@ GROUP_RATES = {
 }
 
 
-def test_accounts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
+def experiment_accounts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     """One row per test account: its first message of the experiment."""
     return first_touch(
         t["communication_events"],
@@ -91,13 +92,13 @@ def test_accounts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
             "delivered_flag",
             "opened_or_clicked_flag",
         ],
-        where=test_message(window=window),
+        where=experiment_message(window=window),
     )
 
 
 def ab_population(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     sizes = (
-        test_accounts(t, window)
+        experiment_accounts(t, window)
         .groupBy(GROUP, "message_tone")
         .agg(F.count("customer_id").alias("test_customers"))
     )
@@ -131,7 +132,7 @@ def ab_customer_outcomes(
         "balance_viewed",
         "payment_option_selected",
     ]
-    accounts = test_accounts(t, window).join(
+    accounts = experiment_accounts(t, window).join(
         t["customers"].select("customer_id", *account_columns), "customer_id", "left"
     )
     accounts = attach_stages(accounts, t["journey_events"], engagement)
@@ -272,8 +273,9 @@ def ab_ztests(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
 
 
 def plan_tests_by_band(
-    accounts: DataFrame, bands: tuple[str, ...] = ("Low", "Medium", "High")
+    accounts: DataFrame, bands: Sequence[str] = BAND_ORDER["balance_band"]
 ) -> DataFrame:
+    """Each balance band by itself; a band without accounts has null statistics."""
     tests = [
         Proportion("repayment_plan_created_flag", f"Plan Setup Rate - {band} Balance", band)
         for band in bands

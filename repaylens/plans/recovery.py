@@ -312,7 +312,7 @@ def recovery_matrix(t: Tables) -> DataFrame:
 
 def matrix(segments: DataFrame) -> DataFrame:
     return to_wide(
-        segments, "balance_band", "debt_age_band", BAND_ORDER["debt_age_band"], "recovery_rate"
+        segments, "balance_band", "debt_age_band", BAND_ORDER["debt_age_band"], "recovery_rate", all_labels=True
     ).orderBy(*sort_keys(["balance_band"]))
 
 

@@ -15,7 +15,7 @@ from repaylens.operators.accounts import (
     attach_stages,
     earliest,
     recovery_rate,
-    test_message,
+    experiment_message,
     with_client,
 )
 from repaylens.operators.funnel import segment_funnel
@@ -78,7 +78,7 @@ def message_summary(messages: DataFrame, window: Window = TEST_WINDOW) -> DataFr
     Both first touches come from one pass over the messages.
     """
     order = ["sent_date", "communication_id"]
-    tested = test_message(window=window)
+    tested = experiment_message(window=window)
     touches = messages.groupBy(ACCOUNT).agg(
         earliest(order, ["channel"]).alias("first"),
         earliest(order, ["ab_test_group", "message_tone"], tested).alias("test"),

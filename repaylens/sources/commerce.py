@@ -129,7 +129,7 @@ def journey_events(events: DataFrame) -> DataFrame:
                 WHEN 'error' THEN if(value < 35, 'affordability_started', 'affordability_completed')
                 END AS event_name""",
         "if(event_type = 'error', 'Email', 'SMS') AS channel",
-        r"""CASE WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 4 = 0 THEN 'Mobile'
+        r"""CASE WHEN try_cast(regexp_extract(props, '([0-9]+)', 1) AS int) % 4 = 0 THEN 'Mobile'
                 WHEN value > 150 THEN 'Desktop' END AS device_type""",
         "concat_ws('-', user_id, day) AS session_id",
         f"date_diff(day, date'{_JOURNEY_START}') AS days_since_invite",

@@ -60,9 +60,9 @@ def read_catalog_tables(spark: SparkSession, database: str | None = None) -> Tab
 
 
 def export_csv(
-    df: DataFrame, path: str, order_by: Sequence[str] = (), files: int | None = None
+    df: DataFrame, path: str, order_by: Sequence[str] = (), files: int | None = None, mode: str = "error"
 ) -> None:
-    """Write a result as CSV with a header line.
+    """Write a result as CSV with a header line. ``mode`` says what to do if ``path`` exists.
 
     ``order_by`` sorts over all files (file order is row order). ``files`` is for
     report-sized results only: ``files=1`` gives a single file to hand over.
@@ -72,12 +72,12 @@ def export_csv(
         out = out.orderBy(*order_by)
     if files is not None:
         out = out.coalesce(files)
-    out.write.mode("overwrite").option("header", True).csv(path)
+    out.write.mode(mode).option("header", True).csv(path)
 
 
-def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+def export_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "error") -> None:
     """Write a result as Parquet, by partition columns of few values where given."""
-    writer = df.write.mode("overwrite")
+    writer = df.write.mode(mode)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)

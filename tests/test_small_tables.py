@@ -7,7 +7,9 @@ import pytest
 
 from repaylens.functions.columns import money_as_double
 from repaylens.operators import quality as q
+from repaylens.operators.distribution import histogram
 from repaylens.plans import experiment, journey, quality, recovery, reporting
+from repaylens.sources import commerce
 from small_tables import COMMUNICATIONS, CUSTOMERS, small_tables
 
 
@@ -124,7 +126,7 @@ def test_group_means(t):
 
 def test_band_without_a_group_gives_null_statistics(t):
     found = by_key(experiment.ab_ztests_by_band(t), "balance_band")
-    assert list(found) == ["Low", "Medium", "High"]
+    assert list(found) == ["Low", "Medium", "High", "Very High"]
     low = found["Low"]  # two control accounts, no variant account
     assert (low["control_rate_percent"], low["variant_rate_percent"]) == (50.0, None)
     assert low["z_statistic"] is None and low["p_value"] is None
@@ -314,3 +316,32 @@ def test_labels_with_quotes(spark):
     ).first()
     assert tuple(got)[:8] == ("O'B", "Won's", 1, 2, 50.0, 1, 1, 100.0)
     assert got["direction"] == "New higher"
+
+
+def test_matrix_keeps_labels_outside_the_list(spark):
+    rows = [("Low", "0-30", 1.0), ("Low", "Unknown", 2.0), ("Low", None, 3.0), ("High", "366+", 4.0)]
+    segments = spark.createDataFrame(rows, "balance_band string, debt_age_band string, recovery_rate double")
+    out = recovery.matrix(segments)
+    assert out.columns[-3:] == ["366+", "Unknown", "(null)"]
+    low = {r["balance_band"]: r for r in out.collect()}["Low"]
+    assert (low["0-30"], low["Unknown"], low["(null)"]) == (1.0, 2.0, 3.0)
+
+
+def test_histogram_of_a_constant_column(spark):
+    df = spark.sql("SELECT CAST(5 AS DECIMAL(10, 2)) AS x FROM range(3)")
+    rows = histogram(df, "x", bins=4).collect()
+    assert (rows[0]["bin_start"], rows[-1]["bin_end"]) == (4.5, 5.5)
+    assert sum(r["row_count"] for r in rows) == 3
+
+
+def test_more_decimal_places_than_stated_are_refused(spark):
+    df = spark.sql("SELECT CAST(5 AS DECIMAL(10, 4)) AS x")
+    with pytest.raises(ValueError, match="decimal places"):
+        histogram(df, "x")
+
+
+def test_event_text_without_digits(spark):
+    events = spark.sql(
+        "SELECT 1L event_id, timestamp'2001-01-01' ts, 1L user_id, 'view' event_type, 1.0D value, 'none' props"
+    )
+    assert commerce.journey_events(events).select("device_type").first()[0] is None

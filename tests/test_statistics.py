@@ -56,7 +56,7 @@ def test_histogram_equals_numpy(spark, mixed):
 def test_histogram_of_one_value(spark):
     df = spark.createDataFrame([(Decimal("3.00"),)] * 4, "x decimal(18,2)")
     got = histogram(df, "x", bins=3).collect()
-    assert [r["row_count"] for r in got] == [4, 0, 0]
+    assert [r["row_count"] for r in got] == [0, 4, 0]
 
 
 def test_describe(spark, mixed):
