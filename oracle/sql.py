@@ -117,7 +117,7 @@ order_lines AS (
          MAX(CASE WHEN l_linenumber = 1 AND l_returnflag = 'N' THEN 1 ELSE 0 END) AS first_paid
   FROM lineitem GROUP BY l_orderkey),
 repayment_plans AS (
-  SELECT o_orderkey AS plan_id, o_custkey AS customer_id, o_custkey % 26 AS client_id,
+  SELECT o_orderkey AS plan_id, o_custkey // 3 * 3 AS customer_id, o_custkey // 3 * 3 % 26 AS client_id,
          CAST(o_orderdate AS DATE) AS plan_created_date, CAST(o_totalprice AS DECIMAL(18,2)) AS plan_amount,
          CAST({instalment} AS DECIMAL(18,2)) AS instalment_amount,
          CAST(line_count AS INTEGER) AS plan_length_months, first_paid AS first_instalment_paid_flag,
@@ -125,8 +125,7 @@ repayment_plans AS (
          CASE WHEN o_orderstatus = 'F' THEN 'Completed' WHEN o_orderstatus = 'O' THEN 'Active'
               WHEN o_orderpriority = '5-LOW' THEN 'Cancelled' ELSE 'Broken' END AS plan_status,
          CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1 ELSE 0 END AS affordability_completed_flag
-  FROM orders LEFT JOIN order_lines ON o_orderkey = l_orderkey
-  WHERE o_totalprice >= 475000)
+  FROM orders LEFT JOIN order_lines ON o_orderkey = l_orderkey)
 """.replace("{instalment}", rounded("o_totalprice / line_count", 2))
 
 PAY = """

@@ -209,10 +209,14 @@ def attach_plans(
 def with_client(df: DataFrame, clients: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Look up client attributes; rows of unknown clients stay, with nulls.
 
+    Without ``columns`` nothing is joined: Spark cannot tell that the clients' key is
+    unique, so it would keep a join whose columns nobody uses.
     No broadcast is forced. Spark broadcasts the clients while they are below
     ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, where
     adaptive execution splits the partition of a client with very many accounts.
     """
+    if not columns:
+        return df
     return df.join(clients.select("client_id", *columns), "client_id", "left")
 
 

@@ -72,14 +72,14 @@ _RECOVERY = (
     "collected_histogram",
     "payment_plan_status",
 )
-_SUMMARY_VIEWS = (
-    "vw_funnel_summary",
-    "vw_channel_performance",
-    "vw_ab_test_summary",
-    "vw_recovery_summary",
-    "vw_client_portfolio_summary",
-    "dashboard_kpis",
-)
+# Views on the account summary, with the client attributes they use.
+_SUMMARY_VIEWS = {
+    "vw_funnel_summary": ("client_type",),
+    "vw_channel_performance": (),
+    "vw_ab_test_summary": ("client_type",),
+    "vw_recovery_summary": ("client_type",),
+    "dashboard_kpis": (),
+}
 
 
 def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
@@ -106,8 +106,9 @@ def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
     out.update({name: getattr(recovery, name) for name in _RECOVERY})
 
     out["vw_customer_summary"] = partial(reporting.vw_customer_summary, window=window)
-    for name in _SUMMARY_VIEWS:
-        out[name] = partial(_on_summary, getattr(reporting, name), window)
+    for name, columns in _SUMMARY_VIEWS.items():
+        out[name] = partial(_on_summary, getattr(reporting, name), window, columns)
+    out["vw_client_portfolio_summary"] = partial(_per_client, window)
     out["vw_plan_performance"] = reporting.vw_plan_performance
     out["view_row_counts"] = partial(reporting.view_row_counts, window=window)
     return out
@@ -158,6 +159,14 @@ def export_results(
 
 
 def _on_summary(
-    view: Callable[[DataFrame], DataFrame], window: tuple[date, date], t: Tables
+    view: Callable[[DataFrame], DataFrame],
+    window: tuple[date, date],
+    client_columns: tuple[str, ...],
+    t: Tables,
 ) -> DataFrame:
-    return view(reporting.vw_customer_summary(t, window, attempts=False))
+    return view(reporting.vw_customer_summary(t, window, False, client_columns))
+
+
+def _per_client(window: tuple[date, date], t: Tables) -> DataFrame:
+    summary = reporting.vw_customer_summary(t, window, attempts=False, client_columns=())
+    return reporting.vw_client_portfolio_summary(summary, t["clients"])

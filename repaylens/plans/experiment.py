@@ -41,6 +41,7 @@ from repaylens.sources.files import Tables
 
 Window = tuple[date, date]
 GROUP = "ab_test_group"
+CLIENT_COLUMNS = ("client_type", "industry", "integration_type")
 
 # Tested flags with their titles, and labels of the compared rates.
 TESTED_FLAGS = {
@@ -108,11 +109,15 @@ def ab_population(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
 
 
 def ab_customer_outcomes(
-    t: Tables, window: Window = TEST_WINDOW, ordered: bool = False
+    t: Tables,
+    window: Window = TEST_WINDOW,
+    ordered: bool = False,
+    client_columns: Sequence[str] = CLIENT_COLUMNS,
 ) -> DataFrame:
     """One row per test account with everything it did, in 33 columns.
 
-    ``ordered`` sorts by group and account, as for an export.
+    ``ordered`` sorts by group and account, as for an export. ``client_columns`` names
+    the client attributes wanted; without any, clients are not looked up.
     """
     account_columns = [
         "portfolio_type",
@@ -125,7 +130,6 @@ def ab_customer_outcomes(
         "vulnerability_flag",
         "account_status",
     ]
-    client_columns = ["client_type", "industry", "integration_type"]
     engagement = [
         "link_opened",
         "identity_verified",
@@ -176,6 +180,11 @@ def ab_view_check(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     )
 
 
+def _outcomes(t: Tables, window: Window, *client_columns: str) -> DataFrame:
+    """Test accounts with the client attributes that an analysis uses, mostly none."""
+    return ab_customer_outcomes(t, window, client_columns=client_columns)
+
+
 def group_metrics() -> dict[str, Column]:
     """The metrics of a group of test accounts, on the columns of a rollup."""
     amount = "amount_collected"
@@ -204,13 +213,14 @@ def group_summary(accounts: DataFrame, keys: list[str], names: list[str]) -> Dat
 
 def ab_core_performance(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     return group_summary(
-        ab_customer_outcomes(t, window), [GROUP], list(group_metrics())
+        _outcomes(t, window), [GROUP], list(group_metrics())
     ).orderBy(GROUP)
 
 
 def _ab_by(t: Tables, key: str, window: Window, rates: list[str]) -> DataFrame:
+    clients = [key] if key in CLIENT_COLUMNS else []
     names = ["test_customers", *rates, "total_amount_collected", "avg_customer_recovery_rate"]
-    return group_summary(ab_customer_outcomes(t, window), [key, GROUP], names).orderBy(
+    return group_summary(_outcomes(t, window, *clients), [key, GROUP], names).orderBy(
         *sort_keys([key]), GROUP
     )
 
@@ -243,12 +253,12 @@ def lift_summary(accounts: DataFrame) -> DataFrame:
 
 
 def ab_lift_summary(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
-    return lift_summary(ab_customer_outcomes(t, window))
+    return lift_summary(_outcomes(t, window))
 
 
 def ab_group_sizes(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     return unit_distribution(
-        ab_customer_outcomes(t, window),
+        _outcomes(t, window),
         [GROUP],
         "customer_id",
         "customers",
@@ -258,7 +268,7 @@ def ab_group_sizes(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
 
 def ab_core_rates_long(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     """Five rates with readable labels, one row per group and rate."""
-    wide = group_summary(ab_customer_outcomes(t, window), [GROUP], list(RATE_LABELS))
+    wide = group_summary(_outcomes(t, window), [GROUP], list(RATE_LABELS))
     long = to_long(wide, [GROUP], list(RATE_LABELS), "metric", "rate")
     return long.withColumn("metric_label", mapped("metric", RATE_LABELS))
 
@@ -269,7 +279,7 @@ def ab_lift_long(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
 
 def ab_ztests(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     tests = [Proportion(column, title) for column, title in TESTED_FLAGS.items()]
-    return proportion_ztest(ab_customer_outcomes(t, window), tests)
+    return proportion_ztest(_outcomes(t, window), tests)
 
 
 def plan_tests_by_band(
@@ -287,12 +297,12 @@ def plan_tests_by_band(
 
 def ab_ztests_by_band(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     """Plan set-up tested separately in each balance band."""
-    return plan_tests_by_band(ab_customer_outcomes(t, window))
+    return plan_tests_by_band(_outcomes(t, window))
 
 
 def ab_amount_ttest(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     return welch_ttest(
-        ab_customer_outcomes(t, window), "amount_collected", "Amount Collected per Customer"
+        _outcomes(t, window), "amount_collected", "Amount Collected per Customer"
     )
 
 
@@ -331,12 +341,12 @@ def amount_summary(accounts: DataFrame) -> DataFrame:
 
 
 def ab_amount_summary(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
-    return amount_summary(ab_customer_outcomes(t, window))
+    return amount_summary(_outcomes(t, window))
 
 
 def ab_rate_pivot(t: Tables, rate: str, window: Window = TEST_WINDOW) -> DataFrame:
     """``plan_setup_rate`` or ``payment_rate``: a row per balance band, a column per group."""
-    by_band = group_summary(ab_customer_outcomes(t, window), ["balance_band", GROUP], [rate])
+    by_band = group_summary(_outcomes(t, window), ["balance_band", GROUP], [rate])
     return to_wide(by_band, "balance_band", GROUP, [CONTROL, VARIANT], rate).orderBy(
         *sort_keys(["balance_band"])
     )

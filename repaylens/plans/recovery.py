@@ -233,16 +233,19 @@ def recovery_priority_segments(t: Tables, ordered: bool = True) -> DataFrame:
     return segments.orderBy(F.asc_nulls_first("recovery_rate"), *sort_keys(SEGMENT))
 
 
-def customer_recovery_summary(t: Tables, ordered: bool = False) -> DataFrame:
-    """One row per account, in 24 columns. ``ordered`` sorts by account, as for an export."""
-    out = with_client(
-        account_outcomes(t), t["clients"], ["client_type", "industry", "integration_type"]
-    ).select(
+def customer_recovery_summary(
+    t: Tables,
+    ordered: bool = False,
+    client_columns: Sequence[str] = ("client_type", "industry", "integration_type"),
+) -> DataFrame:
+    """One row per account, in 24 columns. ``ordered`` sorts by account, as for an export.
+
+    Without ``client_columns`` clients are not looked up.
+    """
+    out = with_client(account_outcomes(t), t["clients"], client_columns).select(
         "customer_id",
         "client_id",
-        "client_type",
-        "industry",
-        "integration_type",
+        *client_columns,
         "portfolio_type",
         "debt_balance",
         "balance_band",
@@ -339,7 +342,7 @@ def high_exposure_low_recovery(t: Tables) -> DataFrame:
 
 def recovery_describe(t: Tables) -> DataFrame:
     return describe(
-        customer_recovery_summary(t),
+        customer_recovery_summary(t, client_columns=()),
         {"debt_balance": 2, "amount_collected": 2, "customer_recovery_rate": 4},
     )
 
@@ -358,7 +361,7 @@ def payment_plan_status(t: Tables) -> DataFrame:
     """Accounts with a payment, a plan, both or neither."""
     keys = ["payment_made_flag", "repayment_plan_created_flag"]
     totals = rollup(
-        customer_recovery_summary(t),
+        customer_recovery_summary(t, client_columns=()),
         keys,
         "customer_id",
         sums=[*_SUMS, "customer_recovery_rate"],

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -93,10 +94,15 @@ def message_summary(messages: DataFrame, window: Window = TEST_WINDOW) -> DataFr
 
 
 def vw_customer_summary(
-    t: Tables, window: Window = TEST_WINDOW, attempts: bool = True
+    t: Tables,
+    window: Window = TEST_WINDOW,
+    attempts: bool = True,
+    client_columns: Sequence[str] = CLIENT_COLUMNS,
 ) -> DataFrame:
     """One row per account with its client, contact, journey, payments and plans.
 
+    Without ``client_columns`` clients are not looked up.
+
     ``attempts=False`` leaves out the counts of failed and reversed payments, which
     no view built on the summary needs, and with them the reading of such payments.
     """
@@ -107,10 +113,10 @@ def vw_customer_summary(
     accounts = attach_payments(accounts, t["payments"], attempts=attempts)
     accounts = attach_plans(accounts, t["repayment_plans"])
     uploaded = F.col("account_upload_date")
-    return with_client(accounts, t["clients"], CLIENT_COLUMNS).select(
+    return with_client(accounts, t["clients"], client_columns).select(
         "customer_id",
         "client_id",
-        *CLIENT_COLUMNS,
+        *client_columns,
         "account_upload_date",
         month_of(uploaded).alias("upload_month"),
         "portfolio_type",
@@ -237,11 +243,15 @@ def vw_recovery_summary(summary: DataFrame) -> DataFrame:
     return segment_recovery(summary, RECOVERY_KEYS, names)
 
 
-def vw_client_portfolio_summary(summary: DataFrame) -> DataFrame:
-    """Recovery and engagement per client."""
+def vw_client_portfolio_summary(summary: DataFrame, clients: DataFrame) -> DataFrame:
+    """Recovery and engagement per client.
+
+    Accounts are counted on their own partitioning and combined on the map side; the
+    look-up meets one row per client, so a client with most accounts is no task's work.
+    """
     totals = rollup(
         summary,
-        CLIENT_KEYS,
+        ["client_id"],
         ACCOUNT,
         flags=[
             "invite_delivered_flag",
@@ -253,7 +263,7 @@ def vw_client_portfolio_summary(summary: DataFrame) -> DataFrame:
         sums=["debt_balance", "amount_collected"],
     )
     accounts, plans = "units", "units_repayment_plan_created_flag"
-    return totals.select(
+    return with_client(totals, clients, CLIENT_COLUMNS).select(
         *CLIENT_KEYS,
         F.col(accounts).alias("total_customers"),
         rounded("sum_debt_balance").alias("total_outstanding_balance"),
@@ -323,11 +333,13 @@ def view_row_counts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     """Rows per view without building them: a grouped view has one row per key.
 
     The accounts are reduced once to the distinct combinations of all keys; the
-    five grouped views are counted on those.
+    five grouped views are counted on those. Clients are looked up for combinations.
     """
-    keys = list(dict.fromkeys([*FUNNEL_KEYS, *AB_KEYS, *RECOVERY_KEYS, *CLIENT_KEYS]))
-    combinations = vw_customer_summary(t, window, attempts=False).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("accounts")
+    wanted = dict.fromkeys([*FUNNEL_KEYS, *AB_KEYS, *RECOVERY_KEYS, "client_id"])
+    keys = [k for k in wanted if k not in CLIENT_COLUMNS]
+    accounts = vw_customer_summary(t, window, attempts=False, client_columns=())
+    combinations = with_client(
+        accounts.groupBy(*keys).agg(F.count(F.lit(1)).alias("accounts")), t["clients"], CLIENT_COLUMNS
     )
     tested = F.col("ab_test_group").isin(CONTROL, VARIANT)
 
@@ -363,7 +375,7 @@ def build_views(
         "vw_channel_performance": vw_channel_performance(summary),
         "vw_ab_test_summary": vw_ab_test_summary(summary),
         "vw_recovery_summary": vw_recovery_summary(summary),
-        "vw_client_portfolio_summary": vw_client_portfolio_summary(summary),
+        "vw_client_portfolio_summary": vw_client_portfolio_summary(summary, t["clients"]),
         "vw_plan_performance": vw_plan_performance(t),
     }
 

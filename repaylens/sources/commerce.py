@@ -2,8 +2,8 @@
 
 Lets every analysis run on any ``customer / orders / lineitem / nation / region /
 events`` Parquet set, at the size of that set. Whole tables are read. Customers
-play the accounts, nations the clients, orders the messages, large orders the
-repayment plans and line items the payments.
+play the accounts, nations the clients, orders the messages and the repayment
+plans, and line items the payments. A third of the accounts holds all plans.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 from repaylens.sources.files import LazyTables, Tables
 
 TEST_WINDOW = (date(1998, 1, 1), date(1998, 12, 31))
-PLAN_ORDER_AMOUNT = 475000.0
 
 _SNAPSHOT = "2001-08-02"
 _PORTFOLIO_START = "1995-01-01"
@@ -161,21 +160,25 @@ def payments(lineitem: DataFrame, orders: DataFrame) -> DataFrame:
     )
 
 
+def _plan_holder(customer: str) -> str:
+    """Three neighbouring customers give their plans to one of them."""
+    return f"({customer} - pmod({customer}, 3))"
+
+
 def repayment_plans(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
-    """One plan per large order; its line items give the instalment attributes."""
+    """One plan per order; its line items give the instalment attributes."""
     lines = lineitem.groupBy(F.col("l_orderkey").alias("plan_id")).agg(
         F.expr("cast(count(*) AS int) AS line_count"),
         F.expr("max(if(l_linenumber = 1 AND l_returnflag = 'N', 1, 0)) AS first_paid"),
         F.expr("cast(count_if(l_returnflag = 'R') AS int) AS returned"),
     )
     return (
-        orders.filter(F.col("o_totalprice") >= PLAN_ORDER_AMOUNT)
-        .withColumnRenamed("o_orderkey", "plan_id")
+        orders.withColumnRenamed("o_orderkey", "plan_id")
         .join(lines, "plan_id", "left")
         .selectExpr(
             "plan_id",
-            "o_custkey AS customer_id",
-            _client_of("o_custkey"),
+            f"{_plan_holder('o_custkey')} AS customer_id",
+            _client_of(_plan_holder("o_custkey")),
             "cast(o_orderdate AS date) AS plan_created_date",
             "cast(o_totalprice AS decimal(18,2)) AS plan_amount",
             "cast(round(o_totalprice / line_count, 2) AS decimal(18,2)) AS instalment_amount",

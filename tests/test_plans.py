@@ -6,7 +6,8 @@ import pytest
 
 import __spark_entry__ as contract
 from repaylens.plans import experiment, journey, recovery, reporting
-from repaylens.sources.commerce import load_tables
+from repaylens.plans.catalog import analyses
+from repaylens.sources.commerce import TEST_WINDOW, load_tables
 from repaylens.sources.files import export_parquet, read_parquet_tables
 from small_tables import small_tables
 
@@ -41,7 +42,24 @@ def test_columns_and_filters_reach_the_scan(large_inputs):
     assert "ReadSchema: struct<c_custkey:bigint>" in text
     assert "ReadSchema: struct<ts:timestamp_ntz,user_id:bigint,event_type:string,value:double>" in text
     text = plan(recovery.plan_sustainability(large_inputs))
-    assert "GreaterThanOrEqual(o_totalprice,475000.0)" in text
+    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string,o_totalprice:double,o_orderpriority:string>" in text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["ab_core_performance", "ab_ztests", "ab_by_balance_band", "ab_lift_summary", "ab_amount_ttest",
+     "payment_plan_status", "recovery_describe", "dashboard_kpis", "vw_channel_performance"],
+)
+def test_clients_are_looked_up_only_where_used(large_inputs, name):
+    assert "n_nationkey" not in plan(analyses(TEST_WINDOW)[name](large_inputs))
+
+
+def test_clients_are_looked_up_after_accounts_are_counted(large_inputs):
+    for name in ("vw_client_portfolio_summary", "view_row_counts"):
+        lines = plan(analyses(TEST_WINDOW)[name](large_inputs)).splitlines()
+        joins = [k for k, line in enumerate(lines) if "Join [client_id" in line]
+        counts = [k for k, line in enumerate(lines) if "partial_" in line and "HashAggregate(keys=[" in line]
+        assert joins and max(counts) > joins[0]
 
 
 def test_unused_sides_are_not_read(large_inputs):
