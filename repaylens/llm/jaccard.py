@@ -14,9 +14,10 @@ error in it changes the work and never the result.
 
 Equal word sequences are one node. Candidates are the pairs of a signature's nodes. They
 are checked in steps: each node with the centre it shares most signatures with; then, as
-long as that finds links, one pair for each two components of a signature; at last, within
-signatures whose nodes are still in several components, all pairs across components.
-Pairs inside a component cannot change the result.
+long as that settles half of what is open, one pair for each two components of a signature;
+at last, within signatures whose nodes are still in several components, all pairs across
+components, those whose sketches agree best first. A pair that meets under several
+signatures is taken at one of them. Pairs inside a component cannot change the result.
 
 Before texts are compared, a sketch of 1,024 bits rules pairs out: each token flips one
 bit, so two sketches differ in at most as many bits as the sets differ in tokens. What
@@ -50,6 +51,13 @@ FREQUENT = 24
 SKETCH = 16
 #: Tokens of a subclass of frequent ones in a prefix.
 PER_SUBCLASS = 6
+#: Smallest open signatures of a node by which a pair is taken only once.
+LOWEST = 16
+#: Rounds that check the best open pair of each node before all that are left are checked.
+BEST_FIRST = 2
+
+#: Bits in which the sketches of a and b differ, as SQL.
+DIFFERING = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(SKETCH))
 
 
 @dataclass(frozen=True)
@@ -320,9 +328,8 @@ class Join:
 
     def near_enough(self):
         """Whether sizes and sketches of a and b leave a link possible."""
-        differing = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(SKETCH))
         p = self.rule.percent
-        return self.fits("a_n", "b_n") & F.expr(f"({differing}) * {100 + p} <= (a_n + b_n) * {100 - p}")
+        return self.fits("a_n", "b_n") & F.expr(f"({DIFFERING}) * {100 + p} <= (a_n + b_n) * {100 - p}")
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b, ...)`` that sizes and sketches do not rule out; pairs and nodes are stored."""
@@ -356,13 +363,16 @@ class Join:
         )
         links = self.check(stored(best))
         shared = stored(members.join(centre.select("signature", "size"), "signature"))
+        most = None
         while True:
             rest = self.apart(shared, links)
-            if rest.isEmpty():
+            left = rest.count()
+            if left == 0:
                 return links
+            if most is not None and left > most:
+                return self.across(rest, links)
+            most = left // 2
             more = self.check(stored(self.plausible(stored(self.between(rest)))))
-            if more.isEmpty():
-                return links.unionByName(self.across(rest))
             links = stored(links.unionByName(more))
             shared = rest.drop("component")
 
@@ -398,26 +408,47 @@ class Join:
             .distinct()
         )
 
-    def across(self, rest: DataFrame) -> DataFrame:
-        """All links between nodes of different components that share a signature."""
-        rest = rest.join(self.nodes.select("node", "bits"), "node")
+    def across(self, rest: DataFrame, links: DataFrame) -> DataFrame:
+        """``links`` with those between nodes of different components that share a signature."""
+        pairs = stored(self.open_pairs(rest))
+        for _ in range(BEST_FIRST):
+            best = pairs.groupBy("a").agg(F.min_by("b", F.struct("differing", "b")).alias("b"))
+            links = stored(links.unionByName(self.check(stored(best))))
+            known = stored(components(links))
+            for side in ("a", "b"):
+                own = known.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c"))
+                pairs = pairs.join(own, side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
+            pairs = stored(
+                pairs.where("a_c <> b_c").join(best, ["a", "b"], "left_anti").select("a", "b", "differing")
+            )
+            if pairs.isEmpty():
+                return links
+        return links.unionByName(self.check(pairs.select("a", "b")))
+
+    def open_pairs(self, rest: DataFrame) -> DataFrame:
+        """``(a, b, differing)``: pairs of different components that sizes and sketches do not rule out.
+
+        Near copies meet under most of their signatures. A pair is left out where both
+        nodes list a smaller signature in common; the smallest they have always takes it.
+        """
+        lowest = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("signature")), 1, LOWEST).alias("low"))
+        rest = rest.join(self.nodes.select("node", "bits").join(lowest, "node"), "node")
+        named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "component", "bits", "low")]
         # One side is repeated for each few members of a signature, the other is dealt out.
         left = rest.select(
-            "signature", F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("component").alias("a_c"),
-            F.col("bits").alias("a_bits"), salt(F.col("size"), F.col("node")).alias("salt"),
+            "signature", F.col("node").alias("a"), *named("a"), salt(F.col("size"), F.col("node")).alias("salt")
         )
         right = rest.select(
-            "signature", F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("component").alias("b_c"),
-            F.col("bits").alias("b_bits"), F.explode(salts(F.col("size"))).alias("salt"),
+            "signature", F.col("node").alias("b"), *named("b"), F.explode(salts(F.col("size"))).alias("salt")
         )
-        pairs = (
+        return (
             left.join(right, ["signature", "salt"])
-            .where("a < b AND a_c <> b_c")
+            .where("a < b AND a_component <> b_component")
             .where(self.near_enough())
-            .select("a", "b")
+            .where("coalesce(array_min(array_intersect(a_low, b_low)) >= signature, true)")
+            .select("a", "b", F.expr(f"{DIFFERING} AS differing"))
             .distinct()
         )
-        return self.check(stored(pairs))
 
     def result(self) -> DataFrame:
         """``(id, n_shingles, component)`` of every row."""
