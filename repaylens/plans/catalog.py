@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from repaylens.plans import experiment, journey, quality, recovery, reporting
 from repaylens.schemas import BAND_ORDER, KEYS, TEST_WINDOW
-from repaylens.sources.files import Tables, export_csv
+from repaylens.sources.files import Tables, export_csv, read_csv, stored
 
 Analysis = Callable[[Tables], DataFrame]
 
@@ -150,14 +150,51 @@ def export_results(
     """Write results as CSV, one folder per analysis. ``mode`` says what to do if one exists.
 
     Reports become one file. Tables with a row per account are sorted over as many
-    files as Spark makes.
+    files as Spark makes. The two account tables that the others start from are computed
+    once, if several results are wanted.
     """
-    run = analyses(window)
+    run, names = analyses(window), list(names)
+    if len(names) > 1:
+        t = with_account_tables(t, window, names)
     for name in names:
         order = EXPORTS.get(name, [])
         export_csv(run[name](t), f"{folder.rstrip('/')}/{name}", order, None if order else 1, mode)
 
 
+#: Tables with a row per account that other analyses start from, by what those begin with.
+ACCOUNT_TABLES = {
+    "ab_customer_outcomes": ("ab_",),
+    "customer_recovery_summary": (
+        "recovery_", "customer_recovery_", "high_exposure_", "payment_plan_", "collected_", "weakest_"
+    ),
+}
+
+
+def with_account_tables(
+    t: Tables, window: tuple[date, date] = TEST_WINDOW, names: Iterable[str] = tuple(EXPORTS)
+) -> Tables:
+    """``t`` and, as Parquet in the shared folder, the account tables that ``names`` start from."""
+    run, names = analyses(window), list(names)
+    wanted = [
+        table for table, users in ACCOUNT_TABLES.items()
+        if table not in t and any(n.startswith(users) for n in names)
+    ]
+    return {**t, **{table: stored(run[table](t)) for table in wanted}}
+
+
+def read_account_tables(t: Tables, folder: str) -> Tables:
+    """``t`` and the account tables that ``export_results`` has written to ``folder``.
+
+    The experiment and recovery analyses then start from the exported accounts.
+    """
+    run, out = analyses(), dict(t)
+    for name in ACCOUNT_TABLES:
+        # only the names and types of the columns are taken from the plan; nothing of it runs
+        table = run[name](t)
+        out[name] = read_csv(table.sparkSession, f"{folder.rstrip('/')}/{name}", table.schema)
+    return out
+
+
 def _on_summary(
     view: Callable[[DataFrame], DataFrame],
     window: tuple[date, date],

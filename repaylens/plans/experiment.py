@@ -117,8 +117,14 @@ def ab_customer_outcomes(
     """One row per test account with everything it did, in 33 columns.
 
     ``ordered`` sorts by group and account, as for an export. ``client_columns`` names
-    the client attributes wanted; without any, clients are not looked up.
+    the client attributes wanted; without any, clients are not looked up. If ``t`` holds
+    this table, stored or exported before, it is read as it is, whatever the ``window``.
     """
+    if "ab_customer_outcomes" in t:
+        known = t["ab_customer_outcomes"]
+        unwanted = set(CLIENT_COLUMNS) - set(client_columns)
+        known = known.select(*[c for c in known.columns if c not in unwanted])
+        return known.orderBy(GROUP, "customer_id") if ordered else known
     account_columns = [
         "portfolio_type",
         "debt_balance",

@@ -42,7 +42,14 @@ _SUMS = ("debt_balance", "amount_collected")
 
 
 def account_outcomes(t: Tables, accounts: DataFrame | None = None) -> DataFrame:
-    """Accounts with their payment and plan totals."""
+    """Accounts with their payment and plan totals.
+
+    If ``t`` holds ``customer_recovery_summary``, stored or exported before, it is used.
+    """
+    if "customer_recovery_summary" in t:
+        return t["customer_recovery_summary"].withColumnRenamed(
+            "affordability_completed_flag", "affordability_completed_plan_flag"
+        )
     base = t["customers"] if accounts is None else accounts
     return attach_plans(attach_payments(base, t["payments"]), t["repayment_plans"])
 
@@ -120,10 +127,11 @@ def recovery_by_debt_age(t: Tables) -> DataFrame:
 
 
 def recovery_by_client_type(t: Tables) -> DataFrame:
-    accounts = with_client(t["customers"], t["clients"], ["client_type"])
-    return segment_recovery(
-        account_outcomes(t, accounts), ["client_type"], _SEGMENT_METRICS
-    ).orderBy(F.desc("recovery_rate"), F.asc_nulls_first("client_type"))
+    if "customer_recovery_summary" in t:
+        outcomes = account_outcomes(t)
+    else:
+        outcomes = account_outcomes(t, with_client(t["customers"], t["clients"], ["client_type"]))
+    return segment_recovery(outcomes, ["client_type"], _SEGMENT_METRICS).orderBy(F.desc("recovery_rate"), F.asc_nulls_first("client_type"))
 
 
 def payment_method_performance(t: Tables) -> DataFrame:
@@ -240,8 +248,12 @@ def customer_recovery_summary(
 ) -> DataFrame:
     """One row per account, in 24 columns. ``ordered`` sorts by account, as for an export.
 
-    Without ``client_columns`` clients are not looked up.
+    Without ``client_columns`` clients are not looked up. If ``t`` holds this table, it is
+    read as it is.
     """
+    if "customer_recovery_summary" in t:
+        known = t["customer_recovery_summary"]
+        return known.orderBy("customer_id") if ordered else known
     out = with_client(account_outcomes(t), t["clients"], client_columns).select(
         "customer_id",
         "client_id",
@@ -353,7 +365,10 @@ def balance_histogram(t: Tables) -> DataFrame:
 
 def collected_histogram(t: Tables) -> DataFrame:
     """Amounts of the accounts that paid anything."""
-    paying = attach_payments(t["customers"].select("customer_id"), t["payments"])
+    if "customer_recovery_summary" in t:
+        paying = t["customer_recovery_summary"]
+    else:
+        paying = attach_payments(t["customers"].select("customer_id"), t["payments"])
     return histogram(paying.filter(F.col("amount_collected") > 0), "amount_collected")
 
 

@@ -25,7 +25,7 @@ from repaylens.operators.rollup import rollup
 from repaylens.plans.experiment import ab_customer_outcomes, group_summary
 from repaylens.plans.recovery import affordability_status, segment_recovery
 from repaylens.schemas import CONTROL, TEST_WINDOW, VARIANT
-from repaylens.sources.files import Tables, checkpointed, register_views
+from repaylens.sources.files import Tables, register_views, stored
 
 Window = tuple[date, date]
 
@@ -363,11 +363,11 @@ def view_row_counts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
 def build_views(
     t: Tables, window: Window = TEST_WINDOW, store_summary: bool = False
 ) -> dict[str, DataFrame]:
-    """All views by name. ``store_summary`` keeps the account summary in the shared
-    checkpoint folder, which pays off when several views are read."""
+    """All views by name. ``store_summary`` keeps the account summary as Parquet in the
+    shared folder, which pays off when several views are read."""
     summary = vw_customer_summary(t, window)
     if store_summary:
-        summary = checkpointed(summary)
+        summary = stored(summary)
     return {
         "vw_ab_test_customer_outcomes": ab_customer_outcomes(t, window),
         "vw_customer_summary": summary,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,19 +25,9 @@ def local_session(cores: int | str = 8, name: str = "repaylens", **conf: str) ->
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a scratch folder only where none is named."""
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    context = spark.sparkContext
-    if folder:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(folder)
-        return folder
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    folder = tempfile.mkdtemp(prefix="repaylens-checkpoint-")
-    context.setCheckpointDir(folder)
-    return folder
+    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"

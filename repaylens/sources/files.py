@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from repaylens.functions.columns import money_as_double
 from repaylens.schemas import SCHEMAS
-from repaylens.session import ensure_checkpoint_dir
+from repaylens.session import shared_path
 
 Tables = Mapping[str, DataFrame]
 
@@ -89,10 +89,12 @@ def register_views(frames: Mapping[str, DataFrame]) -> None:
         frame.createOrReplaceTempView(name)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Store a frame that several queries read in the shared checkpoint folder.
+def stored(df: DataFrame) -> DataFrame:
+    """Store a frame that several queries read as Parquet in the shared folder.
 
-    The copy lives outside the executors, so losing one does not recompute it.
+    The copy lives outside the executors, so losing one does not recompute it, and each
+    query reads the columns it uses only.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = shared_path(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

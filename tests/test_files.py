@@ -7,7 +7,7 @@ import pytest
 
 from repaylens.functions.columns import mapped, month_of, rank_of, to_dates
 from repaylens.schemas import BAND_ORDER, SCHEMAS
-from repaylens.session import ensure_checkpoint_dir
+from repaylens.session import shared_path
 from repaylens.sources import files
 from small_tables import small_tables
 
@@ -85,34 +85,49 @@ def test_lazy_tables_build_once_when_asked(t):
     assert lazy["clients"] is lazy["clients"] and built == [1]
 
 
-def test_checkpoint_folder_comes_from_the_session(spark):
+def test_stored_tables_lie_in_the_folder_of_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir")
-    assert ensure_checkpoint_dir(spark) == named
-    assert files.checkpointed(spark.range(3)).count() == 3
-    assert spark.sparkContext.getCheckpointDir().startswith(f"file:{named}")
+    assert shared_path(spark).startswith(f"{named}/") and shared_path(spark) != shared_path(spark)
+    out = files.stored(spark.range(3))
+    assert out.count() == 3 and named in out.inputFiles()[0]
 
 
-class FakeSession:
-    """A session without a named checkpoint folder."""
+def test_without_a_shared_folder_nothing_is_stored():
+    class Session:
+        conf = {}
 
-    def __init__(self, master):
-        self.conf = {}
-        self.sparkContext = self
-        self.master = master
-        self.folder = None
-
-    def getCheckpointDir(self):
-        return self.folder
-
-    def setCheckpointDir(self, folder):
-        self.folder = folder
-
-
-def test_no_machine_local_checkpoints_on_a_cluster():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        ensure_checkpoint_dir(FakeSession("yarn"))
-    local = FakeSession("local[2]")
-    assert ensure_checkpoint_dir(local) == local.folder
+        shared_path(Session())
+
+
+def test_account_tables_are_computed_once(spark, t):
+    from repaylens.plans.catalog import analyses, with_account_tables
+
+    held = with_account_tables(t, names=["ab_ztests", "recovery_overall", "overall_funnel"])
+    assert set(held) - set(t) == {"ab_customer_outcomes", "customer_recovery_summary"}
+    assert set(with_account_tables(t, names=["overall_funnel"])) == set(t)
+    for name in ("ab_by_client_type", "recovery_by_debt_age", "collected_histogram"):
+        want, found = analyses()[name](t), analyses()[name](held)
+        assert found.columns == want.columns and found.collect() == want.collect()
+        text = found._jdf.queryExecution().executedPlan().toString()
+        assert text.count("FileScan") >= 1 and "LocalTableScan" not in text and "ExistingRDD" not in text
+        assert "vulnerability_flag" not in text  # only the columns used are read
+
+
+def test_analyses_start_from_exported_accounts(spark, t, tmp_path):
+    from repaylens.plans.catalog import ACCOUNT_TABLES, analyses, export_results, read_account_tables
+
+    export_results(t, str(tmp_path), names=list(ACCOUNT_TABLES))
+    held = read_account_tables(t, str(tmp_path))
+    own = {name: held[name] for name in ACCOUNT_TABLES}  # no raw table at all
+    run = analyses()
+    for name in [
+        "ab_core_performance", "ab_by_balance_band", "ab_by_client_type", "ab_lift_long", "ab_group_sizes",
+        "ab_ztests", "ab_ztests_by_band", "ab_amount_ttest", "ab_amount_summary", "ab_view_check",
+        "ab_rate_pivot_payment_rate", "recovery_overall", "recovery_by_client_type", "recovery_priority_segments",
+        "recovery_matrix", "recovery_describe", "recovery_baseline_long", "payment_plan_status", "collected_histogram",
+    ]:
+        assert run[name](own).collect() == run[name](t).collect(), name
 
 
 def test_column_helpers(spark):
