@@ -81,38 +81,27 @@ def describe(df: DataFrame, digits: dict[str, int], places: int = 4) -> DataFram
     ``digits`` gives the decimal places of each column.
     """
     names = list(digits)
-    long = df.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(F.lit(c).alias("column_name"), F.col(c).cast("decimal(24,4)").alias("x"))
-                    for c in names
-                ]
-            )
-        )
-    )
-    moments = long.groupBy("column_name").agg(
-        F.count("x").alias("value_count"),
-        rounded_ratio("sum(x)", "count(x)", places).alias("mean"),
-        F.round(F.stddev_samp(F.col("x").cast("double")), places).alias("std"),
-        F.min("x").cast("double").alias("min"),
-        F.max("x").cast("double").alias("max"),
-    )
-    quartiles = (
-        exact_quantiles(df, {}, digits, [0.25, 0.5, 0.75])
+    found = (
+        exact_quantiles(df, {}, digits, [0.25, 0.5, 0.75], moments=True)
         .groupBy("column_name")
         .agg(
+            F.max("n").alias("value_count"),
+            rounded_ratio("max(sum)", "max(n)", places).alias("mean"),
+            F.round(F.sqrt(F.max("variance")), places).alias("std"),
+            F.max("low").alias("min"),
+            F.max("high").alias("max"),
             *[
                 F.max(F.when(F.col("quantile") == q, F.col("value"))).alias(name)
                 for q, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))
             ]
         )
     )
-    order = F.lit(len(names))
-    for index, name in enumerate(names):
-        order = F.when(F.col("column_name") == name, index).otherwise(order)
+    spine = df.sparkSession.range(0, len(names), 1, 1).select(
+        F.element_at(F.array(*map(F.lit, names)), F.col("id").cast("int") + 1).alias("column_name"), "id"
+    )
     return (
-        moments.join(quartiles, "column_name", "left")
+        spine.join(found, "column_name", "left")
+        .withColumn("value_count", F.coalesce("value_count", F.lit(0)))
+        .orderBy("id")
         .select("column_name", "value_count", "mean", "std", "min", "p25", "p50", "p75", "max")
-        .orderBy(order)
     )

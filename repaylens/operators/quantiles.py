@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
@@ -32,13 +32,16 @@ def exact_quantiles(
     digits: Mapping[str, int],
     quantiles: Sequence[float],
     bucket_bits: int = BUCKET_BITS,
+    moments: bool = False,
 ) -> DataFrame:
     """Linearly interpolated quantiles of decimal columns.
 
     ``by`` maps category columns to their labels, as for a pivot; other labels and
     null values are left out. ``digits`` maps each column to its number of decimal
     places. One row per group, column and quantile:
-    ``*by, column_name, quantile, value``.
+    ``*by, column_name, quantile, value``. ``moments`` adds count, sum, variance and
+    extremes of the group from the first pass: ``n, sum, variance, low, high``, where sum
+    is exact.
     """
     require_digits(df, digits)
     keys = [*by, "column_name"]
@@ -57,17 +60,19 @@ def exact_quantiles(
         "bucket", F.shiftright("v", bucket_bits)
     )
 
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
+    in_order, group = Window.partitionBy(*keys).orderBy("bucket"), Window.partitionBy(*keys)
     coarse = (
         values.groupBy(*keys, "scale", "bucket")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("n"), *(_bucket_moments(bucket_bits) if moments else []))
         .withColumns(
             {
                 "before": F.sum("n").over(in_order) - F.col("n"),
-                "total": F.sum("n").over(Window.partitionBy(*keys)),
+                "total": F.sum("n").over(group),
             }
+            | (_group_moments(group, bucket_bits) if moments else {})
         )
     )
+    carried = ["total", *_GROUP_MOMENTS] if moments else []
     last = (F.col("total") - 1).cast("double")
     wanted = F.array(
         *[
@@ -88,7 +93,7 @@ def exact_quantiles(
             (F.col("target.rank") >= F.col("before"))
             & (F.col("target.rank") < F.col("before") + F.col("n"))
         )
-        .select(*keys, "scale", "bucket", "before", "target.*")
+        .select(*keys, "scale", "bucket", "before", *carried, "target.*")
     )
     bucket = [*keys, "bucket"]
     fine = (
@@ -105,6 +110,46 @@ def exact_quantiles(
     )
     low, high = F.min("v").cast("double"), F.max("v").cast("double")
     part = F.max(F.col("position") - F.floor("position").cast("double"))
+    scale = F.max("scale")
+    extra = []
+    if moments:
+        n, total = F.max("total"), F.max("group_sum")
+        mean = total.cast("double") / n
+        spread = F.max("group_squares") - mean * total.cast("double")
+        extra = [
+            n.alias("n"),
+            (total / scale.cast("decimal(10,0)")).cast("decimal(38,6)").alias("sum"),
+            F.when(n > 1, F.greatest(spread, F.lit(0.0)) / (n - 1) / scale / scale).alias("variance"),
+            (F.max("group_low") / scale).alias("low"),
+            (F.max("group_high") / scale).alias("high"),
+        ]
     return found.groupBy(*keys, "quantile").agg(
-        ((low + (high - low) * part) / F.max("scale")).alias("value")
+        ((low + (high - low) * part) / scale).alias("value"), *extra
     )
+
+
+_GROUP_MOMENTS = ("group_sum", "group_squares", "group_low", "group_high")
+
+
+def _bucket_moments(bits: int) -> list[Column]:
+    """Sums over the rests of values within their bucket, which are small."""
+    rest = F.col("v") - F.shiftleft(F.col("bucket"), bits)
+    return [
+        F.sum(rest).alias("rests"),
+        F.sum(rest.cast("double") * rest.cast("double")).alias("rest_squares"),
+        F.min("v").alias("least"),
+        F.max("v").alias("most"),
+    ]
+
+
+def _group_moments(group: WindowSpec, bits: int) -> dict[str, Column]:
+    """Moments of a group from those of its buckets."""
+    start = F.shiftleft(F.col("bucket"), bits)
+    n, rests, at = (c.cast("double") for c in (F.col("n"), F.col("rests"), start))
+    whole = start.cast("decimal(19,0)") * F.col("n").cast("decimal(18,0)") + F.col("rests")
+    return {
+        "group_sum": F.sum(whole).over(group),
+        "group_squares": F.sum(n * at * at + 2 * at * rests + F.col("rest_squares")).over(group),
+        "group_low": F.min("least").over(group),
+        "group_high": F.max("most").over(group),
+    }
