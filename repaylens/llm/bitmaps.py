@@ -64,7 +64,7 @@ def broadcast_bitmap(hashes: DataFrame, bits: int = BITS) -> Broadcast:
     )
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
     size = (1 << BLOCK) // 8
-    for row in parts.toLocalIterator():  # at most 2^(bits-16) rows of 8 KB
+    for row in parts.collect():  # at most 2^(bits-16) rows of 8 KB, in one job
         bitmap[row["block"] * size : (row["block"] + 1) * size] |= np.frombuffer(row["bits"], np.uint8)
     return spark.sparkContext.broadcast(bitmap.tobytes())
 
