@@ -37,7 +37,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repaylens.llm.bitmaps import broadcast_bitmap, contains, opened
@@ -56,8 +56,14 @@ LOWEST = 16
 #: Rounds that check the best open pair of each node before all that are left are checked.
 BEST_FIRST = 2
 
-#: Bits in which the sketches of a and b differ, as SQL.
-DIFFERING = " + ".join(f"bit_count(a_bits[{k}] ^ b_bits[{k}])" for k in range(SKETCH))
+#: Bits in which the sketches of a and b differ, as SQL. Each long is a column of its own: with arrays
+#: the code that Spark generates for a join of pairs passes 8,000 bytes, and the JVM would only interpret it.
+DIFFERING = " + ".join(f"bit_count(a_bits{k} ^ b_bits{k})" for k in range(SKETCH))
+
+
+def bits_of(x: str) -> list[Column]:
+    """The longs of the column ``bits`` as columns of node ``x``."""
+    return [F.col("bits")[k].alias(f"{x}_bits{k}") for k in range(SKETCH)]
 
 
 @dataclass(frozen=True)
@@ -333,10 +339,10 @@ class Join:
 
     def plausible(self, pairs: DataFrame) -> DataFrame:
         """``pairs(a, b, ...)`` that sizes and sketches do not rule out; pairs and nodes are stored."""
-        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"))
-        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), F.col("bits").alias("b_bits"))
+        a = self.nodes.select(F.col("node").alias("a"), F.col("n").alias("a_n"), *bits_of("a"))
+        b = self.nodes.select(F.col("node").alias("b"), F.col("n").alias("b_n"), *bits_of("b"))
         found = pairs.join(a, "a").join(b, "b").where(self.near_enough())
-        return found.drop("a_n", "b_n", "a_bits", "b_bits")
+        return found.select(pairs.columns)
 
     def links(self) -> DataFrame:
         """``(a, b)``: links that connect the same nodes as all links do."""
@@ -433,7 +439,7 @@ class Join:
         """
         lowest = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("signature")), 1, LOWEST).alias("low"))
         rest = rest.join(self.nodes.select("node", "bits").join(lowest, "node"), "node")
-        named = lambda x: [F.col(c).alias(f"{x}_{c}") for c in ("n", "component", "bits", "low")]
+        named = lambda x: [*[F.col(c).alias(f"{x}_{c}") for c in ("n", "component", "low")], *bits_of(x)]
         # One side is repeated for each few members of a signature, the other is dealt out.
         left = rest.select(
             "signature", F.col("node").alias("a"), *named("a"), salt(F.col("size"), F.col("node")).alias("salt")
