@@ -1,20 +1,24 @@
-"""Line deduplication across documents: rare shared lines propose, patience diff decides.
+"""Line deduplication across documents: every block of lines that an earlier document holds goes.
 
-A line's first document is the smallest (id, text hash) that holds it. Each line that an
-earlier document holds proposes two of them: its own first document, and the first
-document of the rarest line within two lines of it. So proposals grow with the number of
-lines, however many documents share one. The lines of a document are aligned with each
-proposed earlier document by patience diff: lines that both hold once, in an order that
-both share, anchor it; between and next to anchors it continues. Aligned runs of
-consecutive lines with at least ``min_words`` words are deleted from the later document.
+A block is a run of consecutive lines with at least ``min_words`` words. Each line opens
+and closes one shortest block (a window): the shortest run from it on, and the shortest
+run up to it, of so many words. A longer block is the union of its windows. So a window's
+first document, the smallest (id, text hash) that holds it, decides for all earlier
+documents: a line is deleted if it is in a window whose first document is an earlier one.
+That is every line that patience diff aligns in a block with any earlier document, and
+also blocks that stand there in another order, which one alignment would leave out.
+
+Windows travel as hashes, at most two for each line, so the work grows with the number of
+lines however many documents share one and however often a document repeats one.
 
 Lines are compared after trimming and with runs of white space as one space. Blank lines
-neither count nor break a run.
+neither count nor break a run, and stay.
 
 Defined results: null text stays null and has no lines; a null id sorts before all
-others; rows that repeat id and text are one document and lose the same lines; a line
-repeated within one document only is left alone; other columns are kept whatever their
-names; an empty table gives no rows.
+others; rows that repeat id and text are one document and lose the same lines; a block
+repeated within one document only is left alone; ``blocks`` counts runs of deleted lines
+that no other line parts; other columns are kept whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -22,15 +26,16 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repaylens.llm.common import stored, table
 
 MIN_WORDS = 40
-#: Lines to either side among which the rarest one proposes a document.
-REACH = 2
 KEY = ["doc", "th"]
 
 
@@ -39,59 +44,64 @@ def text_hash(text: Column) -> Column:
     return F.xxhash64(F.lit("text"), F.coalesce(text, F.lit("")))
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """``(doc, th, pos, line, h1, h2, words)``: non-blank lines; ``line`` counts all, ``pos`` these."""
-    clean = lambda x: F.trim(F.regexp_replace(x, "[\\x20\\x09-\\x0D]+", " "))
-    held = F.filter(
-        F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(i.alias("line"), clean(x).alias("x"))),
-        lambda s: s["x"] != "",
-    )
-    rows = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), text_hash(F.col("text")).alias("th"), F.posexplode(held).alias("pos", "s")
-    )
-    return rows.select(
-        *KEY, "pos", F.col("s.line").alias("line"),
-        F.xxhash64("s.x").alias("h1"), F.xxhash64(F.lit("line"), "s.x").alias("h2"),
-        F.size(F.split("s.x", " ")).alias("words"),
-    )
+def windows(text: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last line (numbers count all lines) and 128-bit hash of each shortest block."""
+    held = [(k, w) for k, x in enumerate(text.encode().split(b"\n")) if (w := x.split())]
+    line = np.array([k for k, _ in held], np.int32)
+    ends = np.cumsum([len(w) for _, w in held], dtype=np.int64)
+    before = np.concatenate([[0], ends])[:-1]
+    places = np.arange(len(held))
+    last = np.searchsorted(ends, before + min_words)
+    first = np.searchsorted(before, ends - min_words, "right") - 1
+    spans = np.concatenate([
+        np.stack([places, last], 1)[last < len(held)],
+        np.stack([first, places], 1)[first >= 0],
+    ])
+    if not len(spans):
+        return line[:0], line[:0], np.zeros((0, 2), np.int64)
+    spans = np.unique(spans, axis=0)
+    digests = b"".join(xxhash.xxh3_128_digest(b" ".join(w)) for _, w in held)
+    hashes = b"".join(xxhash.xxh3_128_digest(digests[16 * a:16 * b + 16]) for a, b in spans.tolist())
+    return line[spans[:, 0]], line[spans[:, 1]], np.frombuffer(hashes, "<i8").reshape(-1, 2)
+
+
+def _windows(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [windows(x, min_words) for x in batch.column("text").to_pylist()]
+            if not found:
+                continue
+            rows = pa.array(np.repeat(np.arange(len(found)), [len(x) for x, _, _ in found]))
+            start, stop, hashes = (np.concatenate(x) for x in zip(*found))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("doc").take(rows), batch.column("th").take(rows), pa.array(start), pa.array(stop),
+                    pa.array(np.ascontiguousarray(hashes[:, 0])), pa.array(np.ascontiguousarray(hashes[:, 1])),
+                ],
+                ["doc", "th", "start", "stop", "h1", "h2"],
+            )
+
+    return run
+
+
+def windows_of(docs: DataFrame, min_words: int) -> DataFrame:
+    """``(doc, th, start, stop, h1, h2)``: the shortest blocks of every document."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").alias("doc"), text_hash(F.col("text")).alias("th"), "text")
+    return texts.mapInArrow(_windows(min_words), f"doc {kind}, th long, start int, stop int, h1 long, h2 long")
 
 
-def proposals(lines: DataFrame) -> DataFrame:
-    """``(doc, th, pos, line, h1, h2, words, a_doc, a_th)``: lines with earlier documents to align with."""
+def held_before(found: DataFrame) -> DataFrame:
+    """``(doc, th, starts, stops)``: the windows of a document that an earlier one holds."""
     first = stored(
-        lines.groupBy("h1", "h2")
-        .agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last"), F.count("*").alias("copies"))
+        found.groupBy("h1", "h2")
+        .agg(F.min(F.struct(*KEY)).alias("first"), F.max(F.struct(*KEY)).alias("last"))
         .where("first < last")
         .drop("last")
     )
-    later = lines.join(first, ["h1", "h2"]).where(~F.struct(*KEY).eqNullSafe(F.col("first")))
-    near = F.expr(
-        "min(struct(copies, first)) OVER (PARTITION BY doc, th ORDER BY pos"
-        f" RANGE BETWEEN {REACH} PRECEDING AND {REACH} FOLLOWING)"
-    )
-    return (
-        later.withColumn("rarest", near)
-        .select(
-            *KEY, "pos", "line", "h1", "h2", "words",
-            F.explode(F.array_distinct(F.array("first", "rarest.first"))).alias("a"),
-        )
-        .select(*KEY, "pos", "line", "h1", "h2", "words", F.col("a.doc").alias("a_doc"), F.col("a.th").alias("a_th"))
-    )
-
-
-def shared_lines(lines: DataFrame) -> DataFrame:
-    """``proposals`` with the places ``at`` of the line in the earlier document."""
-    asked = stored(proposals(lines))
-    owners = stored(asked.select("a_doc", "a_th", "h1", "h2").distinct())
-    places = stored(
-        lines.alias("l")
-        .join(owners.alias("o"), F.expr("l.h1 = o.h1 AND l.h2 = o.h2 AND l.doc <=> o.a_doc AND l.th = o.a_th"), "left_semi")
-        .groupBy(*KEY, "h1", "h2")
-        .agg(F.sort_array(F.collect_list("pos")).alias("at"))
-    )
-    return asked.alias("q").join(
-        places.alias("p"), F.expr("q.h1 = p.h1 AND q.h2 = p.h2 AND q.a_doc <=> p.doc AND q.a_th = p.th")
-    ).select("q.*", "p.at")
+    later = found.join(first, ["h1", "h2"]).where(~F.struct(*KEY).eqNullSafe(F.col("first")))
+    spans = later.groupBy(*KEY).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    return spans.select(*KEY, F.col("spans.start").alias("starts"), F.col("spans.stop").alias("stops"))
 
 
 def longest_rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -175,28 +185,29 @@ def blocks(aligned: dict[int, int], words: dict[int, int], min_words: int) -> li
     return out
 
 
-def _aligned(min_words: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for doc, th, rows in zip(batch["doc"], batch["th"], batch["rows"]):
-                others: dict[tuple, dict[int, tuple[int, ...]]] = {}
-                words, line = {}, {}
-                for r in rows:
-                    others.setdefault((r["a_doc"], r["a_th"]), {})[r["pos"]] = tuple(r["at"])
-                    words[r["pos"]], line[r["pos"]] = r["words"], r["line"]
-                gone, count = set(), 0
-                for own in others.values():
-                    if sum(words[p] for p in own) < min_words:
-                        continue
-                    for start, length in blocks(patience(own), words, min_words):
-                        count += 1
-                        gone.update(line[p] for p in range(start, start + length))
-                if gone:
-                    out.append((doc, th, sorted(gone), count))
-            yield pd.DataFrame(out, columns=["doc", "th", "removed", "blocks"])
+def without(text: str, starts: np.ndarray, stops: np.ndarray) -> tuple[str, list[int], int]:
+    """The text without the lines of the spans, the numbers of these lines, and their runs."""
+    held = text.split("\n")
+    change = np.zeros(len(held) + 1, np.int64)
+    np.add.at(change, starts, 1)
+    np.add.at(change, np.asarray(stops) + 1, -1)
+    inside = (np.cumsum(change) > 0).tolist()
+    kept, removed, count, open_run = [], [], 0, False
+    for k, line in enumerate(held):
+        blank = not line.strip(" \t\n\v\f\r")
+        if inside[k] and not blank:
+            removed.append(k)
+            count += not open_run
+            open_run = True
+        else:
+            kept.append(line)
+            open_run = open_run and blank
+    return "\n".join(kept), removed, count
 
-    return run
+
+def _without(text: pd.Series, starts: pd.Series, stops: pd.Series) -> pd.DataFrame:
+    rows = [(None, None, None) if a is None else without(x, a, b) for x, a, b in zip(text, starts, stops)]
+    return pd.DataFrame(rows, columns=["kept_text", "removed", "blocks"]).astype({"blocks": "Int32"})
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
@@ -204,37 +215,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
     ``docs`` has doc_id and text; other columns stay.
     """
-    # ids travel as text: pandas would turn a column of longs with nulls into doubles
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    lines = stored(lines_of(docs))
-    rows = (
-        shared_lines(lines)
-        .groupBy(*KEY)
-        .agg(F.collect_list(F.struct("a_doc", "a_th", "pos", "line", "words", "at")).alias("rows"), F.sum("words").alias("most"))
-        .where(F.col("most") >= min_words)
-        .drop("most")
-    )
-    found = stored(
-        rows.withColumn("doc", F.col("doc").cast("string"))
-        .mapInPandas(_aligned(min_words), "doc string, th long, removed array<int>, blocks int")
-        .withColumn("doc", F.col("doc").cast(kind))
-    )
-    names = {c: f"__{c}" for c in ("doc", "th", "removed", "blocks")}
-    found = found.withColumnsRenamed(names)
+    found = stored(held_before(stored(windows_of(docs, min_words))))
+    found = found.withColumnsRenamed({c: f"__{c}" for c in found.columns})
     joined = docs.join(
         found, docs["doc_id"].eqNullSafe(found["__doc"]) & (text_hash(docs["text"]) == found["__th"]), "left"
     )
-    kept = F.when(
-        F.col("__removed").isNotNull(),
-        F.array_join(
-            F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(F.col("__removed"), i)), "\n"
-        ),
-    ).otherwise(docs["text"])
+    hit = F.col("__starts").isNotNull()
+    udf = F.pandas_udf(_without, "kept_text string, removed array<int>, blocks int")
+    left = udf(F.when(hit, docs["text"]), F.col("__starts"), F.col("__stops"))
+    others = [c for c in docs.columns if c not in ("kept_text", "removed", "blocks")]
     return joined.select(
-        *[docs[c] for c in docs.columns if c not in ("kept_text", "removed", "blocks")],
-        kept.alias("kept_text"),
-        F.coalesce("__removed", F.array().cast("array<int>")).alias("removed"),
-        F.coalesce("__blocks", F.lit(0)).alias("blocks"),
+        *[docs[c] for c in others], docs["text"].alias("__text"), hit.alias("__hit"), left.alias("__left")
+    ).select(
+        *others,
+        F.when(F.col("__hit"), F.col("__left.kept_text")).otherwise(F.col("__text")).alias("kept_text"),
+        F.coalesce("__left.removed", F.array().cast("array<int>")).alias("removed"),
+        F.coalesce("__left.blocks", F.lit(0)).alias("blocks"),
     )
 
 

@@ -64,6 +64,47 @@ def test_patience_aligns_rising_places():
         assert values == sorted(set(values))
 
 
+def brute_lines(rows, least):
+    """Numbers of the lines in runs of ``least`` words that any earlier document holds; ids are unique."""
+    split = {d: [(k, x.split()) for k, x in enumerate(t.split("\n")) if x.split()] for d, t in rows}
+    out = {}
+    for d, own in split.items():
+        gone = set()
+        for other in (split[e] for e in split if e < d):
+            for i in range(len(own)):
+                for j in range(len(other)):
+                    run = 0
+                    while i + run < len(own) and j + run < len(other) and own[i + run][1] == other[j + run][1]:
+                        run += 1
+                    if sum(len(w) for _, w in own[i : i + run]) >= least:
+                        gone.update(k for k, _ in own[i : i + run])
+        out[d] = sorted(gone)
+    return out
+
+
+def test_lines_equal_brute_force_over_all_earlier_documents(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"p{k}w{j}" for j in range(rng.randrange(1, 8))) for k in range(30)]
+    rows = []
+    for d in range(60):
+        own = []
+        for _ in range(rng.randrange(1, 6)):
+            a = rng.randrange(30)
+            own += pool[a : a + rng.randrange(1, 9)] if rng.random() < 0.7 else [f"own{d}", "", pool[a]]
+        rows.append((d, "\n".join(own)))
+    # the whole of 102 is in 101, but each of its lines stands first in another document
+    block = [" ".join(f"b{k}w{j}" for j in range(5)) for k in range(9)]
+    rows += [(70 + k, f"alone{k}\n{x}") for k, x in enumerate(block)]
+    rows += [(101, "\n".join(["before", *block, "after"])), (102, "\n".join(block)), (103, "\n".join([*block[5:], *block[:5]]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (12, 40):
+        got = {r["doc_id"]: r for r in lines.dedup_lines(df, least).collect()}
+        want = brute_lines(rows, least)
+        assert {d: r["removed"] for d, r in got.items()} == want
+        assert all(r["kept_text"] == "\n".join(x for k, x in enumerate(r["text"].split("\n")) if k not in want[d]) for d, r in got.items())
+    assert want[102] == list(range(9))
+
+
 # BPE
 
 
