@@ -1,9 +1,14 @@
 """Benchmark decontamination: pieces of test items found exactly, then edit distance.
 
-An item of n characters may occur with up to ``k = max(1, rate * n)`` edits. It is cut into
-k + 1 pieces: k edits leave at least one piece whole, so the exact places of pieces (one
-automaton for all of them) are all the candidates there are. Around each place Myers'
-bit-parallel search finds the least distance of the item to any part of the document.
+An item of n characters may occur with up to ``k = rate * n`` edits, so items of under
+``1 / rate`` characters only as they are; an item of ``LONG_WORDS`` or more words also with
+any one word replaced by any other. A place begins and ends at word boundaries. An item is
+cut into k + 1 pieces or, for a replaced word, more until no word touches all of them: k
+edits or a replaced word leave at least one piece whole, so the exact places of pieces
+(one automaton for all of them) are all the candidates there are. Around each place Myers'
+bit-parallel search finds the least distance of the item to any part of the document;
+where that is small enough, the search is repeated from each word that may begin the place.
+``allowed`` is k, or the distance where a replaced word takes more.
 
 Texts are compared as words: lower case, with everything that is no letter or digit
 (ASCII) as one space.
@@ -20,7 +25,9 @@ columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pandas as pd
@@ -34,6 +41,8 @@ RATE = 0.05
 #: Characters of items in one block, more or less.
 BLOCK_CHARS = 2_000_000
 LEAST_CHARS = 3
+#: Words of an item from which one may be replaced.
+LONG_WORDS = 10
 
 
 def normal(text: str | None) -> str:
@@ -42,17 +51,35 @@ def normal(text: str | None) -> str:
 
 
 def errors(length: int, rate: float = RATE) -> int:
-    return min(length - 1, max(1, int(rate * length)))
+    return min(length - 1, int(rate * length))
+
+
+def is_long(item: str) -> bool:
+    return item.count(" ") + 1 >= LONG_WORDS
+
+
+def cuts(item: str, rate: float = RATE) -> int:
+    """The least number of pieces of which edits, or a replaced word of a long item, leave one whole."""
+    count = errors(len(item), rate) + 1
+    if is_long(item):
+        spans = [(m.start(), m.end()) for m in re.finditer("[^ ]+", item)]
+        # a word touches all pieces if it begins in the first and ends in the last
+        while any(a < len(item) // count and b > len(item) * (count - 1) // count for a, b in spans):
+            count += 1
+    return count
 
 
 def pieces(item: str, count: int) -> list[tuple[int, str]]:
     """``count`` pieces of near equal length with their places."""
-    cuts = [len(item) * k // count for k in range(count + 1)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+    ends = [len(item) * k // count for k in range(count + 1)]
+    return [(a, item[a:b]) for a, b in zip(ends, ends[1:])]
 
 
-def myers(item: str, text: str) -> tuple[int, int]:
-    """Least edit distance of ``item`` to any part of ``text``, and where that part ends."""
+def myers(item: str, text: str, whole: bool = False) -> tuple[int, int]:
+    """Least edit distance of ``item`` to any part of ``text``, and where that part ends.
+
+    ``whole``: to parts that begin where ``text`` does and end with a word.
+    """
     masks: dict[str, int] = {}
     for k, c in enumerate(item):
         masks[c] = masks.get(c, 0) | 1 << k
@@ -69,20 +96,65 @@ def myers(item: str, text: str) -> tuple[int, int]:
             score += 1
         elif mh & top:
             score -= 1
-        ph = (ph << 1) & full  # zeros come in: the part may start anywhere
+        ph = (ph << 1 | whole) & full  # zeros come in if the part may start anywhere
         mh = (mh << 1) & full
         plus = mh | (full & ~(xv | ph))
         minus = ph & xv
-        if score < best:
+        if score < best and (not whole or j == len(text) or text[j] == " "):
             best, end = score, j
     return best, end
 
 
+def edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def placed(item: str, text: str, starts: list[int], most: int) -> list[tuple[int, int]]:
+    """(distance, end) of places of whole words that begin within ``most`` of ``starts``, up to the first exact one."""
+    out = []
+    for at in sorted({i for s in starts for i in range(max(0, s - most), min(len(text), s + most + 1))}):
+        if at == 0 or text[at - 1] == " ":
+            # one character more tells whether a word ends
+            distance, end = myers(item, text[at:at + len(item) + most + 1], whole=True)
+            if distance <= most:
+                out.append((distance, at + end))
+                if distance == 0:
+                    break
+    return out
+
+
+class Words:
+    """The words of a text and where they begin and end."""
+
+    def __init__(self, text: str):
+        self.words = text.split(" ")
+        ends = list(accumulate((len(w) + 1 for w in self.words), initial=-1))
+        self.ends = ends[1:]
+        self.first = {end + 1: k for k, end in enumerate(ends[:-1])}
+        self.last = {end: k for k, end in enumerate(self.ends)}
+
+    def one_replaced(self, item: str, start: int) -> list[tuple[int, int]]:
+        """(distance, end) of places from ``start`` or up to where the item would end, with at most one other word."""
+        own, out = item.split(" "), []
+        for k in {self.first.get(start, -1), self.last.get(start + len(item), -1) - len(own) + 1}:
+            part = self.words[k:k + len(own)] if k >= 0 else []
+            if len(part) == len(own):
+                other = [(x, y) for x, y in zip(own, part) if x != y]
+                if len(other) < 2:
+                    out.append((sum(edits(x, y) for x, y in other), self.ends[k + len(own) - 1]))
+        return out
+
+
 def automaton(items: list[tuple[int, str]], rate: float) -> ahocorasick.Automaton:
     """Finds pieces; a piece's value lists (item number, place in the item)."""
     held: dict[str, list[tuple[int, int]]] = {}
     for number, (_, item) in enumerate(items):
-        for at, piece in pieces(item, errors(len(item), rate) + 1):
+        for at, piece in pieces(item, cuts(item, rate)):
             held.setdefault(piece, []).append((number, at))
     out = ahocorasick.Automaton()
     for piece, where in held.items():
@@ -98,19 +170,27 @@ def hits(text: str, items: list[tuple[int, str]], finder: ahocorasick.Automaton,
         for number, at in where:
             windows.setdefault(number, set()).add(end + 1 - length - at)
     out = {}
+    words = None
     for number, starts in windows.items():
         item = items[number][1]
         most = errors(len(item), rate)
-        spans: list[list[int]] = []
+        spans: list[tuple[int, int, list[int]]] = []
         for s in sorted(starts):
             low, high = max(0, s - most), min(len(text), s + len(item) + most)
             if spans and low <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], high)
+                first, last, held = spans.pop()
+                held.append(s)
+                spans.append((first, max(last, high), held))
             else:
-                spans.append([low, high])
-        found = [(d, low + e) for low, high in spans for d, e in [myers(item, text[low:high])] if d <= most]
+                spans.append((low, high, [s]))
+        near = [s for low, high, held in spans if most == 0 or myers(item, text[low:high])[0] <= most for s in held]
+        found = placed(item, text, near, most)
+        if is_long(item):
+            words = words or Words(text)
+            found += [x for s in starts for x in words.one_replaced(item, s)]
         if found:
-            out[number] = (*min(found), most)
+            distance, end = min(found)
+            out[number] = (distance, end, max(most, distance))
     return out
 
 

@@ -373,6 +373,50 @@ def test_leaks(spark, odd, none):
     assert leaks.find_leaks(odd, bench).count() == leaks.find_leaks(none, bench).count() == 0
 
 
+def brute_leak(item, text, rate=leaks.RATE):
+    """(distance, end) of the best place of whole words, over all of them."""
+    own, words, found = item.split(), text.split(), []
+    for i in range(len(words)):
+        for j in range(i + 1, len(words) + 1):
+            part = words[i:j]
+            d = distance(item, " ".join(part))
+            one = len(own) >= leaks.LONG_WORDS and len(part) == len(own) and sum(x != y for x, y in zip(own, part)) < 2
+            if d <= int(rate * len(item)) or one:
+                found.append((d, len(" ".join(words[:j]))))
+    return min(found, default=None)
+
+
+def test_leaks_are_places_of_whole_words_within_the_budget():
+    rng = random.Random(11)
+    letters = lambda least, most: "".join(rng.choice("abc") for _ in range(rng.randrange(least, most)))
+    for n in range(150):
+        item = [letters(1, 9) for _ in range(rng.choice([1, 3, 9, 10, 12]))]
+        if n % 9 == 0 and len(item) > 2:
+            item[len(item) // 2] = letters(60, 61)
+        copy = list(item)
+        if n % 3 < 2:
+            copy[rng.randrange(len(item))] = letters(1, 30)
+        text = " ".join([letters(1, 5), *copy, letters(1, 5)])
+        for _ in range(rng.randrange(2)):
+            at = rng.randrange(len(text))
+            text = text[:at] + rng.choice(["", "a", " "]) + text[at + 1 :]
+        item, text = " ".join(item), leaks.normal(text)
+        if len(item) < leaks.LEAST_CHARS:
+            continue
+        items = [("i", item)]
+        got = leaks.hits(text, items, leaks.automaton(items, leaks.RATE), leaks.RATE)
+        assert (got[0][:2] if got else None) == brute_leak(item, text), (item, text)
+
+
+def test_short_items_are_whole_words_and_long_ones_may_have_another_word(spark):
+    long = "one rare passage of exactly twelve words stands here for this test"
+    docs = [(1, "these bytes are eyes, yesterday"), (2, "Yes, they are."), (3, f"so {long.replace('passage', 'extraordinarily')} too"),
+            (4, long.replace("passage", "phrase").replace("twelve", "dozen"))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "yes"), (1, long)], "item_id long, text string")
+    assert rows_of(leaks.find_leaks(df, bench), "doc_id", "item_id", "distance", "allowed") == Counter([(2, 0, 0, 0), (3, 1, 13, 13)])
+
+
 # toxicity
 
 
