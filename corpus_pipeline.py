@@ -3,12 +3,14 @@
 1. toxicity: documents that the classifier predicts to be toxic go
 2. line_dedup: aligned blocks that an earlier document holds are deleted; a document goes
    if nothing is left of it
-3. near_duplicates: of each group that shingles of five words link at 0.8, the document
-   of the smallest id stays
+3. near_duplicates: of each group that shingles of five words link at 0.8, one row stays,
+   that of the smallest id
 4. decontamination: documents that hold a benchmark item go
 5. tokens: ids of every text
 
 Null texts are clean, hold no lines and no item, link with nothing and have no tokens.
+Stages 3 and 4 decide by text, not by id: rows of one id and different texts are different
+documents. Null ids come after all others; of rows that repeat id and text one stays.
 """
 
 from __future__ import annotations
@@ -39,15 +41,33 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     )
 
 
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``, which tells texts apart; null for null texts."""
+    return docs.select(*COLUMNS, F.md5(F.encode("text", "UTF-8")).alias("__key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = near_groups(docs.select("doc_id", "text"), Rule(words=5, percent=80))
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    docs = with_key(docs)
+    groups = near_groups(docs.select("__key", "text"), Rule(words=5, percent=80), id="__key")
+    groups = stored(groups.where("n_shingles > 0").select("__key", F.col("component_id").alias("__group")).distinct())
+    rows = stored(docs.where("text IS NOT NULL").groupBy("doc_id", "__key").agg(F.count("*").alias("__rows")))
+    rows = stored(rows.join(groups, "__key"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
+    first = stored(rows.groupBy("__group").agg(F.min(place).alias("__first")))
+    rows = rows.join(first, "__group").withColumn("__stays", place.eqNullSafe(F.col("__first")))
+    rows = stored(rows.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "__stays", "__rows"))
+    same = F.expr("__key = __of AND doc_id <=> __id")
+    left = docs.join(rows.where("NOT __stays OR __rows > 1"), same, "left_anti")
+    # of rows that repeat id and text one comes back
+    again = docs.join(rows.where("__stays AND __rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    return left.unionByName(again).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(stored(leaks), "doc_id", "left_anti").select(*COLUMNS)
+    docs = with_key(docs)
+    texts = docs.select(F.col("__key").alias("doc_id"), "text")
+    leaks = find_leaks(texts, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.join(stored(leaks), "__key", "left_anti").select(*COLUMNS)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

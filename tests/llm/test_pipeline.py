@@ -80,6 +80,33 @@ def test_stages_on_awkward_rows(odd, none, spark, tmp_path):
         assert tokens.count() == docs.count()
 
 
+def kept(docs):
+    return Counter((r["doc_id"], r["text"]) for r in docs.collect())
+
+
+def test_stages_keep_one_row_of_each_group_whatever_the_ids(spark, tmp_path):
+    other = " ".join(f"other{k}" for k in range(80))
+    third = " ".join(f"third{k}" for k in range(80))
+    rows = [
+        (None, other), (None, other), (None, other.replace("other20", "new")),  # only null ids
+        (5, NEAR), (None, NEAR), (6, NEAR), (6, "a clean text of the same id"),
+        (7, third), (7, third), (8, third), (7, third.replace("third9 ", "")),  # repeated id, with and without its text
+        (9, None), (9, None), (None, None), (10, ""), (10, ""),
+    ]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], DOC)
+    got = kept(corpus_pipeline.drop_near_duplicates(spark, docs, ""))
+    clean = Counter({(6, "a clean text of the same id"): 1, (9, None): 2, (None, None): 1, (10, ""): 2, (5, NEAR): 1})
+    assert clean <= got
+    rest = list((got - clean).elements())
+    assert len(rest) == 2 and {(d, t.split()[0]) for d, t in rest} == {(None, "other0"), (7, "third0")}
+
+    folder = written(spark, tmp_path, benchmark=([(1, ITEM, 1)], TEST))
+    rows = [(None, f"x {ITEM}"), (None, "clean"), (None, None), (1, f"{ITEM} y"), (1, "clean"), (1, "clean"), (2, "")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1, "x") for d, t in rows], DOC)
+    got = kept(corpus_pipeline.drop_contaminated(spark, docs, folder))
+    assert got == Counter([(None, "clean"), (None, None), (1, "clean"), (1, "clean"), (2, "")])
+
+
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     folder = written(spark, tmp_path, documents=([], DOC), labels=([], LABEL), benchmark=([], TEST))
     assert corpus_pipeline.run(spark, folder).count() == 0
