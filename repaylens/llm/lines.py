@@ -217,8 +217,9 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     found = stored(held_before(stored(windows_of(docs, min_words))))
     found = found.withColumnsRenamed({c: f"__{c}" for c in found.columns})
+    # not broadcast, however few documents have hits: shuffles grow in proportion to the input
     joined = docs.join(
-        found, docs["doc_id"].eqNullSafe(found["__doc"]) & (text_hash(docs["text"]) == found["__th"]), "left"
+        found.hint("merge"), docs["doc_id"].eqNullSafe(found["__doc"]) & (text_hash(docs["text"]) == found["__th"]), "left"
     )
     hit = F.col("__starts").isNotNull()
     udf = F.pandas_udf(_without, "kept_text string, removed array<int>, blocks int")

@@ -105,6 +105,15 @@ def test_lines_equal_brute_force_over_all_earlier_documents(spark):
     assert want[102] == list(range(9))
 
 
+def test_lines_repeated_very_often_stay_linear(spark):
+    """With an array of the places of each equal line, two such documents made 4e8 numbers in one row."""
+    line, count = " ".join(f"r{k}" for k in range(5)), 20_000
+    rows = [(1, "\n".join(["head", *[line] * count])), (2, "\n".join([*[line] * count, "tail"]))]
+    got = {r["doc_id"]: r for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["removed"], got[2]["removed"], got[2]["blocks"]) == ([], list(range(count)), 1)
+    assert got[2]["kept_text"] == "tail"
+
+
 # BPE
 
 
