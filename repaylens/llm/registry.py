@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from repaylens.llm.bpe import op2_bpe
+from repaylens.llm.bytebpe import op12_byte_bpe
 from repaylens.llm.fingerprint import OP3_SQL, op3_exact_dedup
 from repaylens.llm.jaccard import op7_jaccard
 from repaylens.llm.leaks import op8_decontamination
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op12_byte_bpe": op12_byte_bpe,
 }
 ORACLE = {"op3_exact_dedup": OP3_SQL, "op5_warc": OP5_SQL}
