@@ -9,6 +9,7 @@ from repaylens.llm.jaccard import op7_jaccard
 from repaylens.llm.leaks import op8_decontamination
 from repaylens.llm.licenses import op10_licenses
 from repaylens.llm.lines import op1_line_dedup
+from repaylens.llm.negatives import OP11_SQL, op11_hard_negatives
 from repaylens.llm.ranked import OP13_SQL, op13_ranked_search
 from repaylens.llm.shards import op4_sharding
 from repaylens.llm.toxicity import op9_toxicity
@@ -26,7 +27,13 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_licenses": op10_licenses,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_byte_bpe": op12_byte_bpe,
     "op13_ranked_search": op13_ranked_search,
 }
-ORACLE = {"op3_exact_dedup": OP3_SQL, "op5_warc": OP5_SQL, "op13_ranked_search": OP13_SQL}
+ORACLE = {
+    "op3_exact_dedup": OP3_SQL,
+    "op5_warc": OP5_SQL,
+    "op11_hard_negatives": OP11_SQL,
+    "op13_ranked_search": OP13_SQL,
+}
