@@ -539,6 +539,47 @@ ORACLE["monthly_funnel_trend"] = query(
     )
 )
 
+_STEPS = [
+    ("invite_delivered", "link_opened"), ("link_opened", "identity_verified"),
+    ("identity_verified", "payment_option_selected"), ("payment_option_selected", "payment_made"),
+    ("invite_delivered", "payment_made"), ("invite_delivered", "repayment_plan_created"),
+]
+_FIRST = ", ".join(
+    f"(SELECT MIN(e.event_date) FROM journey_events e WHERE e.customer_id = c.customer_id"
+    f" AND e.event_name = '{event}') AS first_{event}_date"
+    for event in ["invite_delivered", "link_opened", "identity_verified", "payment_option_selected",
+                  "payment_made", "repayment_plan_created"]
+)
+_FIRST_DATES = f"first_dates AS (SELECT c.customer_id, c.account_upload_date, {_FIRST} FROM customers c)"
+ORACLE["journey_first_dates"] = query(
+    "SELECT * EXCLUDE (account_upload_date), "
+    "CAST(date_diff('day', account_upload_date, first_invite_delivered_date) AS INTEGER)"
+    " AS days_upload_to_invite_delivered, "
+    + ", ".join(
+        f"CAST(date_diff('day', first_{a}_date, first_{b}_date) AS INTEGER) AS days_{a}_to_{b}" for a, b in _STEPS
+    )
+    + " FROM first_dates",
+    _FIRST_DATES,
+)
+ORACLE["stage_intervals"] = query(
+    f"""SELECT step_order, from_event, to_event, COUNT(days) AS customers,
+      COUNT(*) FILTER (days < 0) AS out_of_order_customers,
+      {rounded("AVG(days) FILTER (days >= 0)", 2)} AS avg_days,
+      MEDIAN(CAST(days AS DOUBLE)) FILTER (days >= 0) AS median_days,
+      {pct("COUNT(*) FILTER (days = 0)", "COUNT(*) FILTER (days >= 0)")} AS same_day_share,
+      {pct("COUNT(*) FILTER (days >= 0 AND days <= 7)", "COUNT(*) FILTER (days >= 0)")} AS within_a_week_share
+    FROM steps GROUP BY ALL""",
+    _FIRST_DATES,
+    "steps AS ("
+    + " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS step_order, '{a}' AS from_event, '{b}' AS to_event,"
+        f" date_diff('day', first_{a}_date, first_{b}_date) AS days FROM first_dates"
+        for k, (a, b) in enumerate(_STEPS, 1)
+    )
+    + ")",
+)
+
+
 # ------------------------------------------------------------------ experiment
 
 ORACLE["ab_population"] = query(

@@ -7,7 +7,7 @@ and the joins that follow meet at most one row per account from each side.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame
@@ -39,27 +39,30 @@ def attach_stages(
     accounts: DataFrame,
     events: DataFrame,
     stages: Iterable[str],
+    first_dates: Mapping[str, str] | None = None,
     key: str = ACCOUNT,
 ) -> DataFrame:
-    """Add a 0/1 flag per journey event.
+    """Add a 0/1 flag per journey event, and the first date of the events in ``first_dates``.
 
     The events of an account travel as the bits of one number, so ten stages cost
-    one aggregate and one column in the shuffle. Accounts without events stay.
+    one aggregate and one column in the shuffle. ``first_dates`` maps events to column
+    names; their dates are masked minima of the same aggregate. Accounts without events stay.
     """
-    stages = list(stages)
+    stages, first_dates = list(stages), dict(first_dates or {})
     bits = " ".join(f"WHEN {quoted(stage)} THEN {1 << i}L" for i, stage in enumerate(stages))
-    reached = (
-        events.filter(F.col("event_name").isin(sorted(set(stages))))
-        .groupBy(key)
-        .agg(F.expr(f"bit_or(CASE event_name {bits} ELSE 0L END) AS reached_stages"))
-    )
-    joined = accounts.join(reached, key, "left")
-    return joined.selectExpr(
+    reached = [F.expr(f"bit_or(CASE event_name {bits} ELSE 0L END) AS reached_stages")] if stages else []
+    dates = [
+        F.expr(f"min(CASE WHEN event_name = {quoted(event)} THEN event_date END) AS {name}")
+        for event, name in first_dates.items()
+    ]
+    facts = events.filter(F.col("event_name").isin(sorted({*stages, *first_dates}))).groupBy(key).agg(*reached, *dates)
+    return accounts.join(facts, key, "left").selectExpr(
         *accounts.columns,
         *[
             f"cast(shiftright(coalesce(reached_stages, 0L), {i}) & 1 AS int) AS {flag_name(stage)}"
             for i, stage in enumerate(stages)
         ],
+        *first_dates.values(),
     )
 
 

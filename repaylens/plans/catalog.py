@@ -34,6 +34,8 @@ _JOURNEY = (
     "funnel_by_debt_age",
     "funnel_by_client_type",
     "monthly_funnel_trend",
+    "journey_first_dates",
+    "stage_intervals",
 )
 _EXPERIMENT = (
     "ab_population",

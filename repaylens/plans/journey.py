@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repaylens.functions.columns import month_of, sort_keys
+from repaylens.functions.columns import month_of, pct, rounded_ratio, sort_keys
 from repaylens.operators.accounts import (
     attach_plans,
     attach_stages,
@@ -98,3 +98,76 @@ def monthly_funnel_trend(t: Tables) -> DataFrame:
     return _funnel_by(
         t, "upload_month", accounts, stages=stages, total="uploaded_customers"
     ).orderBy(F.asc_nulls_first("upload_month"))
+
+
+#: Steps whose duration is measured, from the first date of one event to that of the next.
+STEPS = (
+    ("invite_delivered", "link_opened"),
+    ("link_opened", "identity_verified"),
+    ("identity_verified", "payment_option_selected"),
+    ("payment_option_selected", "payment_made"),
+    ("invite_delivered", "payment_made"),
+    ("invite_delivered", "repayment_plan_created"),
+)
+
+
+def _first_date(event: str) -> str:
+    return f"first_{event}_date"
+
+
+def journey_first_dates(t: Tables) -> DataFrame:
+    """One row per account: first date of each core event and the days between them.
+
+    Days are negative where the later step came first; null where either is missing.
+    """
+    accounts = attach_stages(
+        t["customers"].select("customer_id", "account_upload_date"),
+        t["journey_events"],
+        [],
+        {event: _first_date(event) for event in CORE_STAGES},
+    )
+    return accounts.select(
+        "customer_id",
+        *map(_first_date, CORE_STAGES),
+        F.date_diff(_first_date("invite_delivered"), "account_upload_date").alias("days_upload_to_invite_delivered"),
+        *[F.date_diff(_first_date(b), _first_date(a)).alias(f"days_{a}_to_{b}") for a, b in STEPS],
+    )
+
+
+def stage_intervals(t: Tables) -> DataFrame:
+    """One row per step: accounts with both events, mean and median days, shares.
+
+    Accounts are first counted by step and days, on the map side; median and shares come
+    from those few counts. Shares are of accounts that took the step in that order.
+    """
+    steps = [
+        F.struct(
+            F.lit(order).alias("step_order"),
+            F.lit(a).alias("from_event"),
+            F.lit(b).alias("to_event"),
+            F.col(f"days_{a}_to_{b}").alias("days"),
+        )
+        for order, (a, b) in enumerate(STEPS, start=1)
+    ]
+    counts = (
+        journey_first_dates(t)
+        .select(F.inline(F.array(*steps)))
+        .groupBy("step_order", "from_event", "to_event", "days")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+
+    def among(condition: str) -> str:
+        return f"coalesce(sum(CASE WHEN {condition} THEN n END), 0L)"
+
+    return (
+        counts.groupBy("step_order", "from_event", "to_event")
+        .agg(
+            F.expr(f"{among('days IS NOT NULL')} AS customers"),
+            F.expr(f"{among('days < 0')} AS out_of_order_customers"),
+            rounded_ratio("sum(CASE WHEN days >= 0 THEN days * n END)", among("days >= 0"), 2).alias("avg_days"),
+            F.expr("percentile(CASE WHEN days >= 0 THEN days END, 0.5D, n) AS median_days"),
+            pct(among("days = 0"), among("days >= 0")).alias("same_day_share"),
+            pct(among("days BETWEEN 0 AND 7"), among("days >= 0")).alias("within_a_week_share"),
+        )
+        .orderBy("step_order")
+    )

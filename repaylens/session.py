@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import SparkSession
 
@@ -25,9 +27,26 @@ def local_session(cores: int | str = 8, name: str = "repaylens", **conf: str) ->
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session may go without: it gets one folder of its own. On a cluster a
+    missing setting is an error, because executors cannot see each other's disks.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return _own_folder(context.applicationId)
+
+
+@cache
+def _own_folder(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"{application}-")
+
+
+def shared_path(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -228,6 +228,33 @@ def test_stage_first_dates(t):
     assert tuple(found["A5"])[1:] == (0, None, None)
 
 
+def test_first_dates_of_accounts_and_days_between(t):
+    found = by_key(journey.journey_first_dates(t), "customer_id")
+    assert len(found) == 7
+    assert found["A1"]["first_link_opened_date"] == date(2023, 1, 7)
+    assert found["A1"]["days_invite_delivered_to_link_opened"] == 1
+    assert found["A1"]["days_upload_to_invite_delivered"] == 1
+    assert found["A2"]["days_invite_delivered_to_repayment_plan_created"] == 3
+    assert found["A2"]["days_invite_delivered_to_payment_made"] is None
+    assert found["A5"]["first_invite_delivered_date"] is None
+
+
+def test_stage_intervals(t):
+    found = by_key(journey.stage_intervals(t), "to_event")
+    opened = next(r for r in rows(journey.stage_intervals(t)) if tuple(r)[1:3] == ("invite_delivered", "link_opened"))
+    assert tuple(opened)[3:] == (2, 0, 1.0, 1.0, 0.0, 100.0)
+    # nobody was verified: no customers, no averages
+    assert tuple(found["identity_verified"])[3:] == (0, 0, None, None, None, None)
+
+
+def test_a_step_before_its_predecessor_is_counted_apart(t, spark):
+    from small_tables import JOURNEY, event
+
+    turned = [*JOURNEY, event(20, "A3", "2023-02-20", "invite_delivered"), event(21, "A3", "2023-02-18", "link_opened")]
+    found = rows(journey.stage_intervals(small_tables(spark, journey_events=turned)))
+    assert tuple(found[0])[3:] == (3, 1, 1.0, 1.0, 0.0, 100.0)
+
+
 def test_quality_checks(t):
     assert set(rows(quality.dq_orphans(t))) == {
         ("communication_events", "customers", 1),
