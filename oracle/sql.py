@@ -901,6 +901,9 @@ ORACLE["recovery_matrix"] = on_accounts(
         f"MAX(recovery_rate) FILTER (WHERE debt_age_band = '{b}') AS \"{b}\""
         for b in ("0-30", "31-90", "91-180", "181-365", "365+")
     )
+    + """, CAST(to_json(map_from_entries(LIST({'k': COALESCE(debt_age_band, '(null)'), 'v': recovery_rate})
+        FILTER (debt_age_band IS NULL OR debt_age_band NOT IN ('0-30', '31-90', '91-180', '181-365', '365+'))))
+        AS VARCHAR) AS other_debt_ages"""
     + " FROM segments GROUP BY balance_band",
     _SEGMENTS,
 )
@@ -961,6 +964,9 @@ ORACLE["vw_customer_summary"] = on_summary(
     "SELECT * REPLACE (CAST(debt_balance AS DOUBLE) AS debt_balance, CAST(amount_collected AS DOUBLE) AS amount_collected,"
     " CAST(customer_recovery_rate AS DOUBLE) AS customer_recovery_rate) FROM summary"
 )
+# stored in buckets, or stored and refreshed: the same rows
+ORACLE["vw_customer_summary_from_buckets"] = ORACLE["vw_customer_summary"]
+ORACLE["vw_customer_summary_refreshed"] = ORACLE["vw_customer_summary"]
 
 
 def flagged(stage: str) -> str:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repaylens.functions.columns import percent, rounded_ratio
-from repaylens.operators.quantiles import exact_quantiles, require_digits
+from repaylens.operators.quantiles import exact_quantiles, group_extremes, unit_counts
+from repaylens.sources.files import stored
 
 
 def share_of_total(count: str) -> Column:
@@ -40,31 +41,37 @@ def unit_distribution(
 def histogram(df: DataFrame, column: str, bins: int = 40, digits: int = 2) -> DataFrame:
     """Rows in equal-width bins from the smallest to the largest value.
 
-    The last bin includes its upper edge and empty bins are listed. Bins are found
-    in whole units of ``10 ** -digits``, so no value falls beside its bin. If all values are
-    equal, the range is widened by half a unit to both sides.
+    The last bin includes its upper edge and empty bins are listed. If all values are
+    equal, the range is widened by half a unit to both sides; without a value the bins
+    have no edges.
+
+    One pass: ``df`` is reduced to unit counts, in whole units of ``10 ** -digits``, which
+    are stored; bins are formed on those, after the extremes are known. So ``df`` is planned
+    and read once, when this is called, and no value falls beside its bin.
     """
-    require_digits(df, {column: digits})
     scale = 10**digits
-    units = df.select((F.col(column) * scale).cast("bigint").alias("v")).filter(
-        F.col("v").isNotNull()
-    )
-    edges = units.agg(F.min("v").alias("low"), F.max("v").alias("high"))
+    counts = stored(unit_counts(df, {}, {column: digits}))
     half = F.when(F.col("low") == F.col("high"), scale // 2 or 1).otherwise(0)
-    edges = edges.select((F.col("low") - half).alias("low"), (F.col("high") + half).alias("high"))
-    low, high = edges.select("low").scalar(), edges.select("high").scalar()
-    position = F.try_divide((F.col("v") - low) * bins, high - low)
-    counts = units.groupBy(
-        F.least(F.floor(F.coalesce(position, F.lit(0.0))) + 1, F.lit(bins)).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("row_count"))
+    edges = group_extremes(counts, ["column_name"]).select(
+        "column_name", (F.col("low") - half).alias("low"), (F.col("high") + half).alias("high")
+    )
+    # edges are one row; unit counts are mergeable, so the join and the bins are one map-side pass
+    position = F.try_divide((F.col("v") - F.col("low")) * bins, F.col("high") - F.col("low"))
+    binned = (
+        counts.join(F.broadcast(edges), "column_name")
+        .groupBy(F.least(F.floor(position) + 1, F.lit(bins)).alias("bin"))
+        .agg(F.sum("n").alias("row_count"), F.first("low").alias("low"), F.first("high").alias("high"))
+    )
     spine = df.sparkSession.range(1, bins + 1, 1, 1).withColumnRenamed("id", "bin")
+    whole = Window.partitionBy()  # over the bins
+    low, high = F.max("low").over(whole), F.max("high").over(whole)
     width = (high - low).cast("double") / F.lit(float(bins))
 
     def edge(index: Column) -> Column:
         return (low.cast("double") + width * index.cast("double")) / F.lit(float(scale))
 
     return (
-        spine.join(counts, "bin", "left")
+        spine.join(binned, "bin", "left")
         .select(
             F.col("bin").cast("int").alias("bin"),
             edge(F.col("bin") - 1).alias("bin_start"),

@@ -35,11 +35,14 @@ def to_wide(
     value: str,
     prefix: str = "",
     all_labels: bool = False,
+    rest: str | None = None,
 ) -> DataFrame:
     """One column per label. Stating the labels saves Spark a pass to find them.
 
-    ``all_labels`` is for result tables whose labels may lie outside the list: they are
-    looked up and follow in alphabetical order, null as ``(null)`` at the end.
+    ``rest`` names a map column for labels outside the list, null as ``(null)``: it is null
+    in rows without any, and nothing runs while planning. ``all_labels`` instead gives such
+    labels columns of their own, in alphabetical order, null at the end; for result tables
+    only, because the labels are looked up first.
     """
     names = list(labels)
     if all_labels:
@@ -48,5 +51,26 @@ def to_wide(
         if None in found:
             df = df.withColumn(column, F.coalesce(column, F.lit("(null)")))
             names.append("(null)")
+    if rest is not None:
+        return _with_rest(df, index, column, names, value, prefix, rest)
     wide = df.groupBy(index).pivot(column, names).agg(F.first(value))
     return wide.select(index, *[F.col(f"`{label}`").alias(prefix + label) for label in names])
+
+
+def _with_rest(
+    df: DataFrame, index: str, column: str, names: list[str], value: str, prefix: str, rest: str
+) -> DataFrame:
+    """Stated labels are masked values of one aggregate; the others travel as entries.
+
+    One row per label is expected, as in a result table; of several the first by value counts.
+    """
+    label = F.coalesce(F.col(column), F.lit("(null)"))
+    known = F.col(column).isin(names)
+    cells = df.groupBy(index, column).agg(F.min(value).alias("cell"))
+    entry = F.when(known, None).otherwise(F.struct(label.alias("label"), F.col("cell").alias("cell")))
+    wide = cells.groupBy(index).agg(
+        *[F.max(F.when(F.col(column) == name, F.col("cell"))).alias(prefix + name) for name in names],
+        F.array_sort(F.collect_list(entry)).alias("entries"),  # one for each label of a row of the result
+    )
+    others = F.when(F.size("entries") > 0, F.map_from_entries("entries"))
+    return wide.select(index, *[F.col(f"`{prefix + name}`") for name in names], others.alias(rest))

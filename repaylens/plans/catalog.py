@@ -7,10 +7,15 @@ from datetime import date
 from functools import partial
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from repaylens.plans import experiment, journey, quality, recovery, reporting
-from repaylens.schemas import BAND_ORDER, KEYS, TEST_WINDOW
-from repaylens.sources.files import Tables, export_csv, read_csv, stored
+from repaylens.plans.refresh import StoredSummary
+from repaylens.results import RESULTS, known_result, read_results
+from repaylens.schemas import BAND_ORDER, DATE_COLUMNS, KEYS, TEST_WINDOW
+from repaylens.session import shared_path
+from repaylens.sources.buckets import store_in_buckets
+from repaylens.sources.files import Tables, export_csv, stored
 
 Analysis = Callable[[Tables], DataFrame]
 
@@ -108,12 +113,20 @@ def analyses(window: tuple[date, date] = TEST_WINDOW) -> dict[str, Analysis]:
     out.update({name: getattr(recovery, name) for name in _RECOVERY})
 
     out["vw_customer_summary"] = partial(reporting.vw_customer_summary, window=window)
+    out["vw_customer_summary_from_buckets"] = partial(_summary_from_buckets, window)
+    out["vw_customer_summary_refreshed"] = partial(_summary_refreshed, window)
     for name, columns in _SUMMARY_VIEWS.items():
         out[name] = partial(_on_summary, getattr(reporting, name), window, columns)
     out["vw_client_portfolio_summary"] = partial(_per_client, window)
     out["vw_plan_performance"] = reporting.vw_plan_performance
     out["view_row_counts"] = partial(reporting.view_row_counts, window=window)
-    return out
+    return {name: partial(_known_or, name, analysis) if name in RESULTS else analysis for name, analysis in out.items()}
+
+
+def _known_or(name: str, analysis: Analysis, t: Tables) -> DataFrame:
+    """A result that ``t`` holds already is not computed again."""
+    known = known_result(t, name)
+    return analysis(t) if known is None else known
 
 
 # Results handed over as files, with the sort order of those that have a row per account.
@@ -189,12 +202,9 @@ def read_account_tables(t: Tables, folder: str) -> Tables:
 
     The experiment and recovery analyses then start from the exported accounts.
     """
-    run, out = analyses(), dict(t)
-    for name in ACCOUNT_TABLES:
-        # only the names and types of the columns are taken from the plan; nothing of it runs
-        table = run[name](t)
-        out[name] = read_csv(table.sparkSession, f"{folder.rstrip('/')}/{name}", table.schema)
-    return out
+    customers = t["customers"]
+    ids = customers.schema["customer_id"].dataType.simpleString()
+    return {**t, **read_results(customers.sparkSession, folder, ACCOUNT_TABLES, ids)}
 
 
 def _on_summary(
@@ -206,6 +216,24 @@ def _on_summary(
     return view(reporting.vw_customer_summary(t, window, False, client_columns))
 
 
+def _summary_from_buckets(window: tuple[date, date], t: Tables) -> DataFrame:
+    """The account summary over source tables stored in buckets by account."""
+    buckets = int(t["customers"].sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return reporting.vw_customer_summary(store_in_buckets(t, buckets)[1], window)
+
+
+def _summary_refreshed(window: tuple[date, date], t: Tables) -> DataFrame:
+    """The account summary, stored without the facts of the last 30 days and then refreshed by them."""
+    spark = t["customers"].sparkSession
+    last = F.date_sub(t["payments"].agg(F.max("payment_date").alias("last")).scalar(), 30)
+    recent = {name: F.col(DATE_COLUMNS[name]) > last for name in ("payments", "communication_events", "journey_events")}
+    before = {name: df.filter(~recent[name] | recent[name].isNull()) if name in recent else df for name, df in t.items()}
+    summary = StoredSummary(spark, shared_path(spark), parts=16, window=window)
+    summary.build(before)
+    summary.refresh(t, {name: t[name].filter(condition) for name, condition in recent.items()})
+    return summary.read()
+
+
 def _per_client(window: tuple[date, date], t: Tables) -> DataFrame:
     summary = reporting.vw_customer_summary(t, window, attempts=False, client_columns=())
     return reporting.vw_client_portfolio_summary(summary, t["clients"])

@@ -14,6 +14,7 @@ from repaylens.operators.accounts import (
     with_client,
 )
 from repaylens.operators.funnel import drop_off, percent_of_first, segment_funnel, stage_counts
+from repaylens.results import known_result
 from repaylens.schemas import AFFORDABILITY_STAGES, JOURNEY_STAGES
 from repaylens.sources.files import Tables
 
@@ -39,7 +40,9 @@ def overall_funnel(t: Tables) -> DataFrame:
 
 
 def stage_drop_off(t: Tables) -> DataFrame:
-    return drop_off(_overall_stages(t))
+    known = known_result(t, "overall_funnel")
+    stages = _overall_stages(t) if known is None else known.select("stage_order", "funnel_stage", "customers")
+    return drop_off(stages)
 
 
 def affordability_funnel(t: Tables) -> DataFrame:

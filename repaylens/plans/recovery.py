@@ -26,6 +26,7 @@ from repaylens.operators.accounts import (
 from repaylens.operators.distribution import describe, histogram
 from repaylens.operators.reshape import metric_rows, to_wide
 from repaylens.operators.rollup import rollup
+from repaylens.results import known_result
 from repaylens.schemas import BAND_ORDER, FAILED, REVERSED, SUCCESSFUL
 from repaylens.sources.files import Tables
 
@@ -235,7 +236,9 @@ SEGMENT = ("balance_band", "debt_age_band")
 
 def recovery_priority_segments(t: Tables, ordered: bool = True) -> DataFrame:
     """Balance band by debt age, weakest recovery first."""
-    segments = segment_recovery(account_outcomes(t), SEGMENT, _SEGMENT_METRICS)
+    segments = known_result(t, "recovery_priority_segments")
+    if segments is None:
+        segments = segment_recovery(account_outcomes(t), SEGMENT, _SEGMENT_METRICS)
     if not ordered:
         return segments
     return segments.orderBy(F.asc_nulls_first("recovery_rate"), *sort_keys(SEGMENT))
@@ -321,11 +324,24 @@ def weakest_segments(t: Tables) -> DataFrame:
 
 
 def recovery_matrix(t: Tables) -> DataFrame:
-    """Recovery rate with balance bands down and debt ages across."""
-    return matrix(recovery_priority_segments(t, ordered=False))
+    """Recovery rate with balance bands down and debt ages across.
+
+    Rates of debt ages outside the list stand in ``other_debt_ages``, as JSON by label; it is
+    null in a row without any. Nothing runs before the result is used.
+    """
+    wide = to_wide(
+        recovery_priority_segments(t, ordered=False),
+        "balance_band",
+        "debt_age_band",
+        BAND_ORDER["debt_age_band"],
+        "recovery_rate",
+        rest="other_debt_ages",
+    )
+    return wide.withColumn("other_debt_ages", F.to_json("other_debt_ages")).orderBy(*sort_keys(["balance_band"]))
 
 
 def matrix(segments: DataFrame) -> DataFrame:
+    """The same of segments at hand, with a column for each debt age they hold."""
     return to_wide(
         segments, "balance_band", "debt_age_band", BAND_ORDER["debt_age_band"], "recovery_rate", all_labels=True
     ).orderBy(*sort_keys(["balance_band"]))

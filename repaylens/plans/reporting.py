@@ -329,11 +329,23 @@ def dashboard_kpis(summary: DataFrame) -> DataFrame:
     )
 
 
+#: Grouped views by their keys: a grouped view has one row per combination.
+_GROUPED_VIEWS = {
+    "vw_funnel_summary": FUNNEL_KEYS,
+    "vw_channel_performance": ("primary_channel",),
+    "vw_ab_test_summary": AB_KEYS,
+    "vw_recovery_summary": RECOVERY_KEYS,
+    "vw_client_portfolio_summary": CLIENT_KEYS,
+}
+
+
 def view_row_counts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
-    """Rows per view without building them: a grouped view has one row per key.
+    """Rows per view without building them.
 
-    The accounts are reduced once to the distinct combinations of all keys; the
-    five grouped views are counted on those. Clients are looked up for combinations.
+    The accounts are reduced once to the distinct combinations of all keys; clients are
+    looked up for combinations. Each combination then gives one hash of 128 bits per view,
+    over that view's keys. Equal hashes of a view are first reduced to one, on the map side
+    and spread by hash, and then counted.
     """
     wanted = dict.fromkeys([*FUNNEL_KEYS, *AB_KEYS, *RECOVERY_KEYS, "client_id"])
     keys = [k for k in wanted if k not in CLIENT_COLUMNS]
@@ -343,31 +355,41 @@ def view_row_counts(t: Tables, window: Window = TEST_WINDOW) -> DataFrame:
     )
     tested = F.col("ab_test_group").isin(CONTROL, VARIANT)
 
-    def groups(columns: tuple[str, ...], where: Column | None = None) -> Column:
-        key = F.struct(*columns)
-        return F.count_distinct(key if where is None else F.when(where, key))
-
-    counted = {
-        "vw_customer_summary": F.coalesce(F.sum("accounts"), F.lit(0)),
-        "vw_funnel_summary": groups(FUNNEL_KEYS),
-        "vw_channel_performance": groups(("primary_channel",)),
-        "vw_ab_test_summary": groups(AB_KEYS, tested),
-        "vw_recovery_summary": groups(RECOVERY_KEYS),
-        "vw_client_portfolio_summary": groups(CLIENT_KEYS),
-    }
-    grouped = combinations.agg(*[c.alias(name) for name, c in counted.items()])
+    def entry(view: str, key: Column, rows: Column) -> Column:
+        return F.struct(F.lit(view).alias("view_name"), key.alias("key"), rows.alias("rows"))
+
+    # null keys are left out of the text, so a combination with a null is one of its own
+    hashes = {view: F.md5(F.to_json(F.struct(*columns))) for view, columns in _GROUPED_VIEWS.items()}
+    hashes["vw_ab_test_summary"] = F.when(tested, hashes["vw_ab_test_summary"])
+    entries = [entry("vw_customer_summary", F.lit(""), F.col("accounts"))]
+    entries += [entry(view, key, F.lit(0).cast("bigint")) for view, key in hashes.items()]
+    counts = (
+        combinations.select(F.inline(F.array(*entries)))
+        .filter("key IS NOT NULL")
+        .groupBy("view_name", "key")
+        .agg(F.sum("rows").alias("rows"))
+        .groupBy("view_name")
+        .agg(F.when(F.col("view_name") == "vw_customer_summary", F.sum("rows")).otherwise(F.count(F.lit(1))).alias("n"))
+    )
+    names = ["vw_customer_summary", *_GROUPED_VIEWS]
+    spine = accounts.sparkSession.range(0, len(names), 1, 1).select(
+        F.element_at(F.array(*map(F.lit, names)), F.col("id").cast("int") + 1).alias("view_name")
+    )
+    grouped = spine.join(counts, "view_name", "left").select("view_name", F.coalesce("n", F.lit(0)).alias("row_count"))
     plans = row_counts({"vw_plan_performance": vw_plan_performance(t)}, "view_name")
-    return stacked([grouped.unpivot([], list(counted), "view_name", "row_count"), plans])
+    return stacked([grouped, plans])
 
 
 def build_views(
-    t: Tables, window: Window = TEST_WINDOW, store_summary: bool = False
+    t: Tables, window: Window = TEST_WINDOW, store_summary: bool = False, summary: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """All views by name. ``store_summary`` keeps the account summary as Parquet in the
-    shared folder, which pays off when several views are read."""
-    summary = vw_customer_summary(t, window)
-    if store_summary:
-        summary = stored(summary)
+    shared folder, which pays off when several views are read. ``summary`` is one at hand,
+    such as ``StoredSummary.read()``, which follows new facts."""
+    if summary is None:
+        summary = vw_customer_summary(t, window)
+        if store_summary:
+            summary = stored(summary)
     return {
         "vw_ab_test_customer_outcomes": ab_customer_outcomes(t, window),
         "vw_customer_summary": summary,
@@ -381,9 +403,9 @@ def build_views(
 
 
 def register_reporting(
-    t: Tables, window: Window = TEST_WINDOW, store_summary: bool = False
+    t: Tables, window: Window = TEST_WINDOW, store_summary: bool = False, summary: DataFrame | None = None
 ) -> dict[str, DataFrame]:
     """Register the source tables and all views for Spark SQL."""
-    views = build_views(t, window, store_summary)
+    views = build_views(t, window, store_summary, summary)
     register_views({**t, **views})
     return views

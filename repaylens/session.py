@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -36,10 +37,9 @@ def shared_folder(spark: SparkSession) -> str:
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+    if re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or "") is None:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _own_folder(context.applicationId)
+    return _own_folder(spark.conf.get("spark.app.id", None) or "session")
 
 
 @cache
@@ -50,3 +50,10 @@ def _own_folder(application: str) -> str:
 def shared_path(spark: SparkSession) -> str:
     """A new path in the shared folder."""
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder in whatever store its path names; none is no error."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -95,6 +95,11 @@ def stored(df: DataFrame) -> DataFrame:
     The copy lives outside the executors, so losing one does not recompute it, and each
     query reads the columns it uses only.
     """
+    return stored_at(df)[0]
+
+
+def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
+    """``stored``, and the path of the copy for those who remove it."""
     path = shared_path(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path

@@ -5,7 +5,8 @@ from decimal import Decimal
 
 import pytest
 
-from repaylens.functions.columns import mapped, month_of, rank_of, to_dates
+from repaylens.functions.columns import mapped, money_as_double, month_of, rank_of, to_dates
+from repaylens.plans.catalog import ACCOUNT_TABLES, EXPORTS, analyses, export_results
 from repaylens.schemas import BAND_ORDER, SCHEMAS
 from repaylens.session import shared_path
 from repaylens.sources import files
@@ -130,6 +131,63 @@ def test_analyses_start_from_exported_accounts(spark, t, tmp_path):
         assert run[name](own).collect() == run[name](t).collect(), name
 
 
+def test_every_result_reads_back_equal(spark, t, tmp_path):
+    from repaylens.results import RESULTS, read_results
+
+    assert set(RESULTS) == set(EXPORTS)
+    export_results(t, str(tmp_path))
+    held = read_results(spark, str(tmp_path))
+    run = analyses()
+    for name in EXPORTS:
+        ours, read = money_as_double(run[name](t)), money_as_double(held[name])
+        assert ours.dtypes == read.dtypes, name
+        order = EXPORTS[name] or ours.columns
+        assert ours.orderBy(*order).collect() == read.orderBy(*order).collect(), name
+
+
+def test_analyses_start_from_results_alone(spark, t, tmp_path):
+    from repaylens.results import read_results
+
+    reports = [name for name in EXPORTS if name not in ACCOUNT_TABLES]
+    export_results(t, str(tmp_path), names=reports)
+    held = read_results(spark, str(tmp_path), reports)  # neither raw nor account tables
+    run = analyses()
+    for name in [
+        *reports, "ab_core_rates_long", "ab_lift_long", "ab_rate_pivot_payment_rate", "ab_rate_pivot_plan_setup_rate",
+        "weakest_segments", "recovery_matrix",
+    ]:
+        ours, theirs = (money_as_double(run[name](x)) for x in (t, held))
+        assert sorted(map(str, ours.collect())) == sorted(map(str, theirs.collect())), name
+
+
+def test_a_result_of_other_types_fails(spark, tmp_path):
+    from repaylens.results import read_results
+
+    spark.createDataFrame([("m", "much")], "metric string, value string").write.option("header", True).csv(
+        f"{tmp_path}/recovery_baseline_long"
+    )
+    with pytest.raises(Exception, match="much"):
+        read_results(spark, str(tmp_path), ["recovery_baseline_long"])["recovery_baseline_long"].collect()
+
+
+def test_local_sessions_have_a_folder_of_their_own():
+    from repaylens import session
+
+    def unset(**known):
+        class Session:
+            class conf:
+                get = staticmethod(lambda key, default=None: known.get(key.removeprefix("spark."), default))
+
+        return Session
+
+    local = unset(**{"master": "local[4]", "app.id": "a1"})
+    first, second = session.shared_path(local), session.shared_path(local)
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    for master in ("spark://host:7077", "local-cluster[2,1,512]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            session.shared_path(unset(master=master))
+
+
 def test_column_helpers(spark):
     df = spark.createDataFrame([("2023-02-17", "High"), ("2023-02-01", None), ("2023-03-09", "Odd")], "d string, b string")
     out = to_dates(df, ["d"]).select(

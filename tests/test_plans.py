@@ -8,6 +8,7 @@ import __spark_entry__ as contract
 from repaylens.plans import experiment, journey, recovery, reporting
 from repaylens.plans.catalog import analyses
 from repaylens.sources.commerce import TEST_WINDOW, load_tables
+from repaylens.sources.buckets import drop_buckets, store_in_buckets
 from repaylens.sources.files import export_parquet, read_parquet_tables
 from small_tables import small_tables
 
@@ -34,8 +35,7 @@ def test_no_python_rows_no_all_pairs_no_copies_per_distinct_count(spark, name):
     text = plan(QUERIES[name](spark, FOLDER))
     for banned in ("PythonUDF", "EvalPython", "InPandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert banned not in text
-    if name != "view_row_counts":  # counts groups on distinct combinations of keys
-        assert not re.search(r"Expand .*gid", text)
+    assert not re.search(r"Expand .*gid", text)
 
 
 def test_columns_and_filters_reach_the_scan(large_inputs):
@@ -126,3 +126,42 @@ def test_only_successful_payments_are_read_for_recovery(spark, large_inputs, tmp
     text = plan(recovery.recovery_by_balance_band(large_inputs))
     line = next(x for x in text.splitlines() if "Filter" in x and "l_returnflag" in x)
     assert text.index("Exchange hashpartitioning(l_orderkey") < text.index(line)
+
+
+def test_star_join_over_buckets_has_no_exchange_by_account(spark, large_inputs):
+    database, t = store_in_buckets(large_inputs, 8)
+    try:
+        text = plan(reporting.vw_customer_summary(t))
+        assert "hashpartitioning(customer_id" not in text and text.count("SelectedBucketsCount: 8 out of 8") == 5
+        totals = plan(reporting.vw_channel_performance(reporting.vw_customer_summary(t, client_columns=())))
+        assert re.findall(r"Exchange hashpartitioning\((\w+)#", totals) == ["primary_channel"]
+    finally:
+        drop_buckets(spark, database)
+    assert not spark.catalog.databaseExists(database)
+
+
+def jobs_while(spark, build) -> int:
+    group = f"count-{id(build)}"
+    spark.sparkContext.setJobGroup(group, "")
+    build()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("rest", "")
+    return jobs
+
+
+def test_matrix_starts_no_job_before_it_is_used(spark, large_inputs):
+    assert jobs_while(spark, lambda: recovery.recovery_matrix(large_inputs)) == 0
+
+
+@pytest.mark.parametrize("name", ["recovery_describe", "ab_amount_summary", "collected_histogram", "balance_histogram"])
+def test_base_is_read_once_and_then_only_what_was_stored(spark, large_inputs, name):
+    # nothing of the source tables is left in the plan; they ran once, for the stored copy
+    text = plan(analyses(TEST_WINDOW)[name](large_inputs))
+    scans = re.findall(r"Location: \w+ ?(?:\(\d+ paths\))?\[([^\]]*)\]", text)
+    assert scans and not any("/testdata/" in place for place in scans)
+    assert "Subquery" not in text
+
+
+def test_view_row_counts_count_hashes(large_inputs):
+    text = plan(reporting.view_row_counts(large_inputs))
+    assert "Expand" not in text and "count(distinct" not in text

@@ -354,6 +354,21 @@ def test_matrix_keeps_labels_outside_the_list(spark):
     assert (low["0-30"], low["Unknown"], low["(null)"]) == (1.0, 2.0, 3.0)
 
 
+def test_recovery_matrix_maps_labels_outside_the_list(t, spark):
+    odd = [(*row[:7], {"A1": "366+", "A3": None}.get(row[0], row[7]), *row[8:]) for row in CUSTOMERS]
+    found = by_key(recovery.recovery_matrix(small_tables(spark, customers=odd)), "balance_band")
+    assert found["Low"]["other_debt_ages"] == '{"366+":50.0}' and found["Low"]["91-180"] == 0.0
+    assert found["High"]["other_debt_ages"] == '{"(null)":0.0}'
+    assert found["Medium"]["other_debt_ages"] is None
+    assert {r["other_debt_ages"] for r in recovery.recovery_matrix(t).collect()} == {None}
+
+
+def test_views_of_nothing_have_no_rows(spark):
+    none = small_tables(spark, customers=[], communication_events=[], journey_events=[], payments=[], repayment_plans=[])
+    assert {r[1] for r in rows(reporting.view_row_counts(none))} == {0}
+    assert len(rows(reporting.view_row_counts(none))) == 7
+
+
 def test_histogram_of_a_constant_column(spark):
     df = spark.sql("SELECT CAST(5 AS DECIMAL(10, 2)) AS x FROM range(3)")
     rows = histogram(df, "x", bins=4).collect()

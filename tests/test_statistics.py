@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from repaylens.operators.distribution import describe, histogram, row_distribution, unit_distribution
-from repaylens.operators.quantiles import exact_quantiles
+from repaylens.operators.quantiles import exact_quantiles, group_extremes, select_ranks, unit_counts
 
 
 def amounts(values, digits=2):
@@ -81,3 +81,29 @@ def test_distributions(spark):
         ("a", 1, 50.0),
         ("b", 1, 50.0),
     }
+
+
+@pytest.mark.parametrize("width", [60_000, 5_000_000_000])
+def test_radix_selection_leaves_few_values(spark, width):
+    rng = random.Random(3)
+    values = [10**9 + rng.randrange(width) for _ in range(20_000)]  # narrow or wide, far from zero
+    df = spark.createDataFrame(amounts(values), "x decimal(18,2)")
+    counts = unit_counts(df, {}, {"x": 2}).cache()
+    groups = group_extremes(counts, ["column_name"])
+    _, left = select_ranks(counts, groups, ["column_name"], [0.25, 0.5, 0.75])
+    assert left.agg({"n": "sum"}).first()[0] < len(values) / 100
+
+
+def test_quantiles_of_a_long_tail(spark):
+    values = [*range(1, 2001), 10**15, -(10**15)]
+    df = spark.createDataFrame(amounts(values), "x decimal(18,2)")
+    got = {r["quantile"]: r["value"] for r in exact_quantiles(df, {}, {"x": 2}, [0.01, 0.5, 1.0]).collect()}
+    for q, value in got.items():
+        assert value == pytest.approx(np.quantile(np.array(values), q) / 100)
+
+
+def test_unit_counts_of_parts_add_up(spark, mixed):
+    df = spark.createDataFrame(amounts(mixed), "x decimal(18,2)")
+    whole = unit_counts(df, {}, {"x": 2})
+    parts = unit_counts(df.filter("x < 100"), {}, {"x": 2}).unionByName(unit_counts(df.filter("x >= 100"), {}, {"x": 2}))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
