@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 from pyspark.sql import SparkSession
@@ -52,6 +54,25 @@ def shared_path(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+@contextmanager
+def spent_shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Queries inside remove their shuffle files when they end.
+
+    For queries whose result is stored: nothing reads their shuffles again, and without
+    this the files stay until the driver happens to collect its garbage.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a file or folder in whatever store its path names; none is no error."""
     jvm = spark.sparkContext._jvm

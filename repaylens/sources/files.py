@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from repaylens.functions.columns import money_as_double
 from repaylens.schemas import SCHEMAS
-from repaylens.session import shared_path
+from repaylens.session import shared_path, spent_shuffles_removed
 
 Tables = Mapping[str, DataFrame]
 
@@ -100,6 +100,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 def stored_at(df: DataFrame) -> tuple[DataFrame, str]:
     """``stored``, and the path of the copy for those who remove it."""
-    path = shared_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
+    spark = df.sparkSession
+    path = shared_path(spark)
+    with spent_shuffles_removed(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
