@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repaylens.session import remove_path, shared_path
+from repaylens.sources.files import stored_at
+
 #: Members of a group that meet in one task when a group is salted.
 SALT_ROWS = 256
 
@@ -17,29 +17,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster names in ``spark.checkpoint.dir``.
-
-    Only a local session may go without: it gets a folder of its own. On a cluster a
-    missing setting is an error, because executors cannot see each other's disks.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
-    Cuts the lineage: what reads it survives lost executors without recomputation.
+    Cuts the lineage: what reads it survives lost executors without recomputation. The
+    shuffles behind it are removed; ``release`` removes the table itself.
     """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out, path = stored_at(df)
+    out.stored_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove what ``stored`` wrote, once nothing reads it any more; other frames are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("stored_path", None)
+        if path is not None:
+            remove_path(df.sparkSession, path)
 
 
 def salts(rows: Column, per_salt: int = SALT_ROWS) -> Column:
@@ -57,7 +51,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id of ``links(a, b)``: the smallest id that links reach.
 
     Alternates two rounds until nothing changes: every node links its larger neighbours
-    to the smallest node it knows, then its smaller ones. Rounds grow with the logarithm
+    to the smallest node it knows, then its smaller ones. The result is stored. Rounds grow with the logarithm
     of the longest chain. Aggregates combine on the map side; the smallest neighbours are
     stored before the join, so that Spark may split a node with very many links. Only a
     count and a sum a round reach the driver.
@@ -74,18 +68,24 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = stored(
             both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
+        release(edges, least)
         least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stored(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
+        release(large, least)
         after = _print_of(edges)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
-        edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    out = stored(
+        edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
+            edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+        )
     )
+    release(edges)
+    return out
 
 
 def _print_of(edges: DataFrame) -> tuple:

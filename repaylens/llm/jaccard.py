@@ -36,12 +36,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repaylens.llm.bitmaps import broadcast_bitmap, contains, opened
-from repaylens.llm.common import components, salt, salts, stored, table
+from repaylens.llm.common import components, release, salt, salts, stored, table
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -243,17 +244,29 @@ def _checked(rule: Rule):
     """Pairs of texts that link."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes, last, tokens = WordHashes(), None, np.zeros(0, np.uint64)
         for batch in batches:
-            same = [
-                rule.links(tokens_of(words_of(x), rule.words, hashes), tokens_of(words_of(y), rule.words, hashes))
-                for x, y in zip(batch["a_text"], batch["b_text"])
-            ]
+            same = []
+            for b, x, y in zip(batch["b"], batch["a_text"], batch["b_text"]):
+                if b != last:  # rows come by b, mostly
+                    last, tokens = b, tokens_of(words_of(y), rule.words, hashes)
+                same.append(rule.links(tokens_of(words_of(x), rule.words, hashes), tokens))
             yield batch.loc[np.array(same, bool), ["a", "b"]]
 
     return run
 
 
+def _of_nodes(shared):
+    """Rows whose node may be wanted."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = opened(shared)
+        for batch in batches:
+            yield batch.filter(pa.array(contains(bitmap, batch["node"].to_numpy().view(np.uint64))))
+
+    return run
+
+
 def _wanted_texts(rule: Rule, shared):
     """Key and text of documents whose key may be wanted."""
 
@@ -296,8 +309,14 @@ class Join:
         classes = self.signed.groupBy("k1", "k2").agg(
             F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("bits").alias("bits")
         )
-        self.nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
-        self.texts: DataFrame | None = None
+        nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
+        self.ids = stored(self.signed.select("id", "k1", "k2", F.col("n").cast("long").alias("n_shingles")))
+        release(self.signed)
+        self.nodes = nodes
+        #: Texts by node, a part for each check that needed further ones.
+        self.texts: list[DataFrame] = []
+        #: Component of every node that links with another, as far as links are known.
+        self.labels: DataFrame | None = None
 
     def members(self) -> DataFrame:
         """``(signature, node, n)`` of signatures that several nodes have."""
@@ -312,22 +331,58 @@ class Join:
             self.nodes.select("node", "n", "signatures").mapInPandas(_members(shared), "signature long, node long, n long")
         )
 
-    def fetch(self, members: DataFrame) -> DataFrame:
-        """``(node, text)`` of nodes that have a signature in common with another."""
-        wanted = stored(
-            members.select("node").distinct().join(self.nodes.select("node", "k1", "k2"), "node")
-        )
+    def fetch(self, nodes: DataFrame) -> None:
+        """Store the texts of those ``nodes(node)`` whose texts are not at hand."""
+        for part in self.texts:
+            nodes = nodes.join(part.select("node"), "node", "left_anti")
+        wanted = stored(nodes.join(self.nodes.select("node", "k1", "k2"), "node"))
+        if wanted.isEmpty():
+            release(wanted)
+            return
         shared = broadcast_bitmap(wanted.select("k1"))
         found = self.rows.select("text").mapInPandas(_wanted_texts(self.rule, shared), "k1 long, k2 long, text string")
-        return stored(
-            found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]).select("node", "text")
+        self.texts.append(
+            stored(found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]).select("node", "text"))
         )
+        release(wanted)
 
     def check(self, pairs: DataFrame) -> DataFrame:
-        """Those of ``pairs(a, b)`` that link. Pairs are stored, so Spark may split a node of many."""
-        a = self.texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
-        b = self.texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        return stored(pairs.join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long"))
+        """Those of ``pairs(a, b)`` that link. Pairs are stored, so Spark may split a node of many.
+
+        Only texts of the pairs' nodes are shuffled.
+        """
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        self.fetch(nodes)
+        shared = broadcast_bitmap(nodes)
+        release(nodes)
+        texts = pairs.sparkSession.createDataFrame([], "node long, text string")
+        for part in self.texts:
+            texts = texts.unionByName(part.mapInArrow(_of_nodes(shared), "node long, text string"))
+        a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
+        b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
+        return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long"))
+
+    def learn(self, links: DataFrame) -> None:
+        """Bring the labels up to date with new ``links``, which are stored and then removed.
+
+        Components are formed of labels, so the work follows the new links.
+        """
+        known = self.labels
+        ends = links
+        if known is not None:
+            for side in ("a", "b"):
+                own = known.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+                ends = ends.join(own, side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
+            ends = ends.select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
+        merged = components(ends)
+        if known is None:
+            self.labels = stored(merged.withColumnRenamed("id", "node"))
+            release(merged, links)
+            return
+        renamed = known.join(merged.select(F.col("id").alias("component"), F.col("component").alias("now")), "component", "left")
+        new = merged.join(known.select(F.col("node").alias("id")), "id", "left_anti").select(F.col("id").alias("node"), "component")
+        self.labels = stored(renamed.select("node", F.coalesce("now", "component").alias("component")).unionByName(new))
+        release(known, merged, links)
 
     def fits(self, small: str, large: str):
         return F.expr(f"100 * least({small}, {large}) >= {self.rule.percent} * greatest({small}, {large})")
@@ -344,8 +399,8 @@ class Join:
         found = pairs.join(a, "a").join(b, "b").where(self.near_enough())
         return found.select(pairs.columns)
 
-    def links(self) -> DataFrame:
-        """``(a, b)``: links that connect the same nodes as all links do."""
+    def join(self) -> None:
+        """Find links that connect the same nodes as all links do."""
         members = self.members()
         centre = stored(
             members.groupBy("signature")
@@ -353,40 +408,44 @@ class Join:
             .where("centre < other")
             .drop("other")
         )
-        self.texts = self.fetch(members.join(centre.select("signature"), "signature", "left_semi"))
-        near = (
+        near = stored(
             members.join(centre, "signature")
             .where("node <> centre")
             .where(self.fits("n", "centre_n"))
             .groupBy(F.col("node").alias("a"), F.col("centre").alias("b"))
             .agg(F.count("*").alias("times"))
         )
-        best = (
-            self.plausible(stored(near))
+        best = stored(
+            self.plausible(near)
             .groupBy("a")
             .agg(F.max(F.struct("times", (-F.col("b")).alias("c"))).alias("best"))
             .select("a", (-F.col("best.c")).alias("b"))
         )
-        links = self.check(stored(best))
+        release(near)
+        self.learn(self.check(best))
         shared = stored(members.join(centre.select("signature", "size"), "signature"))
+        release(members, centre, best)
         most = None
         while True:
-            rest = self.apart(shared, links)
+            rest = self.apart(shared)
+            release(shared)
             left = rest.count()
-            if left == 0:
-                return links
-            if most is not None and left > most:
-                return self.across(rest, links)
+            if left and most is not None and left > most:
+                self.across(rest)
+            if left == 0 or most is not None and left > most:
+                release(rest, *self.texts)
+                return
             most = left // 2
-            more = self.check(stored(self.plausible(stored(self.between(rest)))))
-            links = stored(links.unionByName(more))
-            shared = rest.drop("component")
+            near = stored(self.between(rest))
+            pairs = stored(self.plausible(near))
+            self.learn(self.check(pairs))
+            release(near, pairs)
+            shared = rest
 
-    def apart(self, shared: DataFrame, links: DataFrame) -> DataFrame:
+    def apart(self, shared: DataFrame) -> DataFrame:
         """Rows of ``shared`` whose signature has nodes of several components, with the component."""
-        known = stored(components(links)).withColumnRenamed("id", "node")
         own = stored(
-            shared.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            shared.drop("component").join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         )
         several = stored(
             own.groupBy("signature")
@@ -394,7 +453,9 @@ class Join:
             .where("low < high")
             .select("signature")
         )
-        return stored(own.join(several, "signature"))
+        out = stored(own.join(several, "signature"))
+        release(own, several)
+        return out
 
     def between(self, rest: DataFrame) -> DataFrame:
         """One pair for each component of a signature: its smallest node and that of the first component."""
@@ -414,22 +475,26 @@ class Join:
             .distinct()
         )
 
-    def across(self, rest: DataFrame, links: DataFrame) -> DataFrame:
-        """``links`` with those between nodes of different components that share a signature."""
+    def across(self, rest: DataFrame) -> None:
+        """Check the pairs of nodes of different components that share a signature, the best first."""
         pairs = stored(self.open_pairs(rest))
         for _ in range(BEST_FIRST):
-            best = pairs.groupBy("a").agg(F.min_by("b", F.struct("differing", "b")).alias("b"))
-            links = stored(links.unionByName(self.check(stored(best))))
-            known = stored(components(links))
+            best = stored(pairs.groupBy("a").agg(F.min_by("b", F.struct("differing", "b")).alias("b")))
+            self.learn(self.check(best))
+            open_ = pairs
             for side in ("a", "b"):
-                own = known.select(F.col("id").alias(side), F.col("component").alias(f"{side}_c"))
-                pairs = pairs.join(own, side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
-            pairs = stored(
-                pairs.where("a_c <> b_c").join(best, ["a", "b"], "left_anti").select("a", "b", "differing")
+                own = self.labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_c"))
+                open_ = open_.join(own, side, "left").withColumn(f"{side}_c", F.coalesce(f"{side}_c", side))
+            open_ = stored(
+                open_.where("a_c <> b_c").join(best, ["a", "b"], "left_anti").select("a", "b", "differing")
             )
+            release(pairs, best)
+            pairs = open_
             if pairs.isEmpty():
-                return links
-        return links.unionByName(self.check(pairs.select("a", "b")))
+                release(pairs)
+                return
+        self.learn(self.check(pairs))
+        release(pairs)
 
     def open_pairs(self, rest: DataFrame) -> DataFrame:
         """``(a, b, differing)``: pairs of different components that sizes and sketches do not rule out.
@@ -458,16 +523,15 @@ class Join:
 
     def result(self) -> DataFrame:
         """``(id, n_shingles, component)`` of every row."""
-        found = stored(components(self.links()))
+        self.join()
         first = self.nodes.select("node", "k1", "k2", "first_id")
-        placed = first.join(found.withColumnRenamed("id", "node"), "node", "left").withColumn(
-            "component", F.coalesce("component", "node")
-        )
-        least = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-        named = stored(placed.join(stored(least), "component").select("k1", "k2", "component_id"))
+        placed = stored(first.join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        release(self.nodes, self.labels)
+        least = stored(placed.groupBy("component").agg(F.min("first_id").alias("component_id")))
+        named = stored(placed.join(least, "component").select("k1", "k2", "component_id"))
+        release(placed, least)
         return (
-            self.signed.select("id", "k1", "k2", F.col("n").cast("long").alias("n_shingles"))
-            .join(named, ["k1", "k2"])
+            self.ids.join(named, ["k1", "k2"])
             # texts without shingles are one node, but link with nothing
             .select("id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
         )
