@@ -40,7 +40,7 @@ from repaylens.llm.toxicity import SEPARATORS
 RATE = 0.05
 #: Characters of items in one block, more or less.
 BLOCK_CHARS = 2_000_000
-LEAST_CHARS = 3
+LEAST_CHARS = 1
 #: Words of an item from which one may be replaced.
 LONG_WORDS = 10
 

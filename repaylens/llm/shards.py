@@ -6,7 +6,8 @@ share is its weight's. Draws of one child do not depend on its siblings: if a we
 grows, rows move only into that child's subtree; if it falls, only out of it.
 
 New shards come as regions of their own, so no weight inside an older subtree changes
-and rows move only into the new shard: the law is ``key``.
+and rows move only into the new shard: the law is ``key``. For that a tree remembers how
+many shards it was built with; those that came later are its grown regions.
 
 Built-in functions only. Defined results: null text has no bytes; a null key is a key
 of its own; rows that repeat a key share its shard and have slots of their own; other
@@ -38,7 +39,10 @@ class Node:
 
 
 def topology(shards: int, built: int = 24, racks: int = 3, per_rack: int = 4) -> Node:
-    """A tree of ``shards`` leaves: the first ``built`` in full regions, each later one a region of its own."""
+    """A tree of ``shards`` leaves: the first ``built`` in full regions, each later one a region of its own.
+
+    Trees of one ``built`` keep the law while ``shards`` grows from there on, whatever it is.
+    """
     regions: list[Node] = []
     size = racks * per_rack
     for start in range(0, min(shards, built), size):
@@ -98,9 +102,13 @@ def with_slots(rows: DataFrame, order: list[str], slot_rows: int = SLOT_ROWS) ->
 
 
 def shard(
-    docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text"
+    docs: DataFrame, shards: int, id: str = "doc_id", text: str = "text", built: int | None = None
 ) -> DataFrame:
-    """Every row's shard and slot, and its shard if there were one more."""
+    """Every row's shard and slot, and its shard if there were one more.
+
+    ``built`` is the number of shards that the tree was built with; by default all, up to 24.
+    """
+    built = min(shards, 24) if built is None else built
     data = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     rows = docs.select(
         F.col(id).alias("doc_id"),
@@ -111,8 +119,8 @@ def shard(
         rows.select(
             "*",
             F.lit("key").alias("law"),
-            shard_of(F.col("doc_id"), topology(shards)).alias("shard"),
-            shard_of(F.col("doc_id"), topology(shards + 1)).alias("grown_shard"),
+            shard_of(F.col("doc_id"), topology(shards, built)).alias("shard"),
+            shard_of(F.col("doc_id"), topology(shards + 1, built)).alias("grown_shard"),
         )
     )
     return with_slots(placed, ["doc_id", "size", "text_crc32"]).select(

@@ -209,6 +209,14 @@ def test_growth_moves_rows_only_into_the_new_shard(spark, count):
     assert set(sizes) == set(range(count)) and max(sizes.values()) < 1.25 * 20_000 / count
 
 
+@pytest.mark.parametrize("count", [1, 5, 11, 12, 20, 23, 24, 26])
+def test_one_more_shard_takes_rows_only_into_itself_at_any_count(spark, count):
+    docs = spark.range(5_000).selectExpr("id AS doc_id", "cast(id AS string) AS text")
+    got = shards.shard(docs, count).collect()
+    assert {r["shard"] for r in got} == set(range(count))
+    assert {r["grown_shard"] for r in got if r["grown_shard"] != r["shard"]} == {count}
+
+
 def test_a_heavier_subtree_only_gains(spark):
     from dataclasses import replace
 
@@ -417,6 +425,12 @@ def test_leaks_are_places_of_whole_words_within_the_budget():
         assert (got[0][:2] if got else None) == brute_leak(item, text), (item, text)
 
 
+def test_items_of_one_or_two_characters_are_whole_words(spark):
+    df = spark.createDataFrame([(1, "an x marks it"), (2, "xx six taxes"), (3, "it's 42 now"), (4, "421")], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, "X"), (1, "42"), (2, "?!")], "item_id long, text string")
+    assert rows_of(leaks.find_leaks(df, bench), "doc_id", "item_id") == Counter([(1, 0), (3, 1)])
+
+
 def test_short_items_are_whole_words_and_long_ones_may_have_another_word(spark):
     long = "one rare passage of exactly twelve words stands here for this test"
     docs = [(1, "these bytes are eyes, yesterday"), (2, "Yes, they are."), (3, f"so {long.replace('passage', 'extraordinarily')} too"),

@@ -1,5 +1,6 @@
 """The pipeline on small tables against plain Python."""
 
+import hashlib
 import random
 from collections import Counter
 
@@ -66,7 +67,11 @@ def test_pipeline_equals_plain_python(spark, tmp_path):
         want[d, len(ids), np.array(ids, "<u4").tobytes()] += 1
 
     got = corpus_pipeline.run(spark, folder)
-    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in got.collect()) == want
+    rows = got.collect()
+    assert Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"])) for r in rows) == want
+    for r in rows:
+        text = library.decode(np.frombuffer(r["ids"], "<u4").tolist(), skip_special_tokens=False)
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
 
 
 def test_stages_on_awkward_rows(odd, none, spark, tmp_path):
