@@ -6,11 +6,12 @@
 3. near_duplicates: of each group that shingles of five words link at 0.8, one row stays,
    that of the smallest id
 4. decontamination: documents that hold a benchmark item go
-5. tokens: ids of every text
+5. tokens: ids of every text, and the digest of what they decode to
 
 Null texts are clean, hold no lines and no item, link with nothing and have no tokens.
 Stages 3 and 4 decide by text, not by id: rows of one id and different texts are different
-documents. Null ids come after all others; of rows that repeat id and text one stays.
+documents. Null ids come after all others. Of rows that repeat id and text one stays, unless
+the text is null or without words: such rows link with nothing, so all of them stay.
 """
 
 from __future__ import annotations
@@ -18,8 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repaylens.llm.bpe import encode, vocabulary
-from repaylens.llm.common import stored, table
+from repaylens.llm.bpe import decode_ids, encode, vocabulary
+from repaylens.llm.common import release, stored, table
 from repaylens.llm.jaccard import Rule, near_groups
 from repaylens.llm.leaks import find_leaks
 from repaylens.llm.lines import dedup_lines
@@ -48,18 +49,20 @@ def with_key(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = with_key(docs)
-    groups = near_groups(docs.select("__key", "text"), Rule(words=5, percent=80), id="__key")
-    groups = stored(groups.where("n_shingles > 0").select("__key", F.col("component_id").alias("__group")).distinct())
-    rows = stored(docs.where("text IS NOT NULL").groupBy("doc_id", "__key").agg(F.count("*").alias("__rows")))
-    rows = stored(rows.join(groups, "__key"))
+    found = near_groups(docs.select("__key", "text"), Rule(words=5, percent=80), id="__key")
+    groups = stored(found.where("n_shingles > 0").select("__key", F.col("component_id").alias("__group")).distinct())
+    counted = docs.where("text IS NOT NULL").groupBy("doc_id", "__key").agg(F.count("*").alias("__rows"))
+    rows = stored(counted.join(groups, "__key"))
+    release(groups)
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "__key")
     first = stored(rows.groupBy("__group").agg(F.min(place).alias("__first")))
-    rows = rows.join(first, "__group").withColumn("__stays", place.eqNullSafe(F.col("__first")))
-    rows = stored(rows.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "__stays", "__rows"))
+    marked = rows.join(first, "__group").withColumn("__stays", place.eqNullSafe(F.col("__first")))
+    marked = stored(marked.select(F.col("doc_id").alias("__id"), F.col("__key").alias("__of"), "__stays", "__rows"))
+    release(rows, first)
     same = F.expr("__key = __of AND doc_id <=> __id")
-    left = docs.join(rows.where("NOT __stays OR __rows > 1"), same, "left_anti")
+    left = docs.join(marked.where("NOT __stays OR __rows > 1"), same, "left_anti")
     # of rows that repeat id and text one comes back
-    again = docs.join(rows.where("__stays AND __rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
+    again = docs.join(marked.where("__stays AND __rows > 1"), same, "left_semi").dropDuplicates(["doc_id", "__key"])
     return left.unionByName(again).select(*COLUMNS)
 
 
@@ -71,8 +74,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs.select("doc_id", "text"), vocabulary()).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids"
+    ids = encode(docs.select("doc_id", "text"), vocabulary()).select("doc_id", "ids")
+    return decode_ids(ids, vocabulary()).select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        "ids",
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
     )
 
 
@@ -91,7 +98,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply all stages to ``documents``; each result is stored and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stored(docs)
+            release(before)
     return docs
