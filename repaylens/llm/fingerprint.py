@@ -38,6 +38,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+", " ")
 
 
+def chunks_of(text: str, chars: int) -> str:
+    """SQL for the chunks of a text as an array, cut in one walk through it."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{chars}}}', 0)"
+
+
 def powers(base: int, prime: int, count: int) -> np.ndarray:
     """``base^0 .. base^(count-1)`` modulo ``prime``, by doubling."""
     out = np.ones(1, np.uint64)
@@ -89,8 +94,7 @@ def fingerprints(
     single = parts.where("parts <= 1").select("k", F.lit(0).alias("no"), F.col("t").alias("chunk"))
     many = (
         parts.where("parts > 1")
-        .select("k", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("no"))
-        .select("k", "no", F.expr(f"substring(t, no * {chunk_chars} + 1, {chunk_chars})").alias("chunk"))
+        .select("k", F.posexplode(F.expr(chunks_of("t", chunk_chars))).alias("no", "chunk"))
         .repartition(F.col("k"), F.col("no"))
     )
     shifted = [
@@ -204,8 +208,8 @@ def _unequal(texts: DataFrame, left: DataFrame, heads: DataFrame, chunk_chars: i
     The first member's chunks are repeated once for every few hundred members, so a group
     of any size spreads over tasks.
     """
-    chunk = f"substring(text, no * {chunk_chars} + 1, {chunk_chars})"
-    numbers = F.expr(f"sequence(0, CAST(floor(length(text) / {chunk_chars}) AS INT))")
+    # an empty text is one empty chunk
+    chunks = F.expr(f"if(text = '', array(''), {chunks_of('text', chunk_chars)})")
     at = left.join(heads, FP)
     mine = texts.drop(*FP).join(
         at.select(F.col("doc_id").alias("m_id"), F.col("sha").alias("m_sha"), *FP, "first", "n"),
@@ -214,12 +218,12 @@ def _unequal(texts: DataFrame, left: DataFrame, heads: DataFrame, chunk_chars: i
     is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("sha") == F.col("first.sha"))
     heads_chunks = (
         mine.where(is_first)
-        .select(*FP, F.col("n"), "text", F.explode(numbers).alias("no"))
-        .select(*FP, "no", F.expr(chunk).alias("head"), F.explode(salts(F.col("n"))).alias("salt"))
+        .select(*FP, F.col("n"), F.posexplode(chunks).alias("no", "head"))
+        .select(*FP, "no", "head", F.explode(salts(F.col("n"))).alias("salt"))
     )
     member_chunks = mine.where(~is_first).select(
-        "doc_id", "sha", *FP, salt(F.col("n"), F.col("doc_id"), F.col("sha")).alias("salt"), "text", F.explode(numbers).alias("no")
-    ).select("doc_id", "sha", *FP, "salt", "no", F.expr(chunk).alias("chunk"))
+        "doc_id", "sha", *FP, salt(F.col("n"), F.col("doc_id"), F.col("sha")).alias("salt"), F.posexplode(chunks).alias("no", "chunk")
+    )
     on = [*FP, "salt", "no"]
     return (
         member_chunks.join(heads_chunks, on, "left")

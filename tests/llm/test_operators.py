@@ -182,6 +182,25 @@ def test_fingerprints_combine_by_length():
     assert (h(b"abc") * pow(r, 4, p) + h(b"defg")) % p == h(b"abcdefg")
 
 
+def test_a_huge_text_is_cut_once(spark):
+    """Texts of 20 million characters; taking each chunk by its number would walk 3,000 million of them."""
+    unit = "é😀 word\u2028 and more of it\n"
+    docs = spark.range(3).selectExpr("id AS row_key", f"repeat('{unit}', 800000) || if(id = 2, 'x', '') AS text").where("row_key > 0")
+    size = len(unit.encode())
+    got = {r["row_key"]: r for r in fingerprint.fingerprints(docs).collect()}
+    assert {k: r["fp_len"] for k, r in got.items()} == {1: 800_000 * size, 2: 800_000 * size + 1}
+    p, b = fingerprint.PRIMES[0], fingerprint.BASES[0]
+    one = 0
+    for byte in unit.encode():
+        one = (one * b + byte) % p
+    step, whole, times = pow(b, size, p), 0, 800_000
+    while times:  # sum of one * step^k by doubling
+        if times & 1:
+            whole = (whole * step + one) % p
+        one, step, times = (one * step + one) % p, step * step % p, times >> 1
+    assert got[1]["fp0"] == whole and got[2]["fp0"] == (whole * b + ord("x")) % p
+
+
 # shards
 
 
