@@ -505,3 +505,57 @@ def test_licenses(spark, odd, none):
     assert (got[5]["n_words"], got[5]["first_word"], got[5]["score"]) == (0, None, 0.0)
     assert got[1]["spans"][0]["start"] == 0 and got[1]["score"] == pytest.approx(1.0)
     assert licenses.scan(odd).count() == len(ROWS) and licenses.scan(none).count() == 0
+
+
+LATER_PARTS = {
+    "mit": "IMPLIED: provided \"as is\", without warranty of any kind, express or implied, including but not limited to the"
+           " warranties of merchantability, fitness for a particular purpose and noninfringement.",
+    "bsd-3-clause": "nor the names of its contributors may be used to endorse or promote products derived from this software"
+                    " without specific prior written permission",
+    "apache-2.0": "Unless required by applicable law or agreed to in writing, software distributed under the License is"
+                  " distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby"
+           " granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "cc0-1.0": "The person has waived all copyright and related or neighboring rights to this work.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "lgpl-3.0": "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either"
+                " version 3 of the License, or (at your option) any later version",
+    "agpl-3.0": "GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+    "gpl-3.0": "the GNU General Public License as published by the Free Software Foundation, either version 3 of the License",
+}
+
+
+def test_parts_of_common_licences_are_labelled(spark):
+    labels = list(LATER_PARTS)
+    rows = [(k, f"some words before {LATER_PARTS[x]} and after") for k, x in enumerate(labels)]
+    rows += [(100, "the free software and the public domain, without fee or warranty"), (101, "provided that this notice")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, x in enumerate(labels):
+        assert x in got[k]["labels"].split(","), (x, got[k]["labels"])
+        assert any(s["label"] == x for s in got[k]["spans"]) and 0 < got[k]["score"] <= 1
+    assert got[100]["labels"] == got[101]["labels"] == ""
+    assert "lgpl-3.0" not in got[labels.index("gpl-3.0")]["labels"] and "gpl-3.0" not in got[labels.index("agpl-3.0")]["labels"].split(",")
+
+
+def test_every_template_finds_itself_and_parts_of_it(spark):
+    rows = [(k, t.text) for k, t in enumerate(licenses.TEMPLATES)]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(licenses.TEMPLATES):
+        assert (t.label, 0) in {(s["label"], s["start"]) for s in got[k]["spans"]}, t
+
+
+def test_templates_are_a_table(spark):
+    own = spark.createDataFrame(
+        [("house", "Use of this file, outside our HOUSE, needs the keeper's consent.", ["our house", "keeper's consent"])],
+        "label string, text string, phrases array<string>",
+    )
+    docs = spark.createDataFrame(
+        [(1, "note: use of this file outside our house needs the keeper s consent"), (2, "released under the MIT license"),
+         (3, "use of this file outside our home needs the keeper's consent"), (4, None)],
+        "doc_id long, text string",
+    )
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(docs, templates=own).collect()}
+    assert got == {1: "house", 2: "", 3: "", 4: ""}
+    for wrong in ([("x", "", [])], [("x", "a b", ["c"])], [("x", "a " * 30_000, ["a"])]):
+        with pytest.raises(ValueError):
+            licenses.scan(docs, templates=spark.createDataFrame(wrong, own.schema))
