@@ -7,22 +7,18 @@ data: ``2 ** bits`` bits, 16 MB as a rule, whatever is put in.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BITS = 27
-BLOCK = 16  # a block of 2^16 bits is one row on its way to the driver
 
 
 def place(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """The bit of each 64-bit hash."""
-    mixed = hashes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+    """The bit of each 64-bit number, whose high and low bits say most."""
+    h = hashes.astype(np.uint64)
+    return ((h ^ (h >> np.uint64(33))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def contains(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -32,41 +28,22 @@ def contains(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.nda
 
 
 def broadcast_bitmap(hashes: DataFrame, bits: int = BITS) -> Broadcast:
-    """Broadcast the bitmap of the one column of longs of ``hashes``."""
-
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = np.unique(place(batch.iloc[:, 0].to_numpy(np.int64).view(np.uint64), bits))
-            own = at >> BLOCK
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(at) else []
-            yield pd.DataFrame(
-                {
-                    "block": own[starts].astype(np.int64) if len(at) else np.zeros(0, np.int64),
-                    "at": [a.astype(np.uint16).tobytes() for a in np.split(at & ((1 << BLOCK) - 1), starts[1:])] if len(at) else [],
-                }
-            )
-
-    def merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, at in zip(batch["block"], batch["at"]):
-                bools = held.setdefault(block, np.zeros(1 << BLOCK, bool))
-                bools[np.frombuffer(at, np.uint16)] = True
-        yield pd.DataFrame(
-            {"block": list(held), "bits": [np.packbits(b, bitorder="little").tobytes() for b in held.values()]}
-        ).astype({"block": "int64"})
-
-    spark = hashes.sparkSession
-    parts = (
-        hashes.mapInPandas(blocks, "block long, at binary")
-        .repartition(F.col("block"))
-        .mapInPandas(merged, "block long, bits binary")
+    """Broadcast the bitmap of the one column of longs of ``hashes``.
+
+    Spark's own bitmap aggregate sets the bits, on the map side first.
+    """
+    h = F.col(hashes.columns[0])
+    at = hashes.select(h.bitwiseXOR(F.shiftrightunsigned(h, 33)).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
+    # Spark counts places from 1 and puts 2^15 of them into a bucket
+    parts = at.groupBy(F.bitmap_bucket_number(F.col("at") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("at") + 1)).alias("bits")
     )
     bitmap = np.zeros((1 << bits) // 8, np.uint8)
-    size = (1 << BLOCK) // 8
-    for row in parts.collect():  # at most 2^(bits-16) rows of 8 KB, in one job
-        bitmap[row["block"] * size : (row["block"] + 1) * size] |= np.frombuffer(row["bits"], np.uint8)
-    return spark.sparkContext.broadcast(bitmap.tobytes())
+    size = (1 << 15) // 8
+    for row in parts.collect():  # at most 2^(bits-15) rows of 4 KB
+        start = (row["bucket"] - 1) * size
+        bitmap[start : start + size] = np.frombuffer(row["bits"], np.uint8)
+    return hashes.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
 
 def opened(shared: Broadcast) -> np.ndarray:

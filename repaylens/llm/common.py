@@ -10,6 +10,8 @@ from repaylens.sources.files import stored_at
 
 #: Members of a group that meet in one task when a group is salted.
 SALT_ROWS = 256
+#: Narrow rows that make a file of a table whose size is known beforehand.
+FILE_ROWS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,13 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, rows: int | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read back.
 
     Cuts the lineage: what reads it survives lost executors without recomputation. The
-    shuffles behind it are removed; ``release`` removes the table itself.
+    shuffles behind it are removed; ``release`` removes the table itself. Where the caller
+    knows that there are at most ``rows``, few rows go to few files.
     """
-    out, path = stored_at(df)
+    out, path = stored_at(df if rows is None else df.coalesce(1 + rows // FILE_ROWS))
     out.stored_path = path
     return out
 
@@ -64,14 +67,15 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     before = _print_of(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        n = before[0]  # no table of a round has more than twice as many rows
+        least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), 2 * n)
         large = stored(
-            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n
         )
         release(edges, least)
-        least = stored(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = stored(large.groupBy("u").agg(F.min("v").alias("m")), n)
         rest = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct())
+        edges = stored(least.select("u", F.col("m").alias("v")).unionByName(rest).distinct(), 2 * n)
         release(large, least)
         after = _print_of(edges)
         if after == before:
@@ -82,7 +86,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     out = stored(
         edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(
             edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
-        )
+        ),
+        2 * before[0],
     )
     release(edges)
     return out

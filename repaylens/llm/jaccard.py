@@ -331,11 +331,11 @@ class Join:
             self.nodes.select("node", "n", "signatures").mapInPandas(_members(shared), "signature long, node long, n long")
         )
 
-    def fetch(self, nodes: DataFrame) -> None:
-        """Store the texts of those ``nodes(node)`` whose texts are not at hand."""
+    def fetch(self, nodes: DataFrame, most: int) -> None:
+        """Store the texts of those ``nodes(node)``, ``most`` at most, whose texts are not at hand."""
         for part in self.texts:
             nodes = nodes.join(part.select("node"), "node", "left_anti")
-        wanted = stored(nodes.join(self.nodes.select("node", "k1", "k2"), "node"))
+        wanted = stored(nodes.join(self.nodes.select("node", "k1", "k2"), "node"), most)
         if wanted.isEmpty():
             release(wanted)
             return
@@ -351,8 +351,9 @@ class Join:
 
         Only texts of the pairs' nodes are shuffled.
         """
-        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        self.fetch(nodes)
+        size = pairs.count()
+        nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * size)
+        self.fetch(nodes, 2 * size)
         shared = broadcast_bitmap(nodes)
         release(nodes)
         texts = pairs.sparkSession.createDataFrame([], "node long, text string")
@@ -360,7 +361,9 @@ class Join:
             texts = texts.unionByName(part.mapInArrow(_of_nodes(shared), "node long, text string"))
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        return stored(pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long"))
+        found = pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long")
+        # texts stay dealt out while they are compared; the links are few
+        return stored(found)
 
     def learn(self, links: DataFrame) -> None:
         """Bring the labels up to date with new ``links``, which are stored and then removed.
@@ -368,6 +371,9 @@ class Join:
         Components are formed of labels, so the work follows the new links.
         """
         known = self.labels
+        if known is not None and links.isEmpty():
+            release(links)
+            return
         ends = links
         if known is not None:
             for side in ("a", "b"):
@@ -427,7 +433,7 @@ class Join:
         release(members, centre, best)
         most = None
         while True:
-            rest = self.apart(shared)
+            rest = self.apart(shared, most and 2 * most + 1)
             release(shared)
             left = rest.count()
             if left and most is not None and left > most:
@@ -436,36 +442,39 @@ class Join:
                 release(rest, *self.texts)
                 return
             most = left // 2
-            near = stored(self.between(rest))
-            pairs = stored(self.plausible(near))
+            near = stored(self.between(rest, left), left)
+            pairs = stored(self.plausible(near), left)
             self.learn(self.check(pairs))
             release(near, pairs)
             shared = rest
 
-    def apart(self, shared: DataFrame) -> DataFrame:
-        """Rows of ``shared`` whose signature has nodes of several components, with the component."""
+    def apart(self, shared: DataFrame, most: int | None) -> DataFrame:
+        """Rows of ``shared``, ``most`` at most, whose signature has nodes of several components, with the component."""
         own = stored(
-            shared.drop("component").join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            shared.drop("component").join(self.labels, "node", "left").withColumn("component", F.coalesce("component", "node")),
+            most,
         )
         several = stored(
             own.groupBy("signature")
             .agg(F.min("component").alias("low"), F.max("component").alias("high"))
             .where("low < high")
-            .select("signature")
+            .select("signature"),
+            most,
         )
-        out = stored(own.join(several, "signature"))
+        out = stored(own.join(several, "signature"), most)
         release(own, several)
         return out
 
-    def between(self, rest: DataFrame) -> DataFrame:
+    def between(self, rest: DataFrame, left: int) -> DataFrame:
         """One pair for each component of a signature: its smallest node and that of the first component."""
         heads = stored(
-            rest.groupBy("signature", "component").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("a_n"))
+            rest.groupBy("signature", "component").agg(F.min("node").alias("a"), F.min_by("n", "node").alias("a_n")), left
         )
         first = stored(
             heads.groupBy("signature").agg(
                 F.min("component").alias("component_b"), F.min_by("a", "component").alias("b"), F.min_by("a_n", "component").alias("b_n")
-            )
+            ),
+            left,
         )
         return (
             heads.join(first, "signature")
