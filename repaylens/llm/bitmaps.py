@@ -1,8 +1,8 @@
-"""A set of hashes as a bitmap of fixed size, built by tasks and broadcast.
+"""A set of hashes as a bitmap of bounded size, built by Spark and broadcast.
 
 A bitmap answers "not in the set" for certain and "in the set" with some error, which
-callers only use to leave out work that cannot matter. Its size does not depend on the
-data: ``2 ** bits`` bits, 16 MB as a rule, whatever is put in.
+callers only use to leave out work that cannot matter. It has some 16 bits for each hash,
+and never more than ``2 ** MOST_BITS``, 16 MB.
 """
 
 from __future__ import annotations
@@ -12,26 +12,27 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 27
+LEAST_BITS, MOST_BITS = 15, 27
 
 
-def place(hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+def place(hashes: np.ndarray, bits: int) -> np.ndarray:
     """The bit of each 64-bit number, whose high and low bits say most."""
     h = hashes.astype(np.uint64)
     return ((h ^ (h >> np.uint64(33))) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
-def contains(bitmap: np.ndarray, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+def contains(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Whether the bit of each hash is set."""
-    at = place(hashes, bits)
+    at = place(hashes, (8 * len(bitmap)).bit_length() - 1)
     return (bitmap[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
 
 
-def broadcast_bitmap(hashes: DataFrame, bits: int = BITS) -> Broadcast:
-    """Broadcast the bitmap of the one column of longs of ``hashes``.
+def broadcast_bitmap(hashes: DataFrame, rows: int) -> Broadcast:
+    """Broadcast the bitmap of the one column of longs of ``hashes``, which has about so many ``rows``.
 
     Spark's own bitmap aggregate sets the bits, on the map side first.
     """
+    bits = min(MOST_BITS, max(LEAST_BITS, (16 * rows).bit_length()))
     h = F.col(hashes.columns[0])
     at = hashes.select(h.bitwiseXOR(F.shiftrightunsigned(h, 33)).bitwiseAND(F.lit((1 << bits) - 1)).alias("at"))
     # Spark counts places from 1 and puts 2^15 of them into a bucket

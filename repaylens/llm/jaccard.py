@@ -9,7 +9,7 @@ signatures, of which s tokens yield s - 1 that are safe. Two sets that link then
 signature (the tokens they share of the shorter prefix keep at least one). A signature of
 the whole set finds equal sets of any size.
 
-Frequent tokens are known from a bitmap of fixed size. It only decides the order, so any
+Frequent tokens are known from a bitmap of bounded size. It only decides the order, so any
 error in it changes the work and never the result.
 
 Equal word sequences are one node. Candidates are the pairs of a signature's nodes. They
@@ -300,7 +300,9 @@ class Join:
             .agg(F.sum("n").alias("n"))
             .where(F.col("n") > FREQUENT)
         )
-        frequent = broadcast_bitmap(counts.select("token"))
+        often = stored(counts.select("token"))
+        frequent = broadcast_bitmap(often, often.count())
+        release(often)
         self.signed = stored(
             self.rows.mapInPandas(_signed(rule, frequent), "id string, k1 long, k2 long, n int, signatures array<long>, bits array<long>").withColumn(
                 "id", F.col("id").cast(self.kind)
@@ -309,6 +311,7 @@ class Join:
         classes = self.signed.groupBy("k1", "k2").agg(
             F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("signatures").alias("signatures"), F.first("bits").alias("bits")
         )
+        frequent.destroy()
         nodes = stored(classes.withColumn("node", F.monotonically_increasing_id()))
         self.ids = stored(self.signed.select("id", "k1", "k2", F.col("n").cast("long").alias("n_shingles")))
         release(self.signed)
@@ -326,10 +329,14 @@ class Join:
             .agg(F.count("*").alias("n"))
             .where("n > 1")
         )
-        shared = broadcast_bitmap(repeated.select("signature"))
-        return stored(
+        repeated = stored(repeated.select("signature"))
+        shared = broadcast_bitmap(repeated, repeated.count())
+        release(repeated)
+        out = stored(
             self.nodes.select("node", "n", "signatures").mapInPandas(_members(shared), "signature long, node long, n long")
         )
+        shared.destroy()
+        return out
 
     def fetch(self, nodes: DataFrame, most: int) -> None:
         """Store the texts of those ``nodes(node)``, ``most`` at most, whose texts are not at hand."""
@@ -339,12 +346,13 @@ class Join:
         if wanted.isEmpty():
             release(wanted)
             return
-        shared = broadcast_bitmap(wanted.select("k1"))
+        shared = broadcast_bitmap(wanted.select("k1"), most)
         found = self.rows.select("text").mapInPandas(_wanted_texts(self.rule, shared), "k1 long, k2 long, text string")
         self.texts.append(
             stored(found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]).select("node", "text"))
         )
         release(wanted)
+        shared.destroy()
 
     def check(self, pairs: DataFrame) -> DataFrame:
         """Those of ``pairs(a, b)`` that link. Pairs are stored, so Spark may split a node of many.
@@ -354,7 +362,7 @@ class Join:
         size = pairs.count()
         nodes = stored(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * size)
         self.fetch(nodes, 2 * size)
-        shared = broadcast_bitmap(nodes)
+        shared = broadcast_bitmap(nodes, 2 * size)
         release(nodes)
         texts = pairs.sparkSession.createDataFrame([], "node long, text string")
         for part in self.texts:
@@ -363,7 +371,9 @@ class Join:
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         found = pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long")
         # texts stay dealt out while they are compared; the links are few
-        return stored(found)
+        out = stored(found)
+        shared.destroy()
+        return out
 
     def learn(self, links: DataFrame) -> None:
         """Bring the labels up to date with new ``links``, which are stored and then removed.
