@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repaylens.llm.common import stored, table
+from repaylens.llm.common import release, stored, table
 
 BITS = 20
 SHARES, ROUNDS, PASSES = 4, 3, 2
@@ -154,15 +154,18 @@ def learn(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), max_rows:
             added = [(x[at] - y[at]).astype(np.float32).tobytes() for x, y in zip((zs, ns), before)]
             return pd.DataFrame({"z": added[:1], "n": added[1:], "at": [at.astype(np.int32).tobytes()]})
 
-        # SHARES rows of at most three numbers a feature of the hash space
-        parts = rows.groupBy("share").applyInPandas(share, "z binary, n binary, at binary").collect()
-        if not parts:
-            return {}
-        for p in parts:
+        # SHARES rows of at most three numbers a feature of the hash space, one at a time in the driver
+        parts = stored(rows.groupBy("share").applyInPandas(share, "z binary, n binary, at binary"))
+        count = parts.count()
+        for p in parts.toLocalIterator():
             at = np.frombuffer(p["at"], np.int32)
-            z[at] += np.frombuffer(p["z"], np.float32) / len(parts)
-            n[at] += np.frombuffer(p["n"], np.float32) / len(parts)
-        state.unpersist()
+            z[at] += np.frombuffer(p["z"], np.float32) / count
+            n[at] += np.frombuffer(p["n"], np.float32) / count
+        release(parts)
+        state.destroy()
+        if not count:
+            break
+    release(rows)
     w = weights(z, np.sqrt(n), rates)
     at = np.flatnonzero(w)
     return dict(zip(at.tolist(), w[at].tolist()))
