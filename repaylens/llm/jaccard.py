@@ -540,6 +540,23 @@ class Join:
             .distinct()
         )
 
+    def all_links(self) -> DataFrame:
+        """``(a, b)``: every link between two nodes, once.
+
+        Every pair that shares a signature and is not ruled out by sizes and sketches is
+        checked, so the work follows the links and near misses themselves.
+        """
+        members = self.members()
+        sizes = stored(members.groupBy("signature").agg(F.count("*").alias("size")).where("size > 1"))
+        # each node counts as a component of its own, so no pair is left out
+        shared = stored(members.join(sizes, "signature").withColumn("component", F.col("node")))
+        release(members, sizes)
+        pairs = stored(self.open_pairs(shared).select("a", "b"))
+        release(shared)
+        out = self.check(pairs)
+        release(pairs, *self.texts)
+        return out
+
     def result(self) -> DataFrame:
         """``(id, n_shingles, component)`` of every row."""
         self.join()
@@ -561,5 +578,30 @@ def near_groups(docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text:
     return Join(docs, rule, id, text).result().withColumnRenamed("id", id)
 
 
+def near_links(
+    docs: DataFrame, rule: Rule = Rule(), id: str = "doc_id", text: str = "text"
+) -> tuple[DataFrame, DataFrame]:
+    """The links themselves: pairs of classes, and the class of every row.
+
+    Rows of equal word sequences are one class, named by its smallest id. Pairs are
+    ``(a_id, b_id)``, each once; rows are ``(id, class_id, class_size, n_links)``, where n_links
+    counts the other classes that link. Rows without words have no links. A class whose rows
+    all lack an id is named null; its pairs are listed.
+    """
+    join = Join(docs, rule, id, text)
+    links = join.all_links()
+    names = join.nodes.select("node", "k1", "k2", F.col("first_id").alias("class_id"))
+    ends = stored(links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links")))
+    a, b = (names.select(F.col("node").alias(x), F.col("class_id").alias(f"{x}_id")) for x in "ab")
+    pairs = links.join(a, "a").join(b, "b").select("a_id", "b_id")
+    sizes = stored(join.ids.groupBy("k1", "k2").agg(F.count("*").alias("class_size")))
+    named = stored(names.join(ends, "node", "left").join(sizes, ["k1", "k2"]).drop("node"))
+    release(ends, sizes)
+    rows = join.ids.join(named, ["k1", "k2"]).select(
+        F.col("id").alias(id), "class_id", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links")
+    )
+    return pairs, rows
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), Rule(words=4, percent=85))

@@ -559,3 +559,37 @@ def test_templates_are_a_table(spark):
     for wrong in ([("x", "", [])], [("x", "a b", ["c"])], [("x", "a " * 30_000, ["a"])]):
         with pytest.raises(ValueError):
             licenses.scan(docs, templates=spark.createDataFrame(wrong, own.schema))
+
+
+def test_near_links_are_all_pairs_of_different_texts(spark, odd, none):
+    rng = random.Random(11)
+    base = [f"t{k}" for k in range(120)]
+    rows = list(ROWS)
+    for k in range(14):  # a group in which many, but not all, link with each other
+        words = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(120)] = f"new{k}"
+        rows.append((200 + k, " ".join(words)))
+    rows += [(300, " ".join(base)), (299, " ".join(base).upper())]
+    rule = jaccard.Rule(4, 85)
+    words = {t: tuple((t or "").encode().lower().split()) for _, t in rows}
+    classes = {}
+    for d, t in rows:
+        classes.setdefault(words[t], []).append(d)
+    name = {w: min((d for d in ids if d is not None), default=None) for w, ids in classes.items()}
+    sets = {w: {w[i : i + 4] for i in range(max(1, len(w) - 3))} if w else set() for w in classes}
+    order = list(classes)
+    want, degree = Counter(), Counter()
+    for i, x in enumerate(order):
+        for y in order[:i]:
+            both = len(sets[x] & sets[y])
+            if both and 100 * both >= 85 * (len(sets[x]) + len(sets[y]) - both):
+                want[frozenset((name[x], name[y]))] += 1
+                degree.update((x, y))
+    pairs, members = jaccard.near_links(spark.createDataFrame(rows, "doc_id long, text string"), rule)
+    assert Counter(frozenset((r["a_id"], r["b_id"])) for r in pairs.collect()) == want and len(want) > 8
+    assert rows_of(members, "doc_id", "class_id", "class_size", "n_links") == Counter(
+        (d, name[words[t]], len(classes[words[t]]), degree[words[t]]) for d, t in rows
+    )
+    pairs, members = jaccard.near_links(none, rule)
+    assert pairs.count() == 0 == members.count()
