@@ -33,6 +33,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,6 +111,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted, each once; for a few hundred numbers faster than the hashing of np.unique."""
+    x = np.sort(x)
+    return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
+
+
 def tokens_of(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
     """The sorted distinct hashes of the shingles."""
     if not words:
@@ -121,7 +128,7 @@ def tokens_of(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
     for k in range(length):
         h = (h ^ w[k : k + count]) * ODD + np.uint64(k + 1)
         h ^= h >> np.uint64(31)
-    return np.unique(mixed(h))
+    return distinct(mixed(h))
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
@@ -141,7 +148,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarr
         levels = [top] if top == 0 or rule.percent * n >= 100 * (1 << top) else [top, top - 1]
         for level in levels:
             out.append(_pairs(common, need - len(rare), level, rule))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def sketch(tokens: np.ndarray) -> np.ndarray:
@@ -364,9 +371,10 @@ class Join:
         self.fetch(nodes, 2 * size)
         shared = broadcast_bitmap(nodes, 2 * size)
         release(nodes)
-        texts = pairs.sparkSession.createDataFrame([], "node long, text string")
-        for part in self.texts:
-            texts = texts.unionByName(part.mapInArrow(_of_nodes(shared), "node long, text string"))
+        parts = [part.mapInArrow(_of_nodes(shared), "node long, text string") for part in self.texts]
+        if not parts:  # there is no pair either
+            return stored(pairs.select("a", "b"))
+        texts = reduce(DataFrame.unionByName, parts)
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
         found = pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long")
