@@ -262,18 +262,6 @@ def encode(
     return out if decode else out.drop("decoded")
 
 
-def decode_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """``rows`` with ``decoded``, from their ``ids``."""
-
-    @F.pandas_udf("string")
-    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(tokenizer)
-        for ids in parts:
-            yield pd.Series([encoder.decode(bytes(x)) for x in ids], dtype=object)
-
-    return rows.withColumn("decoded", texts(F.col("ids")))
-
-
 def vocabulary() -> str:
     import public_tokenizers
 

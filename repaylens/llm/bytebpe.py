@@ -147,16 +147,23 @@ def _lists(parts: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
-    """``docs`` with ``ids``. ``ranks`` is the path of a rank file that every executor has."""
+def encode(docs: DataFrame, ranks: str, pattern: str, decoded: bool = False) -> DataFrame:
+    """``docs`` with ``ids`` and, if asked, ``decoded``, the bytes that the ids stand for.
 
-    @F.arrow_udf("array<int>")
-    def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    ``ranks`` is the path of a rank file that every executor has.
+    """
+
+    @F.arrow_udf("ids array<int>, decoded binary")
+    def both(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = encoder(ranks, pattern)
         for part in texts:
-            yield _lists([own.encode(text.as_py()) for text in part])
+            ids = [own.encode(text.as_py()) for text in part]
+            back = [own.decode(np.frombuffer(x, "<i4")) for x in ids] if decoded else [None] * len(ids)
+            yield pa.StructArray.from_arrays([_lists(ids), pa.array(back, pa.binary())], ["ids", "decoded"])
 
-    return docs.drop("ids", "decoded").withColumn("ids", ids(F.col("text")))
+    kept = [c for c in docs.columns if c not in ("ids", "decoded")]
+    out = docs.select(*kept, both(F.col("text")).alias("__bpe"))
+    return out.select(*kept, "__bpe.ids", *(["__bpe.decoded"] if decoded else []))
 
 
 def decode(rows: DataFrame, ranks: str, pattern: str) -> DataFrame:
@@ -180,7 +187,7 @@ def vocabulary() -> tuple[str, str]:
 
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode(encode(docs, *vocabulary()), *vocabulary()).select(
+    return encode(docs, *vocabulary(), decoded=True).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
