@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repaylens.llm.bpe import encode, vocabulary
+from repaylens.llm.bpe import decode_ids, encode, vocabulary
 from repaylens.llm.common import release, stored, table
 from repaylens.llm.jaccard import Rule, near_groups
 from repaylens.llm.leaks import find_leaks
@@ -74,7 +74,9 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return encode(docs.select("doc_id", "text"), vocabulary(), decode=True).select(
+    # stored in between, so that no task holds both ends' tokenizers and texts
+    ids = stored(encode(docs.select("doc_id", "text"), vocabulary()).select("doc_id", "ids"))
+    return decode_ids(ids, vocabulary()).select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         "ids",
