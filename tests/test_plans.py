@@ -1,8 +1,10 @@
 """Shape of the physical plans: what must and must not be in them."""
 
 import re
+from threading import Barrier
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
 import __spark_entry__ as contract
 from repaylens.plans import experiment, journey, recovery, reporting
@@ -140,6 +142,23 @@ def test_star_join_over_buckets_has_no_exchange_by_account(spark, large_inputs):
     assert not spark.catalog.databaseExists(database)
 
 
+def test_bucket_tables_are_written_side_by_side(spark, monkeypatch):
+    t = small_tables(spark)
+    meet, save = Barrier(2, timeout=60), DataFrameWriter.saveAsTable
+
+    def both(writer, name, *args, **kwargs):
+        meet.wait()  # until another table is about to be written
+        save(writer, name, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "saveAsTable", both)
+    database, stored = store_in_buckets(t, 3)
+    try:
+        for name, df in t.items():
+            assert sorted(map(str, stored[name].collect())) == sorted(map(str, df.collect()))
+    finally:
+        drop_buckets(spark, database)
+
+
 def jobs_while(spark, build) -> int:
     group = f"count-{id(build)}"
     spark.sparkContext.setJobGroup(group, "")
