@@ -34,10 +34,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,6 +59,12 @@ PER_SUBCLASS = 6
 LOWEST = 16
 #: Rounds that check the best open pair of each node before all that are left are checked.
 BEST_FIRST = 2
+#: Bytes of text that are cut into words at once.
+PART_BYTES = 1 << 21
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+#: Keep the first 0 to 8 bytes of a little-endian number.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 #: Bits in which the sketches of a and b differ, as SQL. Each long is a column of its own: with arrays
 #: the code that Spark generates for a join of pairs passes 8,000 bytes, and the JVM would only interpret it.
@@ -89,18 +97,6 @@ class Rule:
         return both > 0 and 100 * both >= self.percent * (len(a) + len(b) - both)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered for a bounded number of them."""
-
-    most = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = out = xxhash.xxh3_64_intdigest(word)
-        return out
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words between ASCII white space, A-Z in lower case."""
     return (text or "").encode().lower().split()
@@ -117,18 +113,79 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([np.ones(min(1, len(x)), bool), x[1:] != x[:-1]])]
 
 
-def tokens_of(words: list[bytes], size: int, hashes: WordHashes) -> np.ndarray:
-    """The sorted distinct hashes of the shingles."""
-    if not words:
+def parts(batch: pa.RecordBatch, *texts: str) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts of about PART_BYTES in the columns ``texts``, one row at least."""
+    sizes = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in texts)
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // PART_BYTES)) + 1
+    for start, stop in pairwise([0, *cuts.tolist(), len(batch)]):
+        if stop > start:
+            yield batch.slice(start, stop - start)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """A 64-bit hash of every word, taken eight bytes at a time."""
+    if not len(words):
         return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    length = min(size, len(w))
-    count = len(w) - length + 1
+    wide = pa.types.is_large_string(words.type)
+    ends = np.frombuffer(words.buffers()[1], np.int64 if wide else np.int32)[words.offset : words.offset + len(words) + 1]
+    at, sizes = ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
+    data = bytes(words.buffers()[2] or b"") + bytes(8)
+    eights = np.ndarray(len(data) - 7, "<u8", data, strides=1)
+    out = sizes.astype(np.uint64) * ODD
+    some = np.arange(len(sizes))
+    for k in range(0, LONG_WORD, 8):
+        some = some[sizes[some] > k]
+        if not len(some):
+            break
+        chunk = eights[at[some] + k] & MASKS[np.minimum(sizes[some] - k, 8)]
+        out[some] = mixed((out[some] ^ chunk) * ODD)
+    for k in np.flatnonzero(sizes > LONG_WORD).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[at[k] : at[k] + sizes[k]])
+    return out
+
+
+def split_words(texts: pa.Array) -> pa.Array:
+    """Lists of what ``words_of`` finds; empty words may stand at both ends."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+
+def shingles(words: np.ndarray, length: int) -> np.ndarray:
+    """A hash for each ``length`` consecutive hashes of words."""
+    count = max(0, len(words) - length + 1)
     h = np.full(count, length, np.uint64)
     for k in range(length):
-        h = (h ^ w[k : k + count]) * ODD + np.uint64(k + 1)
+        h = (h ^ words[k : k + count]) * ODD + np.uint64(k + 1)
         h ^= h >> np.uint64(31)
-    return distinct(mixed(h))
+    return mixed(h)
+
+
+def tokens_of(split: pa.Array, size: int) -> list[np.ndarray]:
+    """The sorted distinct hashes of the shingles of each text, whose words come from ``split_words``."""
+    words = split.flatten()
+    counts = pc.fill_null(pc.list_value_length(split), 0).to_numpy(zero_copy_only=False)
+    real = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    hashes = word_hashes(words)[real]
+    before = np.concatenate([[0], np.cumsum(real)])
+    ends = before[np.concatenate([[0], np.cumsum(counts)])].tolist()
+    h = shingles(hashes, size)  # those that reach into the next text are left out below
+    out = []
+    for start, stop in pairwise(ends):
+        length = min(size, stop - start)
+        found = h[start : stop - size + 1] if length == size else shingles(hashes[start:stop], length)[: length > 0]
+        out.append(distinct(found))
+    return out
+
+
+def keys_of(split: pa.Array) -> np.ndarray:
+    """Two numbers that tell word sequences apart, for each text."""
+    joined = pc.fill_null(pc.ascii_trim_whitespace(pc.binary_join(split, " ")), "").cast(pa.binary())
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined.to_pylist())), "<i8").reshape(-1, 2)
+
+
+def lists(found: list[np.ndarray]) -> pa.Array:
+    """A column of arrays of longs."""
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray, rule: Rule) -> np.ndarray:
@@ -180,48 +237,40 @@ def _pairs(common: np.ndarray, need: int, level: int, rule: Rule) -> np.ndarray:
 def _prefix_tokens(rule: Rule):
     """Tokens that may be in prefixes: those of lowest hash, a quarter more than a prefix of rare ones."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, size = [], 0
-            for text in batch["text"]:
-                tokens = tokens_of(words_of(text), rule.words, hashes)
-                need = rule.losses(len(tokens)) + 1
-                held.append(tokens[: need + need // 4 + 4])
-                size += len(held[-1])
-                if size > 200_000:
-                    yield _counted(held)
-                    held, size = [], 0
-            if held:
-                yield _counted(held)
+            for part in parts(batch, "text"):
+                held = []
+                for tokens in tokens_of(split_words(part.column("text")), rule.words):
+                    need = rule.losses(len(tokens)) + 1
+                    held.append(tokens[: need + need // 4 + 4])
+                found, counts = np.unique(np.concatenate(held), return_counts=True)
+                yield pa.record_batch({"token": found.view(np.int64), "n": counts.astype(np.int32)})
 
     return run
 
 
-def _counted(held: list[np.ndarray]) -> pd.DataFrame:
-    found, counts = np.unique(np.concatenate(held), return_counts=True)
-    return pd.DataFrame({"token": found.view(np.int64), "n": counts.astype(np.int32)})
-
-
 def _signed(rule: Rule, shared):
     """Key, size and signatures of every document."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, bitmap = WordHashes(), opened(shared)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = opened(shared)
         for batch in batches:
-            for start in range(0, len(batch), 500):
-                part = batch.iloc[start : start + 500]
-                keys, sizes, found, bits = [], [], [], []
-                for text in part["text"]:
-                    words = words_of(text)
-                    key = xxhash.xxh3_128_digest(b" ".join(words))
-                    keys.append((int.from_bytes(key[:8], "little", signed=True), int.from_bytes(key[8:], "little", signed=True)))
-                    tokens = tokens_of(words, rule.words, hashes)
-                    sizes.append(len(tokens))
-                    bits.append(sketch(tokens))
-                    found.append(signatures(tokens, contains(bitmap, tokens), rule).view(np.int64))
-                yield pd.DataFrame(
-                    {"id": part["id"].to_numpy(), "k1": [k[0] for k in keys], "k2": [k[1] for k in keys], "n": sizes, "signatures": found, "bits": bits}
+            for part in parts(batch, "text"):
+                split = split_words(part.column("text"))
+                keys = keys_of(split)
+                sets = tokens_of(split, rule.words)
+                sizes = np.array([len(x) for x in sets], np.int32)
+                often = np.split(contains(bitmap, np.concatenate(sets)), np.cumsum(sizes[:-1]))
+                yield pa.record_batch(
+                    {
+                        "id": part.column("id"),
+                        "k1": np.ascontiguousarray(keys[:, 0]),
+                        "k2": np.ascontiguousarray(keys[:, 1]),
+                        "n": sizes,
+                        "signatures": lists([signatures(x, f, rule) for x, f in zip(sets, often)]),
+                        "bits": lists([sketch(x) for x in sets]),
+                    }
                 )
 
     return run
@@ -250,15 +299,17 @@ def _members(shared):
 def _checked(rule: Rule):
     """Pairs of texts that link."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, last, tokens = WordHashes(), None, np.zeros(0, np.uint64)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = []
-            for b, x, y in zip(batch["b"], batch["a_text"], batch["b_text"]):
-                if b != last:  # rows come by b, mostly
-                    last, tokens = b, tokens_of(words_of(y), rule.words, hashes)
-                same.append(rule.links(tokens_of(words_of(x), rule.words, hashes), tokens))
-            yield batch.loc[np.array(same, bool), ["a", "b"]]
+            for part in parts(batch, "a_text", "b_text"):
+                # rows come by b, mostly
+                b = part.column("b").to_numpy()
+                new = np.concatenate([[True], b[1:] != b[:-1]])
+                run_of = (np.cumsum(new) - 1).tolist()
+                left = tokens_of(split_words(part.column("a_text")), rule.words)
+                right = tokens_of(split_words(part.column("b_text").filter(pa.array(new))), rule.words)
+                same = pa.array([rule.links(x, right[k]) for x, k in zip(left, run_of)], pa.bool_())
+                yield part.select(["a", "b"]).filter(same)
 
     return run
 
@@ -277,17 +328,14 @@ def _of_nodes(shared):
 def _wanted_texts(rule: Rule, shared):
     """Key and text of documents whose key may be wanted."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = opened(shared)
         for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                words = words_of(text)
-                key = xxhash.xxh3_128_digest(b" ".join(words))
-                k1 = int.from_bytes(key[:8], "little", signed=True)
-                if contains(bitmap, np.array([k1], np.int64).view(np.uint64))[0]:
-                    rows.append((k1, int.from_bytes(key[8:], "little", signed=True), text))
-            yield pd.DataFrame(rows, columns=["k1", "k2", "text"])
+            for part in parts(batch, "text"):
+                texts = part.column("text")
+                keys = keys_of(split_words(texts))
+                here = contains(bitmap, keys[:, 0].view(np.uint64))
+                yield pa.record_batch({"k1": keys[here, 0], "k2": keys[here, 1], "text": texts.filter(pa.array(here))})
 
     return run
 
@@ -302,7 +350,7 @@ class Join:
         self.rows = docs.select(F.col(id).cast("string").alias("id"), F.col(text).alias("text"))
         texts = self.rows.select("text")
         counts = (
-            texts.mapInPandas(_prefix_tokens(rule), "token long, n int")
+            texts.mapInArrow(_prefix_tokens(rule), "token long, n int")
             .groupBy("token")
             .agg(F.sum("n").alias("n"))
             .where(F.col("n") > FREQUENT)
@@ -311,7 +359,7 @@ class Join:
         frequent = broadcast_bitmap(often, often.count())
         release(often)
         self.signed = stored(
-            self.rows.mapInPandas(_signed(rule, frequent), "id string, k1 long, k2 long, n int, signatures array<long>, bits array<long>").withColumn(
+            self.rows.mapInArrow(_signed(rule, frequent), "id string, k1 long, k2 long, n int, signatures array<long>, bits array<long>").withColumn(
                 "id", F.col("id").cast(self.kind)
             )
         )
@@ -354,7 +402,7 @@ class Join:
             release(wanted)
             return
         shared = broadcast_bitmap(wanted.select("k1"), most)
-        found = self.rows.select("text").mapInPandas(_wanted_texts(self.rule, shared), "k1 long, k2 long, text string")
+        found = self.rows.select("text").mapInArrow(_wanted_texts(self.rule, shared), "k1 long, k2 long, text string")
         self.texts.append(
             stored(found.groupBy("k1", "k2").agg(F.first("text").alias("text")).join(wanted, ["k1", "k2"]).select("node", "text"))
         )
@@ -377,7 +425,7 @@ class Join:
         texts = reduce(DataFrame.unionByName, parts)
         a = texts.select(F.col("node").alias("a"), F.col("text").alias("a_text"))
         b = texts.select(F.col("node").alias("b"), F.col("text").alias("b_text"))
-        found = pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(_checked(self.rule), "a long, b long")
+        found = pairs.select("a", "b").join(a, "a").join(b, "b").mapInArrow(_checked(self.rule), "a long, b long")
         # texts stay dealt out while they are compared; the links are few
         out = stored(found)
         shared.destroy()
