@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -251,12 +252,14 @@ def encode(
     docs = docs.select(*kept)
     known = docs.sparkSession.sparkContext.broadcast(dictionary(docs.select("text"), tokenizer, dictionary_bytes))
 
-    @F.pandas_udf("ids binary, decoded string")
-    def both(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("ids binary, decoded string")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokenizer)
-        for texts in parts:
-            ids = [encode_text(t, encoder, known.value) for t in texts]
-            yield pd.DataFrame({"ids": ids, "decoded": [encoder.decode(x) for x in ids] if decode else None})
+        for texts in batches:
+            ids = [encode_text(t.as_py(), encoder, known.value) for t in texts]
+            del texts  # before the next batch is read
+            decoded = pa.array([encoder.decode(x) if decode else None for x in ids], pa.string())
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), decoded], ["ids", "decoded"])
 
     out = docs.withColumn("__bpe", both(F.col("text"))).select(*kept, "__bpe.ids", "__bpe.decoded")
     return out if decode else out.drop("decoded")
@@ -265,11 +268,13 @@ def encode(
 def decode_ids(rows: DataFrame, tokenizer: str) -> DataFrame:
     """``rows`` with ``decoded``, from their ``ids``."""
 
-    @F.pandas_udf("string")
-    def texts(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def texts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(tokenizer)
-        for ids in parts:
-            yield pd.Series([encoder.decode(bytes(x)) for x in ids], dtype=object)
+        for ids in batches:
+            decoded = pa.array([encoder.decode(x.as_py()) for x in ids], pa.string())
+            del ids  # before the next batch is read
+            yield decoded
 
     return rows.withColumn("decoded", texts(F.col("ids")))
 

@@ -284,7 +284,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     hit = F.col("__shared").isNotNull()
     match = f"array<struct<earlier: {kind}, start: int, lines: int, earlier_start: int>>"
-    udf = F.pandas_udf(_without, f"kept_text string, removed array<int>, blocks int, matches {match}")
+    # called nondeterministic, or Spark would run it twice, in two workers a task, where a caller filters by its result
+    udf = F.pandas_udf(_without, f"kept_text string, removed array<int>, blocks int, matches {match}").asNondeterministic()
     left = udf(F.when(hit, docs["text"]), F.col("__shared"))
     others = [c for c in docs.columns if c not in ("kept_text", "removed", "blocks", "matches")]
     return joined.select(

@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -171,19 +172,26 @@ def learn(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), max_rows:
     return dict(zip(at.tolist(), w[at].tolist()))
 
 
+def scored(batches: Iterator[pa.Array], w: np.ndarray) -> Iterator[pa.Array]:
+    """The scores of batches of texts. A worker holds one batch, and one text of it as a string."""
+    words = Words()
+    for texts in batches:
+        found = [1 / (1 + np.exp(-np.clip(w[features(t.as_py(), words)].sum(), -30, 30))) for t in texts]
+        del texts  # before the next batch is read
+        yield pa.array(found, pa.float64())
+
+
 def score(docs: DataFrame, model: dict[int, float]) -> DataFrame:
     """``docs`` with a column ``score`` between 0 and 1."""
     shared = docs.sparkSession.sparkContext.broadcast(
         (np.array(list(model), np.int64), np.array(list(model.values()), np.float64))
     )
 
-    @F.pandas_udf("double")
-    def scores(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         w = np.zeros(1 << BITS)
         w[shared.value[0]] = shared.value[1]
-        words = Words()
-        for texts in parts:
-            yield pd.Series([1 / (1 + np.exp(-np.clip(w[features(t, words)].sum(), -30, 30))) for t in texts], dtype="float64")
+        yield from scored(batches, w)
 
     return docs.withColumn("score", scores(F.col("text")))
 

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -367,6 +368,33 @@ def test_jaccard_with_frequent_tokens(spark, monkeypatch):
     assert rows_of(jaccard.near_groups(df, rule), "doc_id", "n_shingles", "component_id") == brute_components(rows, rule)
 
 
+def test_texts_are_cut_together_like_one_at_a_time(monkeypatch):
+    long = "x" * 70
+    texts = [None, "", " \t ", "One", " a  b\x0bc\x0cd\r\ne ", "\u00c4b \u00e4B\u00a0c \x1c d", "a a a a a", f"{long}y {long}z {long}y", f"{long[:64]} {long[:63]}",
+             "q\x00 q q\x00\x00", "abcdefgh abcdefghi abcdefgh\x00", "ein zwei drei vier", "b c d e", "ONE"]
+    texts += ["x " * k for k in range(6)]
+    array = pa.array(["cut off", *texts]).slice(1)
+    split = jaccard.split_words(array)
+    words = [jaccard.words_of(t) for t in texts]
+    of = {}
+    for sizes in (1, 2, 4):
+        for w, tokens in zip(words, jaccard.tokens_of(split, sizes)):
+            n = min(sizes, len(w))
+            runs = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+            assert len(tokens) == len(runs) and (np.diff(tokens.astype(object)) > 0).all()
+            for run in runs:  # a run has one hash wherever it stands, and another one no other run has
+                of.setdefault(run, set(tokens.tolist())).intersection_update(tokens.tolist())
+    assert all(of.values())
+    keys = list(map(tuple, jaccard.keys_of(split).tolist()))
+    assert [[a == b for b in keys] for a in keys] == [[a == b for b in words] for a in words]
+    # parts hold all rows, and long texts stand alone
+    monkeypatch.setattr(jaccard, "PART_BYTES", 100)
+    batch = pa.record_batch({"text": array})
+    found = list(jaccard.parts(batch, "text"))
+    assert pa.Table.from_batches(found) == pa.Table.from_batches([batch]) and len(found) > 3
+    assert not list(jaccard.parts(batch.slice(0, 0), "text"))
+
+
 def test_linked_sets_share_signatures():
     rng = np.random.default_rng(9)
     for percent in (70, 85):
@@ -485,6 +513,21 @@ def test_toxicity_learns_and_scores_all_rows(spark, odd, none):
     assert toxicity.toxicity(none, known).count() == 0
 
 
+def test_scoring_holds_one_batch_of_texts():
+    held = []
+
+    def batches():
+        for _ in range(3):
+            held.append(pa.total_allocated_bytes())
+            yield pa.array(["word " * 200_000, None, "toxic"])
+
+    weights = np.zeros(1 << toxicity.BITS)
+    weights[toxicity.features("toxic", toxicity.Words())[1:]] = 1.0
+    out = [x.to_pylist() for x in toxicity.scored(batches(), weights)]
+    assert all(x[1] == 0.5 and x[2] > 0.5 for x in out)
+    assert max(held) < held[0] + 500_000
+
+
 # licences
 
 

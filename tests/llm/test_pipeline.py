@@ -115,3 +115,9 @@ def test_stages_keep_one_row_of_each_group_whatever_the_ids(spark, tmp_path):
 def test_an_empty_table_gives_no_rows(spark, tmp_path):
     folder = written(spark, tmp_path, documents=([], DOC), labels=([], LABEL), benchmark=([], TEST))
     assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_a_filter_by_line_dedup_does_not_run_it_twice(spark):
+    docs = spark.createDataFrame([(1, "a text", "en", "web", 6)], "doc_id long, text string, lang string, source string, n_chars long")
+    text = corpus_pipeline.drop_repeated_lines(spark, docs, "")._jdf.queryExecution().executedPlan().toString()
+    assert text.count("ArrowEvalPython") == 1
