@@ -7,7 +7,8 @@ per-coordinate rates, and an L1 penalty that leaves most weights at zero. The fe
 are broadcast for scoring; their number is bounded by the size of the hash space.
 
 Learning runs in rounds. In each, every share of the training rows continues from the
-common state in a task of its own, and the states are averaged.
+common state in a task of its own, and the states are averaged. The state is a stored
+table of blocks of features, which Spark moves to the shares and averages block by block.
 
 Training rows are at most about ``max_rows`` labelled documents, chosen by a hash of
 their id; more labels than that do not change weights much. Everything else, scoring
@@ -34,6 +35,10 @@ from pyspark.sql import functions as F
 from repaylens.llm.common import release, stored, table
 
 BITS = 20
+#: Features of a block of the state; it is kept in a row for each block.
+BLOCK = 1 << 16
+#: ``z`` and ``n`` of a block as float64, and both as the float32 that learning starts from.
+STATE = "block int, z binary, n binary, rounded binary"
 SHARES, ROUNDS, PASSES = 4, 3, 2
 MAX_ROWS = 16_000
 THRESHOLD = 0.3
@@ -135,41 +140,78 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFram
     )
 
 
+def rounded(blocks: pd.DataFrame) -> np.ndarray:
+    """``z`` and ``n`` of all features from blocks of the state; zero where there is no block."""
+    state = np.zeros((2, 1 << BITS), np.float32)
+    for block, held in zip(blocks["block"], blocks["rounded"]):
+        state[:, block * BLOCK : (block + 1) * BLOCK] = np.frombuffer(held, np.float32).reshape(2, BLOCK)
+    return state
+
+
+def added(group: pd.DataFrame, before: np.ndarray, rates: Rates) -> Iterator[tuple]:
+    """What a share's rows add to the state: ``(block, at, z, n)`` of the features they hold."""
+    words = Words()
+    group = group.sort_values(["order", "text", "toxic"])
+    own = [(features(t, words), int(y)) for t, y in zip(group["text"], group["toxic"])]
+    zs, ns = (x.astype(np.float64) for x in before)
+    ftrl(own, zs, ns, rates, PASSES)
+    at = np.flatnonzero(ns != before[1])
+    parts = [(at % BLOCK).astype(np.int32), *((x[at] - y[at]).astype(np.float32) for x, y in zip((zs, ns), before))]
+    cuts = np.searchsorted(at, np.arange(BLOCK, 1 << BITS, BLOCK))
+    for block, part in enumerate(zip(*(np.split(x, cuts) for x in parts))):
+        if len(part[0]):
+            yield block, *(x.tobytes() for x in part)
+
+
+def merged(parts: pd.DataFrame, before: pd.DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's ``z`` and ``n`` after a round: the mean over ``count`` shares added to what was."""
+    z, n = (np.frombuffer(before[x].iloc[0]).copy() if len(before) else np.zeros(BLOCK) for x in ("z", "n"))
+    for p in parts.sort_values("share").to_dict("records"):
+        at = np.frombuffer(p["at"], np.int32)
+        z[at] += np.frombuffer(p["z"], np.float32) / count
+        n[at] += np.frombuffer(p["n"], np.float32) / count
+    return z, n
+
+
 def learn(docs: DataFrame, labels: DataFrame, rates: Rates = Rates(), max_rows: int = MAX_ROWS) -> dict[int, float]:
     """The weights that are not zero, by feature number."""
-    spark = docs.sparkSession
+
+    def share(key: tuple, group: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+        found = added(group, rounded(blocks), rates) if len(group) else ()
+        return pd.DataFrame([(key[0], *x) for x in found], columns=["share", "block", "at", "z", "n"])
+
+    def merge(key: tuple, parts: pd.DataFrame, before: pd.DataFrame) -> pd.DataFrame:
+        z, n = merged(parts, before, count)
+        both = np.concatenate([z, n]).astype(np.float32)
+        return pd.DataFrame({"block": key, "z": [z.tobytes()], "n": [n.tobytes()], "rounded": [both.tobytes()]})
+
+    def chosen(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, z, n in zip(batch["block"], batch["z"], batch["n"]):
+                w = weights(np.frombuffer(z), np.sqrt(np.frombuffer(n)), rates)
+                at = np.flatnonzero(w)
+                yield pd.DataFrame({"at": [(at + block * BLOCK).astype(np.int32).tobytes()], "w": [w[at].tobytes()]})
+
     rows = stored(training_rows(docs, labels, max_rows))
-    size = 1 << BITS
-    z, n = np.zeros(size), np.zeros(size)
-    for _ in range(ROUNDS):
-        state = spark.sparkContext.broadcast((z.astype(np.float32), n.astype(np.float32)))
-
-        def share(group: pd.DataFrame) -> pd.DataFrame:
-            words = Words()
-            group = group.sort_values(["order", "text", "toxic"])
-            own = [(features(t, words), int(y)) for t, y in zip(group["text"], group["toxic"])]
-            before = state.value
-            zs, ns = (x.astype(np.float64) for x in before)
-            ftrl(own, zs, ns, rates, PASSES)
-            at = np.flatnonzero(ns != before[1])
-            added = [(x[at] - y[at]).astype(np.float32).tobytes() for x, y in zip((zs, ns), before)]
-            return pd.DataFrame({"z": added[:1], "n": added[1:], "at": [at.astype(np.int32).tobytes()]})
-
-        # SHARES rows of at most three numbers a feature of the hash space, one at a time in the driver
-        parts = stored(rows.groupBy("share").applyInPandas(share, "z binary, n binary, at binary"))
-        count = parts.count()
-        for p in parts.toLocalIterator():
-            at = np.frombuffer(p["at"], np.int32)
-            z[at] += np.frombuffer(p["z"], np.float32) / count
-            n[at] += np.frombuffer(p["n"], np.float32) / count
-        release(parts)
-        state.destroy()
-        if not count:
-            break
+    count = rows.select("share").distinct().count()
+    state = docs.sparkSession.createDataFrame([], STATE)
+    shares = F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share")
+    for _ in range(ROUNDS if count else 0):
+        copies = state.select(shares, "block", "rounded")
+        parts = rows.groupBy("share").cogroup(copies.groupBy("share")).applyInPandas(
+            share, "share int, block int, at binary, z binary, n binary"
+        )
+        # one row a block; neither the state nor what is added to it reaches the driver
+        before, state = state, stored(
+            parts.groupBy("block").cogroup(state.select("block", "z", "n").groupBy("block")).applyInPandas(merge, STATE)
+        )
+        release(before)
     release(rows)
-    w = weights(z, np.sqrt(n), rates)
-    at = np.flatnonzero(w)
-    return dict(zip(at.tolist(), w[at].tolist()))
+    model = {}
+    for r in state.select("block", "z", "n").mapInPandas(chosen, "at binary, w binary").toLocalIterator():
+        model.update(zip(np.frombuffer(r["at"], np.int32).tolist(), np.frombuffer(r["w"]).tolist()))
+    release(state)
+    return model
 
 
 def scored(batches: Iterator[pa.Array], w: np.ndarray) -> Iterator[pa.Array]:

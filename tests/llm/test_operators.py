@@ -3,10 +3,12 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -513,6 +515,64 @@ def test_toxicity_learns_and_scores_all_rows(spark, odd, none):
     assert toxicity.toxicity(none, known).count() == 0
 
 
+def test_learning_keeps_its_state_out_of_the_driver(spark, monkeypatch):
+    rows = [(k, f"word{k % 97} other{k % 13} " + ("vileword" if k % 5 == 0 else "stone")) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(200)], "doc_id long, toxic int")
+    sent, got, frame, context = [], [], type(df), type(spark.sparkContext)
+    whole, one_by_one, broadcast = frame.collect, frame.toLocalIterator, context.broadcast
+    monkeypatch.setattr(context, "broadcast", lambda self, value: sent.append(value) or broadcast(self, value))
+    monkeypatch.setattr(frame, "collect", lambda self: [got.append(r) or r for r in whole(self)])
+    monkeypatch.setattr(frame, "toLocalIterator", lambda self, **k: (got.append(r) or r for r in one_by_one(self, **k)))
+    tracemalloc.start()
+    model = toxicity.learn(df, known)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert model and len(model) < 1000 and not sent
+    assert sum(len(x) for r in got for x in r if isinstance(x, bytes | bytearray)) == 12 * len(model)  # weights alone
+    assert peak < 8 << toxicity.BITS  # less than one number a feature
+
+
+def test_a_round_adds_the_mean_of_the_shares():
+    rng, size = np.random.default_rng(3), 1 << toxicity.BITS
+    z, n = np.zeros(size), np.zeros(size)
+    held = {c: [] for c in ("block", "z", "n", "rounded")}
+    for _ in range(2):
+        groups = [
+            pd.DataFrame({"order": range(9), "text": [f"a{x} b{x % 7} c" for x in rng.integers(0, 50, 9)], "toxic": rng.integers(0, 2, 9)})
+            for _ in range(3)
+        ]
+        before = np.stack([z, n]).astype(np.float32)
+        blocks = pd.DataFrame(held)
+        assert (toxicity.rounded(blocks) == before).all()
+        parts = []
+        for k, group in enumerate(groups):
+            parts += [(k, *x) for x in toxicity.added(group, toxicity.rounded(blocks), toxicity.Rates())]
+            zs, ns = (x.astype(np.float64) for x in before)
+            own = [(toxicity.features(t, toxicity.Words()), y) for t, y in zip(group["text"], group["toxic"])]
+            toxicity.ftrl(own, zs, ns, toxicity.Rates(), toxicity.PASSES)
+            z, n = z + (zs - before[0]) / 3, n + (ns - before[1]) / 3
+        parts = pd.DataFrame(parts[::-1], columns=["share", "block", "at", "z", "n"])
+        held = {c: [] for c in held}
+        for b in range(size // toxicity.BLOCK):
+            was = blocks[blocks["block"] == b] if len(blocks) else blocks
+            zb, nb = toxicity.merged(parts[parts["block"] == b], was, 3)
+            held["block"].append(b)
+            held["z"].append(zb.tobytes())
+            held["n"].append(nb.tobytes())
+            held["rounded"].append(np.concatenate([zb, nb]).astype(np.float32).tobytes())
+            at = slice(b * toxicity.BLOCK, (b + 1) * toxicity.BLOCK)
+            assert np.allclose(zb, z[at], atol=1e-5) and np.allclose(nb, n[at], atol=1e-5)
+            z[at], n[at] = zb, nb
+
+
+def test_learning_without_rows(spark):
+    df = spark.createDataFrame([(1, "a text"), (2, None)], "doc_id long, text string")
+    none = spark.createDataFrame([], "doc_id long, toxic int")
+    assert toxicity.learn(df, none) == {}
+    assert [r["score"] for r in toxicity.toxicity(df, none).collect()] == [0.5, 0.5]
+
+
 def test_scoring_holds_one_batch_of_texts():
     held = []
 
